@@ -22,8 +22,19 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.perplexity_scores(_table(spark, sf_dir, "documents"), Workspace(spark, "op1"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    from pyspark.sql import functions as F
+
+    from . import simhash
+
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), Workspace(spark, "op2"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_simhash": op2_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
