@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sharding import ORACLE as _sharding_oracle
 from .workspace import Workspace
 
 
@@ -32,9 +33,36 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and one more whose texts hold control strings; read back."""
+    from pyspark.sql import functions as F
+
+    from . import chat
+
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = chat.STOP + chat.START + "assistant ok"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.digests(chat.format_conversations(rows.unionByName(more)))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 40, its slot, and its shard of 41."""
+    from pyspark.sql import functions as F
+
+    from . import sharding
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = sharding.assign(docs, [1.0] * sharding.SHARDS, grown=1.0, drop_text=True)
+    return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_simhash": op2_simhash,
+    "op3_chat": op3_chat,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_sharding": _sharding_oracle,
+}
