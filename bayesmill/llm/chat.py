@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from .workspace import small_batches
 
@@ -414,6 +415,9 @@ def _line(s: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], s)
 
 
+SPANS = ArrayType(StructType().add("start", LongType()).add("end", LongType()))
+
+
 def read_turns(text: str, escaper: Escaper) -> list[tuple[str, str]]:
     """The (role, text) pairs that a formatted conversation holds."""
     out = []
@@ -434,7 +438,7 @@ def format_conversations(rows: DataFrame, template: str = TURNS, controls: tuple
     An empty table gives no rows.
     """
     small_batches(rows.sparkSession)
-    schema = rows.select(id).schema.add("formatted", "string").add("loss", "array<struct<start:long,end:long>>")
+    schema = rows.select(id).schema.add("formatted", "string").add("loss", SPANS)
     dealt = rows.select(id, turn, role, text).repartition(id).sortWithinPartitions(id, turn, role, text)
 
     def run(batches):
