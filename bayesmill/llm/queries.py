@@ -45,6 +45,17 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(more)))
 
 
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to bit-packed files and read from them."""
+    import public_tokenizers
+
+    from . import tokenfile
+
+    ws = Workspace(spark, "op7")
+    tokenfile.write_tokens(_table(spark, sf_dir, "documents"), ws.path("tokens"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.read_documents(spark, ws.path("tokens"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 40, its slot, and its shard of 41."""
     from pyspark.sql import functions as F
@@ -60,6 +71,7 @@ QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_simhash": op2_simhash,
     "op3_chat": op3_chat,
+    "op7_tokens": op7_tokens,
     "op10_sharding": op10_sharding,
 }
 
