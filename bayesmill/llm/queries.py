@@ -45,6 +45,17 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(more)))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as PNG, read back from the table, and hashed."""
+    from . import media
+
+    ws = Workspace(spark, "op6")
+    stored = ws.save(media.encode_column(_table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
+    out = ws.save(media.features(stored).drop("error"), "features")
+    ws.drop("media")
+    return out
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written to bit-packed files and read from them."""
     import public_tokenizers
@@ -71,6 +82,7 @@ QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_simhash": op2_simhash,
     "op3_chat": op3_chat,
+    "op6_media": op6_media,
     "op7_tokens": op7_tokens,
     "op10_sharding": op10_sharding,
 }
