@@ -67,6 +67,13 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_documents(spark, ws.path("tokens"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document that a mix of all sources takes."""
+    from . import mixing
+
+    return mixing.Mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), Workspace(spark, "op8")).taken()
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 40, its slot, and its shard of 41."""
     from pyspark.sql import functions as F
@@ -84,6 +91,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op6_media": op6_media,
     "op7_tokens": op7_tokens,
+    "op8_mixing": op8_mixing,
     "op10_sharding": op10_sharding,
 }
 
