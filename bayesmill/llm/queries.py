@@ -45,6 +45,13 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(more)))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document."""
+    from . import quality
+
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), Workspace(spark, "op5"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as PNG, read back from the table, and hashed."""
     from . import media
@@ -89,6 +96,7 @@ QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_simhash": op2_simhash,
     "op3_chat": op3_chat,
+    "op5_quality": op5_quality,
     "op6_media": op6_media,
     "op7_tokens": op7_tokens,
     "op8_mixing": op8_mixing,
