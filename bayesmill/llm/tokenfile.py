@@ -17,6 +17,7 @@ its range's number, so a repeated task writes the same file.
 
 from __future__ import annotations
 
+import functools
 import io
 import json
 import os
@@ -122,13 +123,16 @@ class Encoder:
     """A byte-level BPE of the tokenizers library, with what it gave for each piece kept for the next time.
 
     The library's splitting rule always begins a new piece at a space between two
-    characters that are not white space, and merges never cross pieces.  So such
-    a text is the pieces at its spaces, each encoded alone.  A text with white
-    space at its ends or two together is encoded whole.
+    characters that are not white space, and makes a line break between two such
+    a piece of its own; merges never cross pieces.  So such a text is the pieces
+    at its spaces and line breaks, each encoded alone.  A text with white space at
+    its ends or two together is encoded whole.
     """
 
     ODD = re.compile(r"\s\s|\A\s|\s\Z")
-    KEEP = 400_000
+    KEEP = 1_000_000  # pieces kept, of about 150 bytes each
+    BREAK = "\n"
+    TAIL = ".,;:!?"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -137,37 +141,76 @@ class Encoder:
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocab = self.t.get_vocab_size()
-        pre = json.loads(self.t.to_str())
-        kind = pre.get("pre_tokenizer") or {}
-        self.pieces = pre.get("normalizer") is None and kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
+        rules = json.loads(self.t.to_str())
+        kind = rules.get("pre_tokenizer") or {}
+        between = self.t.encode(f"a{self.BREAK}a", add_special_tokens=False).ids
+        self.pieces = rules.get("normalizer") is None and kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and len(between) == 3
+        self.line = between[1]
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, kept: dict[str, bytes], pieces: set[str], before: str) -> None:
-        new = [p for p in pieces if p not in kept]
-        for p, ids in zip(new, self.whole([before + p for p in new]), strict=True):
-            kept[p] = ids.tobytes()
+        """Encode the pieces that are not kept yet.
+
+        A piece ends for the library where letters meet punctuation, so a word's
+        tail of punctuation is looked up apart.  What is left goes through the
+        library as one text, a line each: a single line break is a piece of its own.
+        """
+        stems, tails, joined = set(), set(), []
+        for p in pieces:
+            if p not in kept:
+                stem = p.rstrip(self.TAIL)
+                if stem != p and stem and stem[-1].isalpha():
+                    joined.append((p, stem, p[len(stem) :]))
+                    tails.add(p[len(stem) :])
+                    p = stem
+                if p not in kept:
+                    stems.add(p)
+        self._lines(kept, list(stems), before)
+        self._lines(self.tails, [x for x in tails if x not in self.tails], "")
+        for p, stem, tail in joined:
+            kept[p] = kept[stem] + self.tails[tail]
+
+    def _lines(self, kept: dict[str, bytes], pieces: list[str], before: str) -> None:
+        if pieces:
+            ids = np.array(self.t.encode_batch_fast([before + (self.BREAK + before).join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.append(np.flatnonzero(ids == self.line), len(ids))
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(pieces, (4 * cut).tolist(), strict=True):
+                kept[p] = raw[at:end]
+                at = end + 4
+
+    def _is_odd(self, s: str) -> bool:
+        # each white space character between two words, and all of them spaces or line breaks: the common case, quickly
+        return len(s.split()) != s.count(" ") + s.count("\n") + 1 and self.ODD.search(s) is not None
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
-        odd = [i for i, s in enumerate(texts) if not self.pieces or self.ODD.search(s)]
+        odd = [i for i, s in enumerate(texts) if not self.pieces or self._is_odd(s)]
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
-        split = {i: s.split(" ") for i, s in enumerate(texts) if out[i] is None and s}
+        lines = {i: [line.split(" ") for line in s.split(self.BREAK)] for i, s in enumerate(texts) if out[i] is None and s}
         for kept in (self.first, self.later):
             if len(kept) > self.KEEP:
                 kept.clear()
-        self._learn(self.first, {p[0] for p in split.values()}, "")
-        self._learn(self.later, {x for p in split.values() for x in p[1:]}, " ")
-        later = self.later.__getitem__
-        for i, p in split.items():
-            out[i] = np.frombuffer(self.first[p[0]] + b"".join(map(later, p[1:])), np.uint32)
+        self._learn(self.first, {p[0] for x in lines.values() for p in x}, "")
+        self._learn(self.later, set().union(*(p[1:] for x in lines.values() for p in x)), " ")
+        first, later, line = self.first, self.later.__getitem__, np.uint32(self.line).tobytes()
+        for i, x in lines.items():
+            out[i] = np.frombuffer(line.join([first[p[0]] + b"".join(map(later, p[1:])) for p in x]), np.uint32)
         return [np.empty(0, np.uint32) if x is None else x for x in out]
 
 
+@functools.lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that tasks share what it keeps."""
+    return Encoder(path)
+
+
 # -- operators --------------------------------------------------------------
 
 def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0, files: int | None = None, id: str = "doc_id", text: str = "text") -> dict:
@@ -186,7 +229,7 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0, fil
     dealt = rows.repartitionByRange(n, "id", "h", "r").sortWithinPartitions("id", "h", "r").select("id", "text")
 
     def run(batches):
-        enc, part, found = Encoder(tokenizer), TaskContext.get().partitionId(), []
+        enc, part, found = encoder(tokenizer), TaskContext.get().partitionId(), []
         width = width_of(enc.vocab)
         small = "<u2" if width <= 16 else "<u4"
         for b in batches:
