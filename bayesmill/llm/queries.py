@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import ORACLE as _contained_oracle
 from .sharding import ORACLE as _sharding_oracle
 from .workspace import Workspace
 
@@ -45,6 +46,13 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(more)))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item."""
+    from . import decontamination
+
+    return decontamination.find_contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), Workspace(spark, "op4"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score of every document."""
     from . import quality
@@ -96,6 +104,7 @@ QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_simhash": op2_simhash,
     "op3_chat": op3_chat,
+    "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
     "op6_media": op6_media,
     "op7_tokens": op7_tokens,
@@ -104,5 +113,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": _contained_oracle,
     "op10_sharding": _sharding_oracle,
 }

@@ -68,10 +68,13 @@ def runs(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]
         i = min(j, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes, word starts, word ends, and each text's first word (and their number at last)."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, word starts, word ends, and each text's first word (and their number at last).
+
+    ``space`` says of each byte value whether it separates words.
+    """
     low = LOWER[data]
-    solid = ~SPACE[low]
+    solid = ~space[low]
     before = np.empty(len(low) + 1, bool)
     before[0] = False
     before[1:] = solid
