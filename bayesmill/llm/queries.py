@@ -89,6 +89,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), Workspace(spark, "op8")).taken()
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    from . import pii
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.spans_digest(pii.find(docs, pii.train(docs)))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 40, its slot, and its shard of 41."""
     from pyspark.sql import functions as F
@@ -109,6 +117,7 @@ QUERIES = {
     "op6_media": op6_media,
     "op7_tokens": op7_tokens,
     "op8_mixing": op8_mixing,
+    "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
 }
 
