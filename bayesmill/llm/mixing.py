@@ -212,4 +212,4 @@ def _cut(rows: DataFrame, text: str) -> DataFrame:
 
 def write_shards(rows: DataFrame, path: str) -> None:
     """Write a mix as a folder for each shard, each shuffled in its own order."""
-    rows.repartition("_shard").sortWithinPartitions("_shard", "_order").drop("_order").write.partitionBy("_shard").parquet(path)
+    rows.repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order").drop("_order").write.partitionBy("_shard").parquet(path)
