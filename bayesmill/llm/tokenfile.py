@@ -21,7 +21,6 @@ import functools
 import io
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -33,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import text as tx
 from .workspace import parts, small_batches
 
 MAGIC, VERSION, BLOCK = b"BMTK", 1, 1 << 16
@@ -119,6 +119,23 @@ class TokenFile:
 
 # -- encoding ---------------------------------------------------------------
 
+def _rare_space(data: np.ndarray) -> np.ndarray:
+    """Places of white space other than the space and the line break, in UTF-8 bytes."""
+    found = [np.flatnonzero(_RARE[data])]
+    two = np.flatnonzero(data[:-1] == 0xC2)
+    found.append(two[np.isin(data[two + 1], (0x85, 0xA0))])
+    three = np.flatnonzero((data[:-2] >= 0xE1) & (data[:-2] <= 0xE3))
+    if len(three):
+        code = (data[three].astype(np.int64) << 16) | (data[three + 1].astype(np.int64) << 8) | data[three + 2]
+        found.append(three[np.isin(code, _SPACES)])
+    return np.concatenate(found)
+
+
+#: White space by code point; in one byte, then in three.
+_RARE = np.isin(np.arange(256), (0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F))
+_SPACES = [int.from_bytes(chr(c).encode(), "big") for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
 class Encoder:
     """A byte-level BPE of the tokenizers library, with what it gave for each piece kept for the next time.
 
@@ -126,13 +143,14 @@ class Encoder:
     characters that are not white space, and makes a line break between two such
     a piece of its own; merges never cross pieces.  So such a text is the pieces
     at its spaces and line breaks, each encoded alone.  A text with white space at
-    its ends or two together is encoded whole.
+    its ends, two together or of a rarer kind is encoded whole.
+
+    Pieces are told apart by 64-bit hashes, kept as a sorted array beside their
+    ids, so that a run of texts is put together without a step for each word.
     """
 
-    ODD = re.compile(r"\s\s|\A\s|\s\Z")
-    KEEP = 1_000_000  # pieces kept, of about 150 bytes each
-    BREAK = "\n"
-    TAIL = ".,;:!?"
+    KEEP = 4_000_000  # pieces kept, of about 20 bytes each
+    RUN = 4 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -141,68 +159,105 @@ class Encoder:
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocab = self.t.get_vocab_size()
+        self.kind = np.uint16 if self.vocab <= 1 << 16 else np.uint32
         rules = json.loads(self.t.to_str())
-        kind = rules.get("pre_tokenizer") or {}
-        between = self.t.encode(f"a{self.BREAK}a", add_special_tokens=False).ids
-        self.pieces = rules.get("normalizer") is None and kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and len(between) == 3
+        pre = rules.get("pre_tokenizer") or {}
+        between = self.t.encode("a\na", add_special_tokens=False).ids
+        self.pieces = rules.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and len(between) == 3
         self.line = between[1]
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.empty(0, np.uint64)  # sorted
+        self.slot = np.empty(0, np.int64)  # of each key
+        self.ids = np.empty(1 << 16, self.kind)  # of all slots, one after another
+        self.at = np.zeros(1 << 16, np.int64)  # where each slot begins, and the last ends
+        self.n = 0
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, kept: dict[str, bytes], pieces: set[str], before: str) -> None:
-        """Encode the pieces that are not kept yet.
-
-        A piece ends for the library where letters meet punctuation, so a word's
-        tail of punctuation is looked up apart.  What is left goes through the
-        library as one text, a line each: a single line break is a piece of its own.
-        """
-        stems, tails, joined = set(), set(), []
-        for p in pieces:
-            if p not in kept:
-                stem = p.rstrip(self.TAIL)
-                if stem != p and stem and stem[-1].isalpha():
-                    joined.append((p, stem, p[len(stem) :]))
-                    tails.add(p[len(stem) :])
-                    p = stem
-                if p not in kept:
-                    stems.add(p)
-        self._lines(kept, list(stems), before)
-        self._lines(self.tails, [x for x in tails if x not in self.tails], "")
-        for p, stem, tail in joined:
-            kept[p] = kept[stem] + self.tails[tail]
-
-    def _lines(self, kept: dict[str, bytes], pieces: list[str], before: str) -> None:
-        if pieces:
-            ids = np.array(self.t.encode_batch_fast([before + (self.BREAK + before).join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
-            cut = np.append(np.flatnonzero(ids == self.line), len(ids))
-            raw, at = ids.tobytes(), 0
-            for p, end in zip(pieces, (4 * cut).tolist(), strict=True):
-                kept[p] = raw[at:end]
-                at = end + 4
-
-    def _is_odd(self, s: str) -> bool:
-        # each white space character between two words, and all of them spaces or line breaks: the common case, quickly
-        return len(s.split()) != s.count(" ") + s.count("\n") + 1 and self.ODD.search(s) is not None
+        return [np.array(e.ids, self.kind) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: np.ndarray, pieces: list[str], prefix: str) -> None:
+        """Encode pieces in one go, a line each: a single line break is a piece of its own."""
+        if not pieces:
+            return
+        got = np.array(self.t.encode_batch_fast([prefix + ("\n" + prefix).join(pieces)], add_special_tokens=False)[0].ids, self.kind)
+        breaks = np.flatnonzero(got == self.line)
+        sizes = np.diff(np.concatenate([[-1], breaks, [len(got)]])) - 1
+        body = np.delete(got, breaks)
+        end = self.at[self.n]
+        while end + len(body) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while self.n + len(sizes) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.ids[end : end + len(body)] = body
+        self.at[self.n + 1 : self.n + 1 + len(sizes)] = end + np.cumsum(sizes)
+        slots = self.n + np.arange(len(sizes))
+        self.n += len(sizes)
+        order = np.argsort(keys)
+        to = np.searchsorted(self.keys, keys[order])
+        self.keys, self.slot = np.insert(self.keys, to, keys[order]), np.insert(self.slot, to, slots[order])
+
+    def run(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a run of texts given as bytes and offsets, and the texts' offsets in them."""
+        n = len(off) - 1
+        sep = (data == 32) | (data == 10)
+        edge = np.ones(len(data) + 1, bool)  # nothing that belongs to the same text comes before
+        edge[:-1] = False
+        edge[off] = True
+        at = np.flatnonzero(sep)
+        bad = at[edge[at] | edge[at + 1] | np.append(sep, True)[at + 1]]
+        odd = np.zeros(n, bool)
+        odd[np.searchsorted(off, np.concatenate([bad, _rare_space(data)]), "right") - 1] = True
+        if not self.pieces:
+            odd[:] = True
+        # pieces: what stands between separators; how each begins: 0 its text, 1 after a line break, 2 after a space
+        begins = np.zeros(len(data) + 1, bool)
+        begins[off] = begins[at + 1] = True
+        starts = np.flatnonzero(begins[:-1])
+        doc = np.searchsorted(off, starts, "right") - 1
+        ends = np.append(starts[1:], len(data))
+        ends = np.where(edge[ends], ends, ends - 1)
+        use = ~odd[doc]
+        starts, ends, doc = starts[use], ends[use], doc[use]
+        how = np.where(edge[starts], 0, np.where(data[np.maximum(starts - 1, 0)] == 10, 1, 2)) if len(starts) else starts
+        spaced = how == 2
+        h = tx.word_hashes(data, starts, ends) ^ (spaced * np.uint64(0x9E3779B97F4A7C15)) if len(starts) else np.empty(0, np.uint64)
+        uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if self.n > self.KEEP:
+            self._forget()
+        where = np.minimum(np.searchsorted(self.keys, uniq), max(len(self.keys) - 1, 0))
+        new = self.keys[where] != uniq if len(self.keys) else np.ones(len(uniq), bool)
+        if new.any():
+            raw, fresh = data.tobytes(), first[new]
+            for prefix, mine in ((" ", spaced[fresh]), ("", ~spaced[fresh])):
+                pick = fresh[mine]
+                self._learn(uniq[new][mine], [raw[a:b].decode() for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)], prefix)
+        slot = self.slot[np.searchsorted(self.keys, uniq)][inverse] if len(uniq) else np.empty(0, np.int64)
+        begin, size = self.at[slot], self.at[slot + 1] - self.at[slot]
+        # a line break's id comes before what follows it
+        broken = (how == 1).astype(np.int64) if len(how) else size
+        total = size + broken
+        end = np.cumsum(total)
+        out = np.full(int(end[-1]) if len(end) else 0, self.line, self.kind)
+        to = np.arange(int(size.sum()))
+        shift = np.repeat(end - size - (np.cumsum(size) - size), size)
+        out[to + shift] = self.ids[to + np.repeat(begin - (np.cumsum(size) - size), size)]
+        counts = np.bincount(doc, total, n).astype(np.int64) if len(doc) else np.zeros(n, np.int64)
+        if odd.any():
+            raw, which = data.tobytes(), np.flatnonzero(odd)
+            parts, cut = [], np.concatenate([[0], np.cumsum(counts)])
+            done = 0
+            for d, ids in zip(which.tolist(), self.whole([raw[off[d] : off[d + 1]].decode() for d in which]), strict=True):
+                parts += [out[done : cut[d]], ids]
+                done, counts[d] = cut[d], len(ids)
+            out = np.concatenate([*parts, out[done:]])
+        return out, np.concatenate([[0], np.cumsum(counts)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(texts)
-        odd = [i for i, s in enumerate(texts) if not self.pieces or self._is_odd(s)]
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        lines = {i: [line.split(" ") for line in s.split(self.BREAK)] for i, s in enumerate(texts) if out[i] is None and s}
-        for kept in (self.first, self.later):
-            if len(kept) > self.KEEP:
-                kept.clear()
-        self._learn(self.first, {p[0] for x in lines.values() for p in x}, "")
-        self._learn(self.later, set().union(*(p[1:] for x in lines.values() for p in x)), " ")
-        first, later, line = self.first, self.later.__getitem__, np.uint32(self.line).tobytes()
-        for i, x in lines.items():
-            out[i] = np.frombuffer(line.join([first[p[0]] + b"".join(map(later, p[1:])) for p in x]), np.uint32)
-        return [np.empty(0, np.uint32) if x is None else x for x in out]
+        data, off = tx.utf8(pa.array(texts, pa.string()))
+        ids, cut = self.run(data, off)
+        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 @functools.lru_cache(1)
@@ -222,7 +277,7 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0, fil
     looked at.  An empty table gives a manifest without ids.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
     rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumns({"h": F.xxhash64("text"), "r": F.monotonically_increasing_id()})
     n = files or parts(spark)
@@ -231,12 +286,11 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0, fil
     def run(batches):
         enc, part, found = encoder(tokenizer), TaskContext.get().partitionId(), []
         width = width_of(enc.vocab)
-        small = "<u2" if width <= 16 else "<u4"
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i in range(0, len(texts), 100):
-                for d, x in zip(ids[i : i + 100], enc.encode(texts[i : i + 100]), strict=True):
-                    found.append((d, np.append(x, np.uint32(end_id)).astype(small)))
+            ids, (data, off) = b.column(0).to_pylist(), tx.utf8(b.column(1))
+            for i, j in tx.runs(off, enc.RUN):
+                got, cut = enc.run(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                found += [(d, np.append(got[x:y], enc.kind(end_id))) for d, x, y in zip(ids[i:j], cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         if found:
             fs, base = pafs.FileSystem.from_uri(uri)
             fs.create_dir(base, recursive=True)

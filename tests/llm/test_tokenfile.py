@@ -39,9 +39,11 @@ def test_random_access(tmp_path):
         assert (f.doc(i) == x).all()
 
 
-def test_pieces_are_the_librarys_ids():
+@pytest.mark.parametrize("keep", [0, 20, 10_000])
+def test_pieces_are_the_librarys_ids(keep):
     e = T.Encoder(PATH)
-    texts = ["Hello world", "", "a  b", " lead", "trail ", "x\ny z", "it's 'tis ' s don't", "é ñ 漢字 かな", "a b c", "a  b", "1 22 3,4 $5 ... !? a", "\x1c a\x1fb c", "tab\t x", "<|endoftext|> y<|endoftext|>", "a b c　d", "²½ Ⅷ x²"]
+    texts = ["Hello world", "", "a  b", " lead", "trail ", "x\ny z", "it's 'tis ' s don't", "é ñ 漢字 かな", "a b c", "a  b", "1 22 3,4 $5 ... !? a", "\x1c a\x1fb c", "tab\t x", "x\n", "\ny", "a\n\nb", "a\n b", "“q” — x", "a\u2003b", "a\u3000", "", "é\u00a0à", "<|endoftext|> y<|endoftext|>", "a b c　d", "²½ Ⅷ x²"]
+    e.KEEP = keep
     for _ in range(2):
         for t, got, want in zip(texts, e.encode(texts), e.whole(texts), strict=True):
             assert got.tolist() == want.tolist(), t
