@@ -147,7 +147,7 @@ def discounts(n: list[int]) -> list[float]:
 class Model:
     """Where the arrays are, and the numbers that belong to them."""
 
-    def __init__(self, uri, shards, word_starts, pair_starts, vocab, total, texts, pairs, d_pair, d_word, left):
+    def __init__(self, uri, shards, word_starts, pair_starts, vocab, total, texts, pairs, d_pair, d_word, left, stored):
         self.__dict__ |= {k: v for k, v in locals().items() if k != "self"}
 
     def ranges(self) -> int:
@@ -257,7 +257,7 @@ def train(docs: DataFrame, ws: Workspace, shards: int, text: str = "text") -> Mo
     add = lambda name: [sum(r[name][i] for r in got) for i in range(4)]
     d_word, seen, types = discounts(add("seen")), add("seen"), sum(r["word_types"] for r in got)
     left = (d_word[0] * seen[0] + d_word[1] * seen[1] + d_word[2] * (types - seen[0] - seen[1])) / max(int(sizes.sum()), 1)
-    return Model(uri, shards, word_starts, np.concatenate([[0], np.cumsum(sizes)]), vocab, total, texts, int(sizes.sum()), discounts(add("pairs_seen")), d_word, left)
+    return Model(uri, shards, word_starts, np.concatenate([[0], np.cumsum(sizes)]), vocab, total, texts, int(sizes.sum()), discounts(add("pairs_seen")), d_word, left, {r["r"] for r in got})
 
 
 class Scorer:
@@ -274,8 +274,8 @@ class Scorer:
         out, size = [np.zeros(len(ids), np.int64) for _ in names], self.m.ranges()
         for r in np.unique(ids // size):
             a, b = np.searchsorted(ids, [r * size, (r + 1) * size])
-            if int(r) not in self.context:
-                self.context[int(r)] = map_arrays(f"{self.m.uri}/contexts/{int(r)}")
+            if int(r) not in self.context:  # a range without words has no arrays
+                self.context[int(r)] = map_arrays(f"{self.m.uri}/contexts/{int(r)}") if int(r) in self.m.stored else {}
             c = self.context[int(r)]
             for o, name in zip(out, names, strict=True):
                 if name in c:

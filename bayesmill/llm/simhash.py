@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .workspace import Workspace, small_batches
+from .workspace import Workspace, map_arrays, put_arrays, small_batches
 
 _U = np.uint64
 FAN = 8
@@ -74,18 +74,22 @@ def fingerprints(data: np.ndarray, off: np.ndarray, width: int = 3) -> np.ndarra
 
 
 def fingerprint_table(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """``id`` and ``fp`` (the fingerprint's bits as a signed long)."""
+    """``id``, ``file`` (a hash of the file that the row is read from) and ``fp`` (the fingerprint's bits as a signed long)."""
     small_batches(docs.sparkSession)
-    schema = docs.select(id).schema.add("fp", "long")
+    schema = docs.select(id).schema.add("file", "long").add("fp", "long")
 
     def run(batches):
         for b in batches:
-            data, off = tx.utf8(b.column(1))
-            for i, j in tx.runs(off, 1 << 20):
+            data, off = tx.utf8(b.column(2))
+            for i, j in tx.runs(off):
                 fp = fingerprints(data[off[i] : off[j]], off[i : j + 1] - off[i], width)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(fp.view(np.int64))], [id, "fp"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(fp.view(np.int64))], [id, "file", "fp"])
 
-    return docs.select(id, text).mapInArrow(run, schema)
+    return docs.select(id, _file().alias("file"), text).mapInArrow(run, schema)
+
+
+def _file():
+    return F.xxhash64(F.input_file_name())
 
 
 # -- index ------------------------------------------------------------------
@@ -265,12 +269,16 @@ def near_duplicates(docs: DataFrame, ws: Workspace, radius: int = 2, width: int
     repeated ids keep all their rows.  A row with a null id counts as id
     2**63-1 when components are named.  An empty table gives no rows.
     """
+    return _components(docs, ws, radius, width, id, text).drop("file")
+
+
+def _components(docs: DataFrame, ws: Workspace, radius: int, width: int, id: str, text: str) -> DataFrame:
     prints = ws.save(fingerprint_table(docs, id, text, width), "prints")
-    node = F.min(F.coalesce(F.col(id).cast("long"), F.lit((1 << 63) - 1)))
+    node = F.min(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)))
     nodes = ws.save(prints.groupBy("fp").agg(node.alias("node")), "nodes")
     found = components(links(nodes, ws, radius), ws)
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select(id, "fp", "component_id")
+    return prints.join(named, "fp").select(id, "file", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, ws: Workspace, radius: int = 2, width: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,10 +286,10 @@ def keep_one(docs: DataFrame, ws: Workspace, radius: int = 2, width: int = 3, id
 
     If several rows have that id, the one with the least text stays.
     """
-    named = near_duplicates(docs, ws, radius, width, id, text)
-    own = F.coalesce(F.col(id).cast("long"), F.lit((1 << 63) - 1)) == F.col("component_id")
-    kept = ws.save(named.where(own).groupBy(F.col(id).alias("kept_id")).agg(F.count("*").alias("kept_rows")), "kept")
-    once = docs.join(kept.where("kept_rows = 1").select("kept_id"), F.col(id).eqNullSafe(F.col("kept_id")), "left_semi")
+    named = _components(docs, ws, radius, width, id, text)
+    own = F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)) == F.col("component_id")
+    kept = ws.save(named.where(own).groupBy(F.col(id).alias("kept_id")).agg(F.count("*").alias("kept_rows"), F.min("file").alias("file")), "kept")
+    once = _by_file(docs, ws, kept.where("kept_rows = 1"), id)
     repeated = kept.where("kept_rows > 1").select("kept_id")
     if repeated.isEmpty():
         return once
@@ -289,3 +297,44 @@ def keep_one(docs: DataFrame, ws: Workspace, radius: int = 2, width: int = 3, id
     least = rows.groupBy(F.col(id).alias("kept_id")).agg(F.min(F.struct(*[F.col(c) for c in [text, *(c for c in rows.columns if c not in (id, text))]])).alias("r"))
     picked = least.select(*[(F.col("kept_id") if c == id else F.col("r")[c]).alias(c) for c in docs.columns])
     return once.unionByName(picked)
+
+
+NO_ID = (1 << 63) - 1
+
+
+def _by_file(docs: DataFrame, ws: Workspace, kept: DataFrame, id: str) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``kept(kept_id, file)``, without an exchange of texts.
+
+    Ids to keep are dealt by the file that their row is read from and stored, so
+    a task that reads a file looks only at that file's.  Rows that come from no
+    file are joined instead.
+    """
+    files = min(1 << 16, len(docs.inputFiles()))
+    if not files or not kept.where(F.col("file") == F.xxhash64(F.lit(""))).isEmpty():
+        return docs.join(kept.select("kept_id"), F.col(id).eqNullSafe(F.col("kept_id")), "left_semi")
+    bucket = lambda file: F.pmod(file, F.lit(files)).cast("int")
+    uri = ws.path("files")
+
+    def store(key, rows):
+        put_arrays(f"{uri}/{key[0].as_py()}", id=np.sort(rows["id"].to_numpy()))
+        return pa.table({"n": [len(rows)]})
+
+    ids = kept.select(bucket(F.col("file")).alias("b"), F.coalesce(F.col("kept_id").cast("long"), F.lit(NO_ID)).alias("id"))
+    stored = {r["b"] for r in ids.select("b").distinct().collect()}
+    ids.groupBy("b").applyInArrow(store, "n long").agg(F.sum("n")).collect()
+
+    def run(batches):
+        have: dict[int, np.ndarray] = {}
+        for b in batches:
+            file, own = b.column(b.num_columns - 2).to_numpy(), b.column(b.num_columns - 1).to_numpy()
+            keep = np.zeros(b.num_rows, bool)
+            for k in np.unique(file).tolist():
+                if k in stored:
+                    if k not in have:
+                        have[k] = map_arrays(f"{uri}/{k}")["id"]
+                    mine = file == k
+                    at = np.minimum(np.searchsorted(have[k], own[mine]), len(have[k]) - 1)
+                    keep[mine] = have[k][at] == own[mine]
+            yield pa.RecordBatch.from_arrays(b.columns[:-2], names=b.schema.names[:-2]).filter(pa.array(keep))
+
+    return docs.select("*", bucket(_file()).alias("_file"), F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("_id")).mapInArrow(run, docs.schema)

@@ -59,7 +59,7 @@ def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def runs(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def runs(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of at most ``limit`` bytes, or one longer text."""
     i, n = 0, len(offsets) - 1
     while i < n:

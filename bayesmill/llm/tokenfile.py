@@ -149,8 +149,8 @@ class Encoder:
     ids, so that a run of texts is put together without a step for each word.
     """
 
-    KEEP = 4_000_000  # pieces kept, of about 20 bytes each
-    RUN = 4 << 20
+    KEEP = 3_000_000  # pieces kept, of about 24 bytes each
+    RUN = 2 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

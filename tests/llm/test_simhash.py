@@ -84,3 +84,14 @@ def test_query_columns_and_edge_cases(spark):
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 3, 7]
     assert S.near_duplicates(docs.limit(0), Workspace(spark, "t")).count() == 0
+
+
+def test_keep_one_reads_back_by_file(spark, tmp_path):
+    rows = [(i, f"word{i % 30} some other text {i % 30} goes on {i % 30}", i) for i in range(90)] + [(None, "quite something else", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _b long")
+    df.repartition(5).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    plain = S.keep_one(df, Workspace(spark, "t")).collect()
+    got = S.keep_one(docs, Workspace(spark, "t"))
+    assert got.columns == docs.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain)) and 1 < len(plain) < 91
