@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .operators import gram as G
 from .plans import planner, tasks
-from .plans.backends import Blocks, Dense, LowRank, Sparse
+from .plans.backends import Dense, LowRank, Sparse
 from .plans.kernel import Problem
 from .plans.spec import Block, Controls, Residual, SpecError, calibrate, flag, likelihood_df, parse_blocks, residual_prior
 from .sources.quality import DataError, check_observations
@@ -65,6 +65,28 @@ class Fit:
         return self.spark.createDataFrame(rows, "idx int, name string, block string, label string")
 
 
+    def coef(self) -> DataFrame:
+        return _summary().coef(self)
+
+    def summary(self, **kw) -> dict[str, DataFrame]:
+        return _summary().summary(self, **kw)
+
+    def predict(self, newdata: DataFrame, interval: str = "none", level: float = 0.95) -> DataFrame:
+        return _summary().predict_fit(self, newdata, interval, level)
+
+    def assess_convergence(self) -> DataFrame:
+        return _summary().assess_convergence(self)
+
+    def write(self, path: str) -> None:
+        _summary().write(self, path)
+
+
+def _summary():
+    from .operators import summary
+
+    return summary
+
+
 def _controls(kw: dict) -> Controls:
     return Controls(**{k: kw.pop(k) for k in list(kw) if k in Controls.__dataclass_fields__})
 
@@ -270,4 +292,4 @@ def fit_eigen(spark: SparkSession, n: int, vectors, values, prop_var, xty, block
     return Fit(spark, ready, names, place.tolist(), prior, controls, n, df, problems, y_mean, info)
 
 
-__all__ = ["Blocks", "Fit", "fit", "fit_eigen", "fit_sparse", "fit_ss"]
+__all__ = ["Fit", "fit", "fit_eigen", "fit_sparse", "fit_ss"]

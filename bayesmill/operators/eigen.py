@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +38,16 @@ def decompose_blocks(triplets: DataFrame) -> DataFrame:
 
 
 def check_sets(vectors, values, prop_var, orthonormal: bool = False) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """A list of (vectors, values, share of variance kept); a single set or share is taken for all."""
+    """A list of (vectors, values, share of variance kept); a single set or share is taken for all.
+
+    Mappings are aligned by the names of the vectors' blocks.
+    """
+    if isinstance(vectors, Mapping):
+        if not isinstance(values, Mapping) or set(values) != set(vectors) or isinstance(prop_var, Mapping) and set(prop_var) != set(vectors):
+            raise DataError("vectors, values and shares name different blocks")
+        values = [values[k] for k in vectors]
+        prop_var = [prop_var[k] for k in vectors] if isinstance(prop_var, Mapping) else prop_var
+        vectors = list(vectors.values())
     many = isinstance(vectors, (list, tuple))
     us, ls = (list(vectors), list(values)) if many else ([vectors], [values])
     props = list(prop_var) if isinstance(prop_var, (list, tuple, np.ndarray)) else [prop_var] * len(us)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.spec import SpecError
 from ..sources.quality import DataError
+from .ld import DIAGONAL_SLACK, check_correlations
 
 KEPT = ("retained+1", "retained-1")
 SCALES = ("standardized", "original")
@@ -85,7 +86,9 @@ def working(rows: DataFrame, n: int, beta: str = "beta", se: str = "se", scale:
 
 def convert(rows: DataFrame, correlations: DataFrame, n: int, **kw) -> tuple[DataFrame, DataFrame]:
     """Cross-product triplets and predictors from effects ``rows(idx, beta, se)`` and ``correlations(block, i, j, v)`` of one triangle with diagonal."""
+    check_correlations(correlations, 1 + DIAGONAL_SLACK)
     p = working(rows, n, **kw)
+    correlations = correlations.withColumn("v", F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.col("v").cast("double")))
     side = lambda k: p.select(F.col("idx").alias(k), F.sqrt("diag").alias(f"_{k}"))
     g = correlations.join(side("i"), "i").join(side("j"), "j").withColumn("v", F.col("v") * F.col("_i") * F.col("_j")).drop("_i", "_j")
     return g, p

@@ -283,6 +283,13 @@ def subset(ld: LD, kept: DataFrame) -> LD:
     return out
 
 
+def submatrix(ld: LD, ids: DataFrame) -> DataFrame:
+    """Stored correlations among the variants in ``ids(ID)``, as (ID_i, ID_j, v); others are zero, the diagonal one."""
+    v = ld.variants.join(ids.select("ID").distinct(), "ID", "left_semi")
+    side = lambda k: v.select("block", F.col("place").alias(k), F.col("ID").alias(f"ID_{k}"))
+    return ld.correlations().join(side("i"), ["block", "i"]).join(side("j"), ["block", "j"]).select("ID_i", "ID_j", "v")
+
+
 def report_map(fitted: LD) -> DataFrame:
     """Fitted blocks and the repair of the block that each comes from, by parent and source block."""
     if fitted.report is None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -129,6 +130,8 @@ def chain(p: Problem, c: Controls, rng: np.random.Generator, noise: Callable[[in
         if not fixed_sigma:
             sse = guard(sse, be.y2, "a residual sum of squares")
             sigma2 = inverse_gamma(rng, p.residual.shape + p.df / 2, p.residual.scale + sse / 2)
+        if c.verbose and it % max(1, c.iterations // 10) == 0:
+            print(f"iteration {it} of {c.iterations}", file=sys.stderr, flush=True)
         if it in kept:
             yield _draw(p, c, rng, (it - c.burnin - 1) // c.thin, theta, included, component, states, sigma2, members)
 

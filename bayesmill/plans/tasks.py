@@ -33,12 +33,12 @@ def generator(seed: int, number: int, part: int) -> np.random.Generator:
 def draw_rows(problem: Problem, controls: Controls, number: int, part: int, noise: Callable | None = None):
     """Arrow batches of one chain's draws."""
     rows: list[dict] = []
+    spike, multi, local = ([problem.blocks[b].model in kinds for b in problem.block_of] for kinds in (("SpikeSlab", "SpikeMultiSlab"), ("SpikeMultiSlab",), ("GlobalLocal",)))
+    only = lambda x, where: [v if w else None for v, w in zip(x.tolist(), where, strict=True)] if any(where) else None
     for d in chain(problem, controls, generator(controls.seed, number, part), noise):
-        spike = any(b.model in ("SpikeSlab", "SpikeMultiSlab") for b in problem.blocks)
-        multi, local = any(b.model == "SpikeMultiSlab" for b in problem.blocks), any(b.model == "GlobalLocal" for b in problem.blocks)
         rows.append({
-            "chain": number, "part": part, "draw": d["draw"], "residual_var": d["residual_var"], "idx": problem.index, "theta": d["theta"], "inclusion": d["included"] if spike else None,
-            "mix_component": d["component"] if multi else None, "local_var": d["local_var"] if local else None, "hyper": list(d["hyper"].items()),
+            "chain": number, "part": part, "draw": d["draw"], "residual_var": d["residual_var"], "idx": problem.index, "theta": d["theta"], "inclusion": only(d["included"], spike),
+            "mix_component": only(d["component"], multi), "local_var": only(d["local_var"], local), "hyper": list(d["hyper"].items()),
             "own": d["own"], "along": d["along"], "signal": d["signal"], "x_part": d["x_part"], "noise": d["noise"],
         })
         if len(rows) == 256:

@@ -225,3 +225,55 @@ def test_eigen_checks():
     with pytest.raises(DataError):
         E.project(u[:, :2], lam[:2], np.array([1.0, 1, 1]), 1.0)
     assert E.overall_share([(1.0, 0.5), (3.0, 1.0)]) == pytest.approx(4 / 5)
+
+
+def test_fit_methods(spark, data, tmp_path):
+    df, *_ = data
+    f = fit(df, "y", BLOCKS, residual_shape=3.0, residual_scale=1.0, pve=True, chains=2, verbose=True, **RUN)
+    c = f.coef().orderBy("position").collect()
+    assert [r["label"] for r in c] == ["(Intercept)", "a::signal", "a::nuisance", "b::noise1", "b::noise2"]
+    s = f.summary(probs=(0.1, 0.9))
+    assert set(s) == {"scalars", "blocks", "pve", "hyper", "coefficients"} and s["coefficients"].count() == 4
+    assert {r["block"]: (r["model"], r["predictors"]) for r in s["blocks"].collect()} == {"a": ("Normal", 2), "b": ("SpikeSlab", 2)}
+    assert {r["param"] for r in s["pve"].collect()} == {"a", "b", "Total", "Cross-block"}
+    top = f.summary(coefficients="top", max_coefficients=1, rank_by="inclusion_probability")["coefficients"].collect()
+    assert len(top) == 1 and top[0]["label"].startswith("b::")
+    assert "coefficients" not in f.summary(coefficients="none")
+    d = f.assess_convergence().collect()
+    assert [r["param"] for r in d] == ["intercept", "residual_var", "a::pve", "a::var", "b::pve", "b::var", "b::pi", "pve_total", "pve_cross_block"]
+    assert f.predict(df).count() == 80
+    f.write(f"{tmp_path}/fit")
+    assert spark.read.parquet(f"{tmp_path}/fit/draws").count() == 200
+    plain = fit(df, "y", {"model": "Normal", "var": 1.0, "columns": ["signal"]}, residual_var=1.0, **RUN)
+    for bad in ({"coefficients": "x"}, {"rank_by": "inclusion_probability"}, {"probs": (2.0,)}, {"max_coefficients": 0}):
+        with pytest.raises(SpecError):
+            plain.summary(**bad)
+    assert [r["param"] for r in plain.assess_convergence().collect()] == ["intercept"]
+
+
+def test_named_eigen_blocks():
+    a, b = np.eye(2), np.eye(3)
+    got = E.check_sets({"x": a, "y": b}, {"y": np.ones(3), "x": np.full(2, 2.0)}, {"y": 0.5, "x": 1.0})
+    assert [(len(u), lam[0], s) for u, lam, s in got] == [(2, 2.0, 1.0), (3, 1.0, 0.5)]
+    with pytest.raises(DataError):
+        E.check_sets({"x": a}, {"z": np.ones(2)}, 1.0)
+
+
+def test_stream_statistics(spark, data, tmp_path):
+    from bayesmill.streaming.gram import collector, statistics
+
+    df, x, y = data
+    names = ["signal", "nuisance", "noise1", "noise2"]
+    df.repartition(4).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = stream.writeStream.foreachBatch(collector(f"{tmp_path}/stats", "y", names)).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    s = statistics(spark, f"{tmp_path}/stats", names)
+    c = x - x.mean(axis=0)
+    assert s.n == 80 and np.allclose(s.gram, c.T @ c) and np.allclose(s.xty, c.T @ (y - y.mean()))
+
+
+def test_engine_info():
+    from bayesmill.operators.summary import engine_info
+
+    assert set(engine_info()) == {"pyspark", "numpy", "blas"}
