@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .workspace import small_batches
+from .workspace import frugal, small_batches
 
 MARK = "\\"
 
@@ -464,7 +464,7 @@ def format_conversations(rows: DataFrame, template: str = TURNS, controls: tuple
             marks = [[{"start": a, "end": b} for a, b in m] for _, m in done]
             yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([s for s, _ in done], pa.string()), pa.array(marks, span)], [id, "formatted", "loss"])
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(frugal(run), schema)
 
 
 def _in_batches(pairs, n):
@@ -495,4 +495,4 @@ def digests(formatted: DataFrame, controls: tuple[str, ...] = CONTROLS, id: str
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True))], [id, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select(id, "formatted", "loss").mapInArrow(run, schema)
+    return formatted.select(id, "formatted", "loss").mapInArrow(frugal(run), schema)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .workspace import Workspace, map_arrays, put_arrays, small_batches
+from .workspace import Workspace, frugal, map_arrays, put_arrays, small_batches
 
 _U = np.uint64
 WIDTH, THRESHOLD = 5, 0.8
@@ -137,7 +137,7 @@ def build_index(items: DataFrame, ws: Workspace, name: str = "items", id: str =
         yield pa.RecordBatch.from_pydict({"folder": [folder], "kinds": [kinds]}, pa.schema([("folder", pa.string()), ("kinds", pa.list_(pa.int32()))]))
 
     dealt = items.select(F.col(id).cast("long"), text).repartition(1 + int(total // BLOCK_BYTES), F.xxhash64(id, text))
-    found = dealt.mapInArrow(run, "folder string, kinds array<int>").collect()
+    found = dealt.mapInArrow(frugal(run), "folder string, kinds array<int>").collect()
     return sorted((r["folder"], list(r["kinds"])) for r in found)
 
 
@@ -240,7 +240,7 @@ def find_contained(docs: DataFrame, items: DataFrame, ws: Workspace, threshold:
                     d, item, shared, own = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d) if not i else pa.array([i + x for x in d])), pa.array(item, pa.int64()), pa.array(shared), pa.array(own), pa.array([s / o for s, o in zip(shared, own, strict=True)])], [id, "item_id", "shared", "item_shingles", "containment"])
 
-    return docs.select(id, text).mapInArrow(run, schema)
+    return docs.select(id, text).mapInArrow(frugal(run), schema)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, ws: Workspace, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -258,7 +258,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, ws: Workspace, threshol
                     keep[i + d] = False
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .workspace import Workspace, map_arrays, parts, put_arrays, small_batches
+from .workspace import Workspace, frugal, map_arrays, parts, put_arrays, small_batches
 
 _U = np.uint64
 END = np.uint64(0x5F1D36F1A9C4E2B7)  # the end token's hash; words' hashes are spread over all values
@@ -188,7 +188,7 @@ def train(docs: DataFrame, ws: Workspace, shards: int, text: str = "text") -> Mo
         ends = int(c[k == END].sum())
         return pa.table({"shard": [s], "n": [len(k)], "total": [int(c.sum())], "ends": [ends]}, pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("ends", pa.int64())]))
 
-    packed = docs.select(text).mapInArrow(count_words, PACKED)
+    packed = docs.select(text).mapInArrow(frugal(count_words), PACKED)
     got = packed.groupBy("shard").applyInArrow(store_words, "shard int, n long, total long, ends long").collect()
     sizes = np.zeros(shards, np.int64)
     for r in got:
@@ -247,7 +247,7 @@ def train(docs: DataFrame, ws: Workspace, shards: int, text: str = "text") -> Mo
         return pa.table({"r": [r], "bigrams": [int(before.sum())], "word_types": [int((before > 0).sum())], "seen": [seen], "pair_shards": [[p for p, _, _ in pairs]], "pairs": [[n for _, n, _ in pairs]], "pairs_seen": [[sum(x) for x in zip(*(x for _, _, x in pairs), strict=True)] or [0] * 4]}, schema)
 
     PARTIAL = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("width", pa.int32()), ("pair_shard", pa.int32()), ("pairs", pa.int64()), ("pairs_seen", pa.list_(pa.int64()))])
-    packed = docs.select(text).mapInArrow(count_pairs, PACKED)
+    packed = docs.select(text).mapInArrow(frugal(count_pairs), PACKED)
     partial = packed.groupBy("shard").applyInArrow(store_pairs, "range int, keys binary, counts binary, width int, pair_shard int, pairs long, pairs_seen array<long>")
     got = partial.groupBy("range").applyInArrow(store_contexts, "r int, bigrams long, word_types long, seen array<long>, pair_shards array<long>, pairs array<long>, pairs_seen array<long>").collect()
     sizes = np.zeros(shards, np.int64)
@@ -337,7 +337,7 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text",
             cols = [np.diff(at), np.add.reduceat((count > 0).astype(np.int64), at[:-1]), np.add.reduceat(base, at[:-1]), np.add.reduceat(lp, at[:-1])]
             yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(rows.num_columns - 1)), *map(pa.array, cols)], [id, *keep, "n_tokens", "n_known", "base_score", "score"])
 
-    return docs.select(id, *keep, text).mapInArrow(run, schema)
+    return docs.select(id, *keep, text).mapInArrow(frugal(run), schema)
 
 
 def held_out(id: str = "doc_id", folds: int = 7, fold: int = 2):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import small_batches
+from .workspace import frugal, small_batches
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH, PAD = 192, 32
@@ -196,7 +196,7 @@ def encode_column(df: DataFrame, payload: str = "text", media: str = "media", ki
             png = [encode(p or b"", kind=kind, level=level) for p in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(i + 1) for i in range(len(rest))), pa.array(png, pa.binary())], [*rest, media])
 
-    return df.select(F.col(payload).cast("binary").alias("_payload"), *rest).mapInArrow(run, schema)
+    return df.select(F.col(payload).cast("binary").alias("_payload"), *rest).mapInArrow(frugal(run), schema)
 
 
 FEATURES = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "error": "string"}
@@ -225,4 +225,4 @@ def features(df: DataFrame, media: str = "media") -> DataFrame:
             cols = list(zip(*map(one, b.column(0).to_pylist()), strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([*(b.column(i + 1) for i in range(len(rest))), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*rest, *FEATURES])
 
-    return df.select(F.col(media).alias("_media"), *rest).mapInArrow(run, schema)
+    return df.select(F.col(media).alias("_media"), *rest).mapInArrow(frugal(run), schema)

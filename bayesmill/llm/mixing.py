@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .workspace import Workspace
+from .workspace import Workspace, frugal
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 BLOCKS = 1 << 16  # of all sources together, besides one for each source
@@ -206,7 +206,7 @@ def _cut(rows: DataFrame, text: str) -> DataFrame:
             cut = [first_words(s.encode(), k).decode() for s, k in zip(b.column(t).to_pylist(), n, strict=True)]
             yield b.set_column(t, b.schema.field(t), pa.array(cut, b.schema.field(t).type))
 
-    out = rows.mapInArrow(run, rows.schema)
+    out = rows.mapInArrow(frugal(run), rows.schema)
     return out.withColumn("n_chars", F.char_length(text).cast(rows.schema["n_chars"].dataType)) if "n_chars" in rows.columns else out
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
-from .workspace import small_batches
+from .workspace import frugal, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 5000
@@ -240,7 +240,7 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
                 h, x, y = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_pydict({"h": list(h), "x": list(x), "y": list(y)})
 
-    seen = docs.select(text).mapInArrow(run, "h long, x array<double>, y double").orderBy("h", "x", "y").limit(sample).collect()
+    seen = docs.select(text).mapInArrow(frugal(run), "h long, x array<double>, y double").orderBy("h", "x", "y").limit(sample).collect()
     x, y = made_rows()
     if seen:
         x, y = np.vstack([x, np.array([r["x"] for r in seen])]), np.concatenate([y, [r["y"] for r in seen]])
@@ -282,7 +282,7 @@ def find(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text")
             n = np.array(counts, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(n[:, k]) for k in range(4)), pa.array(base), pa.array(every)], schema.names)
 
-    return docs.select(id, text).mapInArrow(run, schema)
+    return docs.select(id, text).mapInArrow(frugal(run), schema)
 
 
 def redact(s: str, model: Model) -> str:

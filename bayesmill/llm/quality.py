@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .workspace import Workspace, small_batches
+from .workspace import Workspace, frugal, small_batches
 
 FEATURES = (
     "log_words", "word_bytes", "upper", "digits", "bangs", "symbols", "bars", "stops", "high_bytes", "line_words",
@@ -170,7 +170,7 @@ def statistics_table(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
                 x = statistics(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _lists(x)], [id, "stats"])
 
-    return docs.select(id, text).mapInArrow(run, schema)
+    return docs.select(id, text).mapInArrow(frugal(run), schema)
 
 
 def _lists(x: np.ndarray) -> pa.Array:
@@ -195,7 +195,7 @@ def learn(rows: DataFrame, **shrinkage: float) -> Discriminant:
 
     total = [Moments(0.0, np.zeros(k), np.zeros((k, k))) for _ in range(2)]
     few = rows.where(F.col("label").isin(0, 1)).select(F.col("label").cast("int"), "stats")
-    sums = few.mapInArrow(run, "label long, n double, mean array<double>, scatter array<double>")
+    sums = few.mapInArrow(frugal(run), "label long, n double, mean array<double>, scatter array<double>")
     for r in sorted(sums.collect(), key=lambda r: (r["label"], r["n"], r["mean"])):
         total[r["label"]] = total[r["label"]].plus(Moments(r["n"], np.array(r["mean"]), np.array(r["scatter"]).reshape(k, k)))
     return Discriminant.fit(*total, **shrinkage)
@@ -209,7 +209,7 @@ def score_table(stats: DataFrame, model: Discriminant, id: str = "doc_id") -> Da
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_matrix(b.column(1))))], [id, "score"])
 
-    return stats.select(id, "stats").mapInArrow(run, schema)
+    return stats.select(id, "stats").mapInArrow(frugal(run), schema)
 
 
 def held_out(id: str = "doc_id", folds: int = 5) -> Column:
@@ -243,4 +243,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, ws: Workspace, threshold: floa
             keep = [model.score(statistics(data[off[i] : off[j]], off[i : j + 1] - off[i])) >= threshold for i, j in tx.runs(off)]
             yield b.filter(pa.array(np.concatenate(keep))) if keep else b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

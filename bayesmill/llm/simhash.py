@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .workspace import Workspace, map_arrays, put_arrays, small_batches
+from .workspace import Workspace, frugal, map_arrays, put_arrays, small_batches
 
 _U = np.uint64
 FAN = 8
@@ -85,7 +85,7 @@ def fingerprint_table(docs: DataFrame, id: str = "doc_id", text: str = "text", w
                 fp = fingerprints(data[off[i] : off[j]], off[i : j + 1] - off[i], width)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(fp.view(np.int64))], [id, "file", "fp"])
 
-    return docs.select(id, _file().alias("file"), text).mapInArrow(run, schema)
+    return docs.select(id, _file().alias("file"), text).mapInArrow(frugal(run), schema)
 
 
 def _file():
@@ -258,7 +258,7 @@ def links(nodes: DataFrame, ws: Workspace, radius: int = 2, split_at: int = 1024
         for i in range(0, len(a), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], ["a", "b"])
 
-    return routed.mapInArrow(run, "a long, b long")
+    return routed.mapInArrow(frugal(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, ws: Workspace, radius: int = 2, width: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -337,4 +337,4 @@ def _by_file(docs: DataFrame, ws: Workspace, kept: DataFrame, id: str) -> DataFr
                     keep[mine] = have[k][at] == own[mine]
             yield pa.RecordBatch.from_arrays(b.columns[:-2], names=b.schema.names[:-2]).filter(pa.array(keep))
 
-    return docs.select("*", bucket(_file()).alias("_file"), F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("_id")).mapInArrow(run, docs.schema)
+    return docs.select("*", bucket(_file()).alias("_file"), F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("_id")).mapInArrow(frugal(run), docs.schema)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .workspace import parts, small_batches
+from .workspace import frugal, parts, small_batches
 
 MAGIC, VERSION, BLOCK = b"BMTK", 1, 1 << 16
 _HEAD = struct.Struct("<4s5Q")
@@ -149,7 +149,7 @@ class Encoder:
     ids, so that a run of texts is put together without a step for each word.
     """
 
-    KEEP = 3_000_000  # pieces kept, of about 24 bytes each
+    KEEP = 2_000_000  # pieces kept, of about 30 bytes each
     RUN = 2 << 20
 
     def __init__(self, path: str):
@@ -298,7 +298,7 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0, fil
             yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "documents": [len(found)], "ids": [write_file(fs, f"{base}/{name}", found, width)]}, pa.schema([("part", pa.int32()), ("name", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]))
 
     at, listed = 0, []
-    for r in sorted(dealt.mapInArrow(run, "part int, name string, documents long, ids long").collect()):
+    for r in sorted(dealt.mapInArrow(frugal(run), "part int, name string, documents long, ids long").collect()):
         listed.append({"name": r["name"], "documents": r["documents"], "ids": r["ids"], "start": at})
         at += r["ids"]
     manifest = {"version": VERSION, "ids": at, "files": listed}
@@ -338,4 +338,4 @@ def read_documents(spark: SparkSession, uri: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(t.doc_id[i:j], pa.int64(), mask=~t.present[i:j]), pa.array(t.first[i:j] + files[k]["start"]), pa.array(np.diff(cut)), pa.array(crc, pa.int64())], schema=schema)
                     i = j
 
-    return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(frugal(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

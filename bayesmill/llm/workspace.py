@@ -10,12 +10,16 @@ whole file.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
 import mmap
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -103,5 +107,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def frugal(task):
+    """A task's function that hands free memory back at its end, as workers live on for other tasks."""
+
+    @functools.wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
