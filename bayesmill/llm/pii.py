@@ -19,6 +19,7 @@ results; an empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
 import random
 import re
 import string
@@ -240,7 +241,17 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
                 h, x, y = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_pydict({"h": list(h), "x": list(x), "y": list(y)})
 
-    seen = docs.select(text).mapInArrow(frugal(run), "h long, x array<double>, y double").orderBy("h", "x", "y").limit(sample).collect()
+    def least(batches):
+        """The ``sample`` rows with the least hashes, whatever their order of arrival."""
+        best: list[tuple] = []
+        for b in batches:
+            best = heapq.nsmallest(sample, [*best, *zip(*(c.to_pylist() for c in b.columns), strict=True)])
+        if best:
+            yield pa.RecordBatch.from_pydict(dict(zip("hxy", map(list, zip(*best, strict=True)), strict=True)))
+
+    schema = "h long, x array<double>, y double"
+    # tasks choose among theirs, a few among those, one at last: no more than the sample is held or sent to the driver
+    seen = docs.select(text).mapInArrow(frugal(run), schema).mapInArrow(least, schema).repartition(16, "h").mapInArrow(least, schema).coalesce(1).mapInArrow(least, schema).collect()
     x, y = made_rows()
     if seen:
         x, y = np.vstack([x, np.array([r["x"] for r in seen])]), np.concatenate([y, [r["y"] for r in seen]])
