@@ -215,9 +215,10 @@ def build(variants: DataFrame, edges: DataFrame) -> LD:
     Either triangle or both may be given; mirrored entries must agree.
     """
     spark = variants.sparkSession
-    v = check_variants(variants, ("pos_in_ld",))
+    v = check_variants(variants, ("pos_in_ld",)).persist()
+    edges = edges.select("parent", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("v").cast("double").alias("v")).persist()
     check_correlations(edges, 1 + ROOT_EPS)
-    pairs = edges.where("i <> j and v <> 0").select("parent", F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j"), F.col("v").cast("double").alias("v"))
+    pairs = edges.where("i <> j and v <> 0").select("parent", F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j"), "v")
     one = pairs.groupBy("parent", "i", "j").agg(F.min("v").alias("v"), F.max("v").alias("top"))
     if one.where(F.col("top") - F.col("v") > ROOT_EPS).count():
         raise DataError("correlations are not symmetric")
