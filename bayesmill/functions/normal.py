@@ -33,15 +33,18 @@ def mixture_quantile(means: np.ndarray, sds: np.ndarray, prob: float, tolerance:
 
     ``sds`` has one value for each draw.
     """
-    each = means + NormalDist().inv_cdf(prob) * sds
+    z = NormalDist().inv_cdf(prob)
+    each = means + z * sds
     low, high = each.min(axis=1), each.max(axis=1)  # the mixture's quantile lies among those of its parts
-    x = each.mean(axis=1)
+    # begin at the quantile of one normal with the mixture's mean and variance
+    x = np.clip(means.mean(axis=1) + z * np.sqrt(means.var(axis=1) + (sds**2).mean()), low, high)
+    inverse, height = 1 / sds, 1 / (sds * math.sqrt(2 * math.pi)) / len(sds)
     for _ in range(100):
-        z = (x[:, None] - means) / sds
+        z = (x[:, None] - means) * inverse
         gap = normal_cdf(z).mean(axis=1) - prob
         low, high = np.where(gap < 0, x, low), np.where(gap < 0, high, x)
         with np.errstate(divide="ignore", over="ignore"):
-            new = x - gap / (np.exp(-z * z / 2) / sds).mean(axis=1) * math.sqrt(2 * math.pi)
+            new = x - gap / (np.exp(-0.5 * z * z) @ height)
         new = np.where((new > low) & (new < high), new, (low + high) / 2)
         done = (abs(new - x) <= tolerance * np.maximum(1, abs(x))).all()
         x = new

@@ -66,4 +66,9 @@ def predict(newdata: DataFrame, draws: DataFrame, names: Sequence[str], interval
                     low[i : i + 1000], high[i : i + 1000] = mixture_quantile(eta, sd, tail), mixture_quantile(eta, sd, 1 - tail)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(low), pa.array(high)], schema.names)
 
-    return out.select(*cols, x).mapInArrow(run, schema)
+    rows = out.select(*cols, x)
+    # the work is in the rows, not in reading them: a table of few partitions is dealt out
+    cores = newdata.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
+    return rows.mapInArrow(run, schema)
