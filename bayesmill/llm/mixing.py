@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import text as tx
 from .workspace import Workspace, frugal
@@ -127,6 +128,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, ws: Workspace, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, shards: int = 16, seed: int = 17, id: str = "doc_id", text: str = "text", source: str = "source"):
         self.docs, self.seed, self.id, self.text, self.source, self.shards = docs, seed, id, text, source, shards
+        self.shard_column, self.order_column = (_free_name(n, docs.columns) for n in ("_shard", "_order"))
         spark = docs.sparkSession
         hashed = docs.select(F.col(id).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"), _content_hash(id, text, seed).alias("h"))
         self.slim = ws.save(hashed, "sizes")
@@ -173,23 +175,24 @@ class Mix:
         return rows.select(F.col("id").alias(self.id), "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), total.alias("taken"))
 
     def rows(self) -> DataFrame:
-        """The mix: the table's columns once for each draw, then _shard and _order (a shard's local shuffle).
+        """The mix: the table's columns once for each draw, then the shard and the place in its local shuffle.
+
+        These two are named by ``shard_column`` and ``order_column``: _shard and
+        _order, with more underscores if the table has such columns.
 
         A document that is taken in part is cut after its last word taken; if
         there is a column n_chars it then counts what is left.
         """
         c = self.docs.columns
-        if clash := {"_shard", "_order"} & set(c):
-            raise ValueError(f"columns {sorted(clash)} are taken")
         full = self.docs.select(F.struct(*[F.col(f"`{x}`") for x in c]).alias("_row"), F.col(self.id).alias("_id"), F.col(self.source).alias("_source"), word_count(self.text).alias("size"), _content_hash(self.id, self.text, self.seed).alias("h"))
         drawn = self._placed(full, "_id", "_source").withColumn("_draw", F.explode("_draws"))
         words = self._words(F.col("_draw"))
         drawn = drawn.withColumn("_words", words).where("_words > 0 or size = 0")
-        shard = [F.col("_draw.shard").alias("_shard"), F.xxhash64(F.lit(self.seed), F.col("h"), F.col("_draw.epoch")).alias("_order")]
+        shard = [F.col("_draw.shard").alias(self.shard_column), F.xxhash64(F.lit(self.seed), F.col("h"), F.col("_draw.epoch")).alias(self.order_column)]
         columns = [F.col("_row")[x].alias(x) for x in c]
         whole = drawn.where("_words = size").select(*columns, *shard)
-        short = drawn.where("_words < size").select(*columns, *shard, F.col("_words"))
-        return whole.unionByName(_cut(short, self.text).select(*whole.columns))
+        short = drawn.where("_words < size").select(*columns, *shard, F.col("_words").alias("_cut_after"))
+        return whole.union(_cut(short, self.text))
 
 
 def first_words(raw: bytes, n: int) -> bytes:
@@ -198,18 +201,31 @@ def first_words(raw: bytes, n: int) -> bytes:
     return raw[: ends[n - 1]] if 0 < n <= len(ends) else raw[: 0 if n <= 0 else len(raw)]
 
 
+def _free_name(name: str, taken: Sequence[str]) -> str:
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def _cut(rows: DataFrame, text: str) -> DataFrame:
-    """Keep the first ``_words`` words of each text; few rows come here, one for each source."""
+    """Keep the first words of each text, as many as the last column says, and drop that; few rows come here, one for each source."""
+    schema = StructType(rows.schema.fields[:-1])
+    chars = schema.fieldNames().index("n_chars") if "n_chars" in schema.fieldNames() else None
+
     def run(batches):
         for b in batches:
-            t, n = b.schema.get_field_index(text), b.column(b.schema.get_field_index("_words")).to_pylist()
-            cut = [first_words(s.encode(), k).decode() for s, k in zip(b.column(t).to_pylist(), n, strict=True)]
-            yield b.set_column(t, b.schema.field(t), pa.array(cut, b.schema.field(t).type))
+            t = b.schema.names.index(text)
+            cut = [first_words(s.encode(), k).decode() for s, k in zip(b.column(t).to_pylist(), b.columns[-1].to_pylist(), strict=True)]
+            columns = list(b.columns[:-1])
+            columns[t] = pa.array(cut, columns[t].type)
+            if chars is not None:
+                columns[chars] = pa.array([len(s) for s in cut]).cast(columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
 
-    out = rows.mapInArrow(frugal(run), rows.schema)
-    return out.withColumn("n_chars", F.char_length(text).cast(rows.schema["n_chars"].dataType)) if "n_chars" in rows.columns else out
+    return rows.mapInArrow(frugal(run), schema)
 
 
-def write_shards(rows: DataFrame, path: str) -> None:
+def write_shards(mix: Mix, path: str) -> None:
     """Write a mix as a folder for each shard, each shuffled in its own order."""
-    rows.repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order").drop("_order").write.partitionBy("_shard").parquet(path)
+    by = [mix.shard_column, mix.order_column]
+    mix.rows().repartitionByRange(*by).sortWithinPartitions(*by).drop(mix.order_column).write.partitionBy(mix.shard_column).parquet(path)

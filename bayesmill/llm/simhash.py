@@ -288,22 +288,23 @@ def keep_one(docs: DataFrame, ws: Workspace, radius: int = 2, width: int = 3, id
     """
     named = _components(docs, ws, radius, width, id, text)
     own = F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)) == F.col("component_id")
-    kept = ws.save(named.where(own).groupBy(F.col(id).alias("kept_id")).agg(F.count("*").alias("kept_rows"), F.min("file").alias("file")), "kept")
+    kept = ws.save(named.where(own).groupBy(F.col(id).alias(KEPT)).agg(F.count("*").alias("kept_rows"), F.min("file").alias("file")), "kept")
     once = _by_file(docs, ws, kept.where("kept_rows = 1"), id)
-    repeated = kept.where("kept_rows > 1").select("kept_id")
+    repeated = kept.where("kept_rows > 1").select(KEPT)
     if repeated.isEmpty():
         return once
-    rows = docs.join(repeated, F.col(id).eqNullSafe(F.col("kept_id")), "left_semi")
-    least = rows.groupBy(F.col(id).alias("kept_id")).agg(F.min(F.struct(*[F.col(c) for c in [text, *(c for c in rows.columns if c not in (id, text))]])).alias("r"))
-    picked = least.select(*[(F.col("kept_id") if c == id else F.col("r")[c]).alias(c) for c in docs.columns])
+    rows = docs.join(repeated, F.col(id).eqNullSafe(F.col(KEPT)), "left_semi")
+    least = rows.groupBy(F.col(id).alias(KEPT)).agg(F.min(F.struct(*[F.col(c) for c in [text, *(c for c in rows.columns if c not in (id, text))]])).alias("r"))
+    picked = least.select(*[(F.col(KEPT) if c == id else F.col("r")[c]).alias(c) for c in docs.columns])
     return once.unionByName(picked)
 
 
 NO_ID = (1 << 63) - 1
+KEPT = "__kept_id"  # a name that no table is likely to have
 
 
 def _by_file(docs: DataFrame, ws: Workspace, kept: DataFrame, id: str) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``kept(kept_id, file)``, without an exchange of texts.
+    """The rows of ``docs`` whose id is in ``kept(id, file)``, without an exchange of texts.
 
     Ids to keep are dealt by the file that their row is read from and stored, so
     a task that reads a file looks only at that file's.  Rows that come from no
@@ -311,7 +312,7 @@ def _by_file(docs: DataFrame, ws: Workspace, kept: DataFrame, id: str) -> DataFr
     """
     files = min(1 << 16, len(docs.inputFiles()))
     if not files or not kept.where(F.col("file") == F.xxhash64(F.lit(""))).isEmpty():
-        return docs.join(kept.select("kept_id"), F.col(id).eqNullSafe(F.col("kept_id")), "left_semi")
+        return docs.join(kept.select(KEPT), F.col(id).eqNullSafe(F.col(KEPT)), "left_semi")
     bucket = lambda file: F.pmod(file, F.lit(files)).cast("int")
     uri = ws.path("files")
 
@@ -319,7 +320,7 @@ def _by_file(docs: DataFrame, ws: Workspace, kept: DataFrame, id: str) -> DataFr
         put_arrays(f"{uri}/{key[0].as_py()}", id=np.sort(rows["id"].to_numpy()))
         return pa.table({"n": [len(rows)]})
 
-    ids = kept.select(bucket(F.col("file")).alias("b"), F.coalesce(F.col("kept_id").cast("long"), F.lit(NO_ID)).alias("id"))
+    ids = kept.select(bucket(F.col("file")).alias("b"), F.coalesce(F.col(KEPT).cast("long"), F.lit(NO_ID)).alias("id"))
     stored = {r["b"] for r in ids.select("b").distinct().collect()}
     ids.groupBy("b").applyInArrow(store, "n long").agg(F.sum("n")).collect()
 
@@ -337,4 +338,4 @@ def _by_file(docs: DataFrame, ws: Workspace, kept: DataFrame, id: str) -> DataFr
                     keep[mine] = have[k][at] == own[mine]
             yield pa.RecordBatch.from_arrays(b.columns[:-2], names=b.schema.names[:-2]).filter(pa.array(keep))
 
-    return docs.select("*", bucket(_file()).alias("_file"), F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("_id")).mapInArrow(frugal(run), docs.schema)
+    return docs.select("*", bucket(_file()).alias("__file"), F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("__id")).mapInArrow(frugal(run), docs.schema)

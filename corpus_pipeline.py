@@ -37,8 +37,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the sources' target weights take them, in shuffled shards."""
-    rows = mixing.Mix(docs, Workspace(spark, "pipeline-mix")).rows()
-    return rows.repartitionByRange(parts(spark), "_shard", "_order").sortWithinPartitions("_shard", "_order").drop("_shard", "_order")
+    plan = mixing.Mix(docs, Workspace(spark, "pipeline-mix"))
+    by = [plan.shard_column, plan.order_column]
+    return plan.rows().repartitionByRange(parts(spark), *by).sortWithinPartitions(*by).drop(*by)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

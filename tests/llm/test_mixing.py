@@ -41,7 +41,7 @@ def table(spark):
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), ["a", "b", "c", None][int(rng.integers(0, 4)) if i % 3 else 0], 0) for i in range(600)]
     rows += [(600, None, "a", 0), (601, "", "empty", 0), (602, "one", "one", 0), (5, "again", "b", 0), (5, "again", "b", 0), (None, "x y", "c", 0)]
-    return rows, spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").withColumn("size", F.lit("clash")).withColumn("_s", F.lit(1))
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").withColumn("size", F.lit("clash")).withColumn("_s", F.lit(1)).withColumn("_shard", F.lit("own"))
 
 
 def test_mix(spark):
@@ -70,12 +70,20 @@ def test_mix(spark):
     assert sorted(map(repr, again)) == sorted(map(repr, got))
     out = mix.rows()
     kept = out.collect()
-    assert out.columns == [*df.columns, "_shard", "_order"]
+    assert out.columns == [*df.columns, "__shard", "_order"] and {r["_shard"] for r in kept} == {"own"}
     assert sum(len((r["text"] or "").split()) for r in kept) == total
-    assert {r["_shard"] for r in kept} == {0, 1, 2, 3}
+    assert {r["__shard"] for r in kept} == {0, 1, 2, 3}
     assert all(r["n_chars"] in (0, len(r["text"])) for r in kept if r["text"])
 
 
+def test_written_shards(spark, tmp_path):
+    _, df = table(spark)
+    mix = M.Mix(df.drop("_shard"), Workspace(spark, "t"), shards=3)
+    M.write_shards(mix, f"{tmp_path}/mix")
+    got = spark.read.parquet(f"{tmp_path}/mix")
+    assert got.count() == mix.rows().count() and {r[0] for r in got.select("_shard").distinct().collect()} == {0, 1, 2}
+
+
 def test_empty_table(spark):
     _, df = table(spark)
     mix = M.Mix(df.limit(0), Workspace(spark, "t"))

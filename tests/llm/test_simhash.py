@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from bayesmill.llm import simhash as S
 from bayesmill.llm.components import components
@@ -89,6 +90,7 @@ def test_query_columns_and_edge_cases(spark):
 def test_keep_one_reads_back_by_file(spark, tmp_path):
     rows = [(i, f"word{i % 30} some other text {i % 30} goes on {i % 30}", i) for i in range(90)] + [(None, "quite something else", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _b long")
+    df = df.withColumn("_file", F.lit(1)).withColumn("_id", F.lit(2)).withColumn("kept_id", F.lit(3))
     df.repartition(5).write.parquet(f"{tmp_path}/d")
     docs = spark.read.parquet(f"{tmp_path}/d")
     plain = S.keep_one(df, Workspace(spark, "t")).collect()
