@@ -107,6 +107,19 @@ def from_observations(df: DataFrame, y: str, x: Sequence[str] | str) -> SuffStat
     return SuffStats(n, names, s[1:, 1:], s[1:, 0].copy(), float(s[0, 0]), m[1:], float(m[0]))
 
 
+def working_columns(df: DataFrame, columns: Sequence[str], standardize: bool = True) -> DataFrame:
+    """Columns less their means and, if asked, over their standard deviations (n - 1); for use outside of fits, which fold this into the Gram matrix."""
+    one = df.agg(*[f(F.col(c).cast("double")).alias(f"{k}_{i}") for i, c in enumerate(columns) for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    if any(one[f"s_{i}"] in (None, 0.0) for i in range(len(columns))):
+        raise DataError("a column is constant")
+    return df.withColumns({c: (F.col(c).cast("double") - one[f"m_{i}"]) / (one[f"s_{i}"] if standardize else 1.0) for i, c in enumerate(columns)})
+
+
+def same_names(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two one-column tables hold the same values equally often."""
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
 # -- triplets ---------------------------------------------------------------
 
 def raw_triplets(df: DataFrame, columns: Sequence[str], block: str = "all") -> DataFrame:

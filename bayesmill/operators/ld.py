@@ -304,6 +304,20 @@ def eigen_memory_mb(p) -> float:
     return 40 * p * p / 2**20
 
 
+def eligible(blocks: DataFrame, max_block_size: int = 2000, memory_limit_mb: float = 512) -> DataFrame:
+    """Blocks ``(block, size)`` whose eigenvalues may be computed: small enough, within the workspace allowed."""
+    size = F.col("size").cast("double")
+    return blocks.where((size <= max_block_size) & (40 * size * size / 2**20 <= memory_limit_mb))
+
+
+def pointers(edges: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Column pointers of the strict lower triangles: (block, j, start) of each column, from ``edges(block, i, j)``, ``sizes(block, size)``."""
+    n = edges.where("i <> j").groupBy("block", F.least("i", "j").cast("int").alias("j")).agg(F.count("*").alias("n"))
+    all_ = sizes.select("block", F.explode(F.sequence(F.lit(0), F.col("size").cast("int") - 1)).alias("j"))
+    w = Window.partitionBy("block").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
+    return all_.join(n, ["block", "j"], "left").select("block", "j", F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(w), F.lit(0)).alias("start"))
+
+
 def _limits(max_block_size, memory_limit_mb) -> None:
     whole(max_block_size, "max_block_size", 1)
     number(memory_limit_mb, "memory_limit_mb", above=0)

@@ -437,6 +437,79 @@ def ld_regularize(spark, sf):
     return rounded(L.regularize(_ld(spark, sf), "shrink", 0.1).report, minimum_eigenvalue_before=8, minimum_eigenvalue_after=8)
 
 
+@query(f"""WITH {_ISLANDS}, s AS (SELECT concat(parent, '.', CAST(island AS string)) AS block, parent, count(*) AS size FROM islands GROUP BY parent, island)
+SELECT block, size FROM s WHERE size <= 14 AND 40.0 * size * size / 1048576 <= 0.006""")
+def ld_eligible(spark, sf):
+    return L.eligible(_local(spark, sf)[1], 14, 0.006)
+
+
+@query(f"""WITH {_ISLANDS}, p AS (SELECT concat(x.parent, '.', CAST(x.island AS string)) AS block, x.parent, x.pos_in_ld, CAST(row_number() OVER (PARTITION BY x.parent, x.island ORDER BY x.pos_in_ld) - 1 AS int) AS j FROM islands x),
+n AS (SELECT parent, j, count(*) AS n FROM {{edges}} e GROUP BY parent, j)
+SELECT block, p.j, CAST(coalesce(sum(coalesce(n, 0)) OVER (PARTITION BY block ORDER BY p.j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS start FROM p LEFT JOIN n ON n.parent = p.parent AND n.j = p.pos_in_ld""")
+def ld_pointers(spark, sf):
+    at = _islands(spark, sf).withColumn("block", F.concat_ws(".", "parent", F.col("island").cast("string")))
+    at = at.withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy("pos_in_ld")) - 1)
+    side = lambda k: at.select("parent", F.col("pos_in_ld").alias(k), F.col("place").alias(f"p{k}"))
+    e = _edges(spark, sf).join(at.select("parent", F.col("pos_in_ld").alias("i"), "block", F.col("place").alias("pi")), ["parent", "i"]).join(side("j"), ["parent", "j"])
+    return L.pointers(e.select("block", F.col("pi").alias("i"), F.col("pj").alias("j")), at.groupBy("block").agg(F.count("*").alias("size")))
+
+
+@query()
+def eigen_blocks(spark, sf):
+    ld = _ld(spark, sf)
+    diagonal = ld.variants.select("block", F.col("place").alias("i"), F.col("place").alias("j"), F.lit(1.0).alias("v"))
+    e = E.decompose_blocks(ld.correlations().select("block", "i", "j", "v").unionByName(diagonal))
+    return e.select("block", "p", "q", F.round(F.array_max("values"), 8).alias("largest"), F.round(F.array_min("values"), 8).alias("smallest"))
+
+
+# -- columns, alleles, sets -------------------------------------------------
+
+@query("SELECT l_orderkey, l_linenumber, " + ", ".join(f"round((CAST({c} AS double) - m{k}) / s{k}, 8) AS {c}" for k, c in enumerate(X)) + " FROM lineitem CROSS JOIN (SELECT " + ", ".join(f"avg(CAST({c} AS double)) AS m{k}, stddev_samp(CAST({c} AS double)) AS s{k}" for k, c in enumerate(X)) + " FROM lineitem) t")
+def standardized_columns(spark, sf):
+    out = G.working_columns(table(spark, sf, "lineitem"), X)
+    return out.select("l_orderkey", "l_linenumber", *[F.round(c, 8).alias(c) for c in X])
+
+
+@query("SELECT ID, A1, A0 FROM {variants} v WHERE concat(A1, A0) IN ('AT', 'TA', 'CG', 'GC')")
+def ambiguous_alleles(spark, sf):
+    return table(spark, sf, "variants").where(W.palindromic(F.col("A1"), F.col("A0"))).select("ID", "A1", "A0")
+
+
+@query("SELECT ID, CASE WHEN length(A1) = 1 THEN translate(A1, 'ACGT', 'TGCA') END AS other FROM {gwas} g")
+def complement_alleles(spark, sf):
+    return table(spark, sf, "gwas").select("ID", W.complement(F.col("A1")).alias("other"))
+
+
+@query("SELECT ID, 'gwas' AS side FROM {gwas} g UNION ALL SELECT ID, 'ld' AS side FROM {variants} v")
+def union_tables(spark, sf):
+    return table(spark, sf, "gwas").select("ID", F.lit("gwas").alias("side")).unionByName(table(spark, sf, "variants").select("ID", F.lit("ld").alias("side")))
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT ID FROM {gwas} g EXCEPT SELECT ID FROM {variants} v) a) + (SELECT count(*) FROM (SELECT ID FROM {variants} v EXCEPT SELECT ID FROM {gwas} g) b) = 0 AS same_names, true AS same_as_itself")
+def set_equality(spark, sf):
+    g, v = (table(spark, sf, t).select("ID") for t in ("gwas", "variants"))
+    return spark.createDataFrame([(G.same_names(g, v), G.same_names(g, g))], "same_names boolean, same_as_itself boolean")
+
+
+@query(f"SELECT ID, round(beta * s / 2.0, 8) AS mean, round(1.0 / 4.0, 8) AS var FROM (SELECT ID, beta, CASE WHEN status = 'retained+1' THEN 1.0 ELSE -1.0 END AS s FROM ({_HARMONIZED}) t WHERE status LIKE 'retained%') u")
+def back_transform(spark, sf):
+    """Coefficients of a working scale of 2 turned back to the effects' own allele: signs change means, not variances."""
+    kept = W.retained(_harmonized(spark, sf))
+    scale = 2.0
+    return kept.select("ID", F.round(F.col("g_BETA") * F.col("orientation") / scale, 8).alias("mean"), F.round(F.lit(1.0) / F.lit(scale**2), 8).alias("var"))
+
+
+@query("""WITH g AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS idx, BETA, SE FROM {gwas} q), w AS (SELECT idx, sqrt(2.5 * 999.0 / (BETA * BETA / (SE * SE) + 998.0) / (SE * SE)) AS d FROM g)
+SELECT CAST(a.idx AS int) AS i, CAST(b.idx AS int) AS j, round(CASE WHEN a.idx = b.idx THEN 1.0 ELSE 0.5 END * a.d * b.d, 3) AS v FROM w a JOIN w b ON b.idx = a.idx OR b.idx = a.idx + 1""")
+def gwas_convert(spark, sf):
+    rows = table(spark, sf, "gwas").withColumn("idx", (F.row_number().over(Window.orderBy("k")) - 1).cast("int"))
+    own = rows.select(F.lit("a").alias("block"), F.col("idx").alias("i"), F.col("idx").alias("j"), F.lit(1.0).alias("v"))
+    top = rows.agg(F.max("idx")).first()[0]
+    next_ = rows.where(F.col("idx") < top).select(F.lit("a").alias("block"), F.col("idx").alias("i"), (F.col("idx") + 1).alias("j"), F.lit(0.5).alias("v"))
+    g, _ = W.convert(rows, own.unionByName(next_), 1000, beta="BETA", se="SE", scale="original", response_var=2.5)
+    return g.select("i", "j", F.round("v", 3).alias("v"))
+
+
 # -- draws ------------------------------------------------------------------
 
 def _long(spark, sf):
@@ -686,6 +759,33 @@ def predict_interval(spark, sf):
     return R.predict(new, P.thin(f.draws, 0, 8), list(X), "prediction")
 
 
+@query("SELECT 'h' || CAST(chain AS string) AS param, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75 FROM {draws} d GROUP BY chain")
+def hyper_summary(spark, sf):
+    d = _wide(spark, sf).groupBy("chain", "draw").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("h"), F.col("idx").cast("string")), "value"))).alias("hyper"), F.lit(1.0).alias("residual_var"))
+    out = P.summarize(P.hyper_long(d).where("param <> 'residual_var'"), ["param"], (0.25, 0.75))
+    return out.select("param", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "q25", "q75")])
+
+
+@query("""WITH p AS (SELECT draw, chain, abs(value) / 1000 AS x FROM {draws} d), r AS (SELECT draw, max(CASE WHEN chain = 0 THEN x END) AS a, max(CASE WHEN chain = 1 THEN x END) AS b, max(CASE WHEN chain = 2 THEN x END) AS t FROM p GROUP BY draw)
+SELECT param, round(avg(x), 8) AS mean, round(stddev_samp(x), 8) AS sd FROM (SELECT 'a' AS param, a AS x FROM r UNION ALL SELECT 'b', b FROM r UNION ALL SELECT 'Total', t FROM r UNION ALL SELECT 'Cross-block', t - (a + b) FROM r) u GROUP BY param""")
+def pve_summary(spark, sf):
+    x = F.abs("value") / 1000
+    pick = lambda k: F.max(F.when(F.col("idx") == k, x))
+    d = _wide(spark, sf).groupBy("chain", "draw").agg(F.array(pick(0), pick(1)).alias("pve_standalone"), pick(2).alias("pve_total"))
+    out = P.summarize(P.pve_long(d, ["a", "b"]), ["param"], (0.5,))
+    return out.select("param", F.round("mean", 8).alias("mean"), F.round("sd", 8).alias("sd"))
+
+
+@query()
+def fit_summary(spark, sf):
+    return _lineitem_fit(spark, sf, pve=True, model="SpikeSlab").summary()["coefficients"]
+
+
+@query()
+def fit_convergence(spark, sf):
+    return _lineitem_fit(spark, sf, pve=True, model="GlobalLocal").assess_convergence()
+
+
 @query()
 def convergence(spark, sf):
     return D.assess(_long(spark, sf).withColumn("chain", F.col("chain").cast("int")))
