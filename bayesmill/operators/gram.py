@@ -2,7 +2,8 @@
 
 Two forms.  ``SuffStats`` holds arrays on the driver and suits the sampler; it
 comes from one scan in which every task reduces its rows to a count, means and
-centred cross-products, merged pairwise (no difference of large sums).  The
+centred cross-products, which are merged row by row of the matrix (no difference
+of large sums).  The
 other form is a table of triplets ``(block, i, j, v)`` with ``i <= j`` beside a
 table of predictors, worked on by Catalyst alone.
 """
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,16 +58,23 @@ def _partial(x: np.ndarray) -> tuple:
     return len(x), m, c.T @ c
 
 
-_SCHEMA = "n long, mean array<double>, m2 array<double>"
-
-
-def _row(a: tuple) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"n": [a[0]], "mean": [a[1].tolist()], "m2": [a[2].ravel().tolist()]})
+PARTIAL_BYTES = 1 << 36  # of partial matrices in all, which bounds the number of tasks that make one
 
 
 def moments(df: DataFrame, columns: Sequence[str], array: str | None = None) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, means and centred cross-products of ``columns`` and then the entries of ``array``."""
+    """Count, means and centred cross-products of ``columns`` and then the entries of ``array``.
+
+    Every task sends its matrix by rows, and each row of the result is merged
+    from all tasks' by itself, in the tasks' order; so no task holds more than
+    one matrix, and the outcome does not depend on which task ends first.
+    """
     select = [F.col(c).cast("double") for c in columns] + ([F.col(array).cast("array<double>")] if array else [])
+    rows = df.select(*select)
+    first = df.select(F.size(array).alias("k")).first() if array else None
+    p = len(columns) + (first["k"] if first else 0)
+    most = max(4 * df.sparkSession.sparkContext.defaultParallelism, PARTIAL_BYTES // max(16 * p * p, 1))
+    if rows.rdd.getNumPartitions() > most:
+        rows = rows.coalesce(most)
 
     def scan(batches):
         total = None
@@ -77,26 +86,31 @@ def moments(df: DataFrame, columns: Sequence[str], array: str | None = None) ->
                     x = np.column_stack([x, b.columns[-1].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)])
                 total = _partial(x) if total is None else _merge(total, _partial(x))
         if total is not None:
-            yield _row(total)
-
-    def fold(batches):
-        total = None
-        for b in batches:
-            for r in b.to_pylist():
-                p = len(r["mean"])
-                one = (r["n"], np.array(r["mean"]), np.array(r["m2"]).reshape(p, p))
-                total = one if total is None else _merge(total, one)
-        if total is not None:
-            yield _row(total)
-
-    parts = df.select(*select).mapInArrow(scan, _SCHEMA)
-    # partial sums meet in a few tasks before one takes them all, as each is a p x p matrix
-    few = parts.withColumn("k", F.spark_partition_id() % 16).repartition(16, "k").drop("k").mapInArrow(fold, _SCHEMA)
-    r = few.coalesce(1).mapInArrow(fold, _SCHEMA).first()
-    if r is None:
+            n, mean, m2 = total
+            part = TaskContext.get().partitionId()
+            for i in range(0, len(mean), 64):
+                k = min(64, len(mean) - i)
+                yield pa.RecordBatch.from_pydict({"i": list(range(i, i + k)), "part": [part] * k, "n": [n] * k, "mean": [mean.tolist()] * k, "m2": m2[i : i + k].tolist()})
+
+    def fold(key, rows):
+        i, total = key[0].as_py(), None
+        for r in rows.sort_by("part").to_batches(max_chunksize=256):
+            for n, mean, m2 in zip(r["n"].to_pylist(), r["mean"], r["m2"], strict=True):
+                m, s = (x.values.to_numpy(zero_copy_only=False) for x in (mean, m2))
+                if total is None:
+                    total = (n, m.copy(), s.copy())
+                else:
+                    have, o, t = total
+                    d = m - o
+                    total = (have + n, o + d * (n / (have + n)), t + s + d * (d[i] * have * n / (have + n)))
+        return pa.table({"i": [i], "n": [total[0]], "mean": [total[1].tolist()], "m2": [total[2].tolist()]})
+
+    got = rows.mapInArrow(scan, "i long, part long, n long, mean array<double>, m2 array<double>").groupBy("i").applyInArrow(fold, "i long, n long, mean array<double>, m2 array<double>").collect()
+    if not got:
         raise DataError("no observations")
-    p = len(r["mean"])
-    return r["n"], np.array(r["mean"]), np.array(r["m2"]).reshape(p, p)
+    got.sort(key=lambda r: r["i"])
+    s = np.array([r["m2"] for r in got])
+    return got[0]["n"], np.array(got[0]["mean"]), (s + s.T) / 2
 
 
 def from_observations(df: DataFrame, y: str, x: Sequence[str] | str) -> SuffStats:
