@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .operators import gram as G
 from .plans import planner, tasks
-from .plans.backends import Dense, LowRank, Sparse
+from .plans.backends import Blocks, Dense, LowRank, Sparse
 from .plans.kernel import Problem
 from .plans.spec import Block, Controls, Residual, SpecError, calibrate, flag, likelihood_df, parse_blocks, residual_prior
 from .sources.quality import DataError, check_observations
@@ -181,24 +181,63 @@ def fit_ss(spark: SparkSession, n: int, xtx, xty, blocks: Mapping | Sequence, yt
     flag(psd, "psd")
     listed = list(xtx.values()) if isinstance(xtx, Mapping) else xtx if isinstance(xtx, list) and len(xtx) and np.ndim(xtx[0]) == 2 else [xtx]
     listed = [G.check_gram(b) for b in listed]
+    parsed = parse_blocks(blocks, "indices")
+    intercept = x_means is not None
+    if not intercept and any(b.standardize for b in parsed):
+        warnings.warn("standardizing cross-products without means treats them as centred; there is no intercept", stacklevel=2)
+    _, fits = planner.plan_storage([(len(b), int(np.count_nonzero(b))) for b in listed], storage, storage_limit)
+    if not fits:
+        warnings.warn("cross-products take more memory than the limit", stacklevel=2)
+    if len(listed) > 1 and not (intercept and np.any(np.asarray(x_means) != 0)):
+        return _fit_blocks(spark, n, listed, xty, yty, x_means, y_mean, names, parsed, likelihood, psd, controls, residual, ref)
     sizes = [len(b) for b in listed]
     whole = np.zeros((sum(sizes), sum(sizes)))
     for b, at in zip(listed, np.cumsum([0, *sizes[:-1]]), strict=True):
         whole[at : at + len(b), at : at + len(b)] = b
     s = G.check_sufficient(n, whole, xty, yty, x_means, y_mean, names)
-    parsed = parse_blocks(blocks, "indices")
     order, block_of = _indices(parsed, s.names)
     df = likelihood_df(likelihood, s.n, s.intercept)
-    if not s.intercept and any(b.standardize for b in parsed):
-        warnings.warn("standardizing cross-products without means treats them as centred; there is no intercept", stacklevel=2)
     if psd:
         G.check_psd(s.gram, s.xty, s.yty)
-    _, fits = planner.plan_storage([(len(b), int(np.count_nonzero(b))) for b in listed], storage, storage_limit)
-    if not fits:
-        warnings.warn("cross-products take more memory than the limit", stacklevel=2)
-    coupled = s.intercept and bool(np.any(s.x_means != 0))
-    of = np.repeat(np.arange(len(listed)), sizes)[order]
-    return _fit_centred(spark, s, parsed, block_of, order, df, df, controls, residual, ref, gram_block=[0] * len(order) if coupled else of.tolist(), info={"intercept": s.intercept})
+    return _fit_centred(spark, s, parsed, block_of, order, df, df, controls, residual, ref, info={"intercept": s.intercept})
+
+
+def _fit_blocks(spark, n, listed, xty, yty, x_means, y_mean, names, parsed, likelihood, psd, controls, residual, ref) -> Fit:
+    """Diagonal blocks that no means couple: they stay blocks, and predictors keep the blocks' order."""
+    at = np.concatenate([[0], np.cumsum([len(b) for b in listed])])
+    xty = np.asarray(xty, float).reshape(-1)
+    if len(xty) != at[-1]:
+        raise DataError("xty must be finite, one for each predictor")
+    names = list(names) if names is not None else [f"x{i + 1}" for i in range(len(xty))]
+    cut = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+    checked = [G.check_sufficient(n, b, xty[a:z], yty, None if x_means is None else np.zeros(z - a), y_mean, names[a:z]) for b, (a, z) in zip(listed, cut, strict=True)]
+    if len(set(names)) != len(names):
+        raise DataError("names must be given and differ")
+    if psd:
+        for s in checked:
+            G.check_psd(s.gram, s.xty, None)
+    y2, intercept = checked[0].yty, x_means is not None
+    df = likelihood_df(likelihood, n, intercept)
+    order, of = _indices(parsed, names)
+    block_of = np.empty(len(names), np.int64)
+    block_of[order] = of
+    diag = np.concatenate([np.diag(s.gram) for s in checked])
+    scale = _working(diag, n, np.array([parsed[b].standardize for b in block_of]))
+    grams = [s.gram / np.outer(scale[a:z], scale[a:z]) for s, (a, z) in zip(checked, cut, strict=True)]
+    for g, (a, z) in zip(grams, cut, strict=True):
+        flat = [i for i in range(z - a) if not parsed[block_of[a + i]].penalized]
+        G.check_fixed_rank(g[np.ix_(flat, flat)])
+    ready, prior = _prepare(parsed, block_of, diag / scale**2, n, df, None if y2 is None else y2 / (n - 1), residual, ref)
+    if prior.var is None and y2 is None:
+        raise DataError("yty is needed to learn the residual variance")
+    part = planner.components(block_of.tolist(), np.repeat(np.arange(len(grams)), np.diff(at)).tolist(), ready, prior.var is None)
+    problems = []
+    for c in range(int(part.max(initial=-1)) + 1):
+        idx = np.flatnonzero(part == c)
+        own = sorted(set(block_of[idx].tolist()))
+        be = Blocks([g for g, a in zip(grams, at[:-1], strict=True) if part[a] == c], (xty / scale)[idx], y2 or 0.0)
+        problems.append(Problem(be, [ready[b] for b in own], np.array([own.index(b) for b in block_of[idx].tolist()]), prior, df, idx, scale[idx], own, len(ready), np.zeros(len(idx)), c == 0))
+    return Fit(spark, ready, names, block_of.tolist(), prior, controls, n, df, problems, y_mean, {"scale": scale, "intercept": intercept})
 
 
 def fit_sparse(spark: SparkSession, n: int, triplets: DataFrame, predictors: DataFrame, blocks: Mapping | Sequence, yty: float | None = None, y_mean: float | None = None, likelihood: int | None = None, **kw) -> Fit:

@@ -17,7 +17,7 @@ from .operators import ld as L
 from .plans import planner, tasks
 from .plans.backends import Correlation
 from .plans.kernel import Problem
-from .plans.spec import SpecError, number, parse_blocks
+from .plans.spec import SpecError, number, parse_blocks, whole
 from .sources.quality import DataError, check_gwas
 
 
@@ -33,6 +33,8 @@ def fit_gwas(gwas: DataFrame, ld: L.LD, blocks: Mapping | Sequence, scale: str =
     number(1 - ld_shrink, "ld_shrink", least=0)
     if scale not in ("auto", *W.SCALES):
         raise SpecError("scale must be auto, standardized or original")
+    if residual_df_gwas is not None:
+        whole(residual_df_gwas, "residual_df_gwas", 1)
     g = check_gwas(gwas)
     rows = W.harmonize(g, ld.variants).persist()
     counts = {r["status"]: r["n"] for r in W.status_counts(rows).collect()}

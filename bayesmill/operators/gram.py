@@ -226,6 +226,8 @@ def check_sufficient(n: int, gram, xty, yty=None, x_means=None, y_mean=None, nam
     if len(set(names)) != p or any(not n for n in names):
         raise DataError("names must be given and differ")
     if x_means is None:
+        if bad := [names[j] for j in np.flatnonzero(np.diag(g) <= 100 * EPS * np.maximum(1, abs(np.diag(g))))]:
+            raise DataError(f"predictors {bad} are constant")
         return SuffStats(int(n), names, g, xty, None if yty is None else float(yty), np.zeros(p), None, intercept=False)
     m = np.asarray(x_means, float).reshape(-1)
     if m.shape != (p,) or not np.isfinite(m).all() or not np.isfinite(y_mean):

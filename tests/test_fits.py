@@ -75,14 +75,15 @@ def test_blocks_equal_dense_and_split(spark):
     assert (len(a.problems), len(b.problems)) == (1, 2)
     da, db = a.draws.collect(), b.draws.collect()
     assert len(db) == 2800 and {len(r["theta"]) for r in db} == {4}
-    assert np.allclose(np.mean([r["theta"] for r in da], axis=0), np.mean([r["theta"] for r in db], axis=0), atol=0.03)
-    order = [0, 2, 1, 3]
+    means = [np.mean([r["theta"] for r in d], axis=0) for d in (da, db)]
+    order = [a.names.index(n) for n in b.names]
+    assert b.names == ["x1", "x2", "x3", "x4"] and b.labels == ["x::x1", "y::x2", "x::x3", "y::x4"]
     for r in db[:20]:
-        t = np.zeros(4)
-        t[order] = r["theta"]
+        t = np.array(r["theta"])
         total = t @ full @ t / 20
         assert r["pve_total"] == pytest.approx(total / (total + 1), rel=1e-9)
         assert sum(r["pve_allocated"]) == pytest.approx(r["pve_total"], rel=1e-9)
+    assert np.allclose(means[0][order], means[1], atol=0.03)
     # means couple the blocks
     c = fit_ss(spark, 20, gs, g, spec, yty=20.0, x_means=[0.1, -0.1, 0.05, -0.05], y_mean=0.02, **kw)
     assert len(c.problems) == 1
