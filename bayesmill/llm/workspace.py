@@ -15,6 +15,7 @@ import ctypes
 import functools
 import mmap
 import shutil
+import sys
 import tempfile
 import uuid
 
@@ -91,15 +92,24 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
         if f.size == 0:
             out[name] = np.empty(0, kind)
         elif isinstance(fs, pafs.LocalFileSystem):
-            out[name] = np.memmap(f.path, dtype=kind, mode="r")
+            with open(f.path, "rb") as local:
+                out[name] = _mapped(local, kind)
         else:
             with tempfile.TemporaryFile() as local, fs.open_input_stream(f.path) as src:
                 shutil.copyfileobj(src, local, 1 << 22)
                 local.flush()
-                out[name] = np.frombuffer(mmap.mmap(local.fileno(), 0, access=mmap.ACCESS_READ), kind)
+                out[name] = _mapped(local, kind)
     return out
 
 
+#: From Python 3.13 on a mapping need not keep its file open, so many mappings do not use up file descriptors.
+_CLOSED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+
+
+def _mapped(file, kind: str) -> np.ndarray:
+    return np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **_CLOSED), kind)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound Arrow batches: whole texts go to Python, so rows must be few."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
