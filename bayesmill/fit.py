@@ -17,7 +17,7 @@ from .plans import planner, tasks
 from .plans.backends import Blocks, Dense, LowRank, Sparse
 from .plans.kernel import Problem
 from .plans.spec import Block, Controls, Residual, SpecError, calibrate, flag, likelihood_df, parse_blocks, residual_prior
-from .sources.quality import DataError, check_observations
+from .sources.quality import DataError, check_array, check_observations
 
 
 @dataclass
@@ -137,6 +137,19 @@ def fit(df: DataFrame, y: str, blocks: Mapping | Sequence, noise=None, **kw) ->
     return _fit_centred(df.sparkSession, s, parsed, block_of, np.arange(len(names)), s.n - 1, s.n - 1, controls, residual, ref, noise)
 
 
+def fit_array(df: DataFrame, y: str, x: str, blocks: Mapping | Sequence, **kw) -> Fit:
+    """Fit rows whose predictors are one array column; blocks name them by place from 0, or as x1, x2 ..."""
+    controls = _controls(kw)
+    residual, ref = _residual_args(kw)
+    parsed = parse_blocks(blocks, "indices")
+    check_array(df, y, x)
+    s = G.from_observations(df, y, x)
+    if bad := [s.names[j] for j in np.flatnonzero(np.diag(s.gram) <= 100 * G.EPS * np.maximum(1, s.n * s.x_means**2))]:
+        raise DataError(f"predictors {bad} are constant")
+    order, block_of = _indices(parsed, s.names)
+    return _fit_centred(df.sparkSession, s, parsed, block_of, order, s.n - 1, s.n - 1, controls, residual, ref)
+
+
 def _fit_centred(spark, s: G.SuffStats, parsed, block_of, order, df, divisor, controls, residual, ref, noise=None, gram_block=None, info=None) -> Fit:
     names = [s.names[j] for j in order]
     gram, xty, means = s.gram[np.ix_(order, order)], s.xty[order], s.x_means[order]
@@ -331,4 +344,4 @@ def fit_eigen(spark: SparkSession, n: int, vectors, values, prop_var, xty, block
     return Fit(spark, ready, names, place.tolist(), prior, controls, n, df, problems, y_mean, info)
 
 
-__all__ = ["Fit", "fit", "fit_eigen", "fit_sparse", "fit_ss"]
+__all__ = ["Fit", "fit", "fit_array", "fit_eigen", "fit_sparse", "fit_ss"]

@@ -58,6 +58,7 @@ def _partial(x: np.ndarray) -> tuple:
     return len(x), m, c.T @ c
 
 
+DRIVER_BYTES = 1 << 31  # of the one matrix that the driver gets
 PARTIAL_BYTES = 1 << 36  # of partial matrices in all, which bounds the number of tasks that make one
 
 
@@ -72,6 +73,8 @@ def moments(df: DataFrame, columns: Sequence[str], array: str | None = None) ->
     rows = df.select(*select)
     first = df.select(F.size(array).alias("k")).first() if array else None
     p = len(columns) + (first["k"] if first else 0)
+    if 8 * p * p > DRIVER_BYTES:
+        raise DataError(f"{p} predictors make a Gram matrix of over {DRIVER_BYTES >> 20} MB: give diagonal blocks or triplets")
     most = max(4 * df.sparkSession.sparkContext.defaultParallelism, PARTIAL_BYTES // max(16 * p * p, 1))
     if rows.rdd.getNumPartitions() > most:
         rows = rows.coalesce(most)

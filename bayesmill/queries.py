@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .fit import fit, fit_eigen, fit_sparse, fit_ss
+from .fit import fit, fit_array, fit_eigen, fit_sparse, fit_ss
 from .fit_gwas import fit_gwas
 from .operators import diagnostics as D
 from .operators import eigen as E
@@ -712,6 +712,12 @@ def fit_moments_only(spark, sf):
     return P.merge_moments(f.moments, ["param", "idx"])
 
 
+@query()
+def fit_embeddings(spark, sf):
+    df = table(spark, sf, "embeddings").withColumn("y", F.col("label").cast("double"))
+    return _summary(fit_array(df, "y", "embedding", {"model": "SpikeMultiSlab"}, residual_shape=3.0, residual_scale=1.0, **(_RUN | {"iterations": 300, "burnin": 100})))
+
+
 @query()
 def fit_embeddings_ss(spark, sf):
     s = G.from_observations(table(spark, sf, "embeddings").withColumn("y", F.col("label").cast("double")), "y", "embedding")

@@ -62,6 +62,19 @@ def check_observations(df: DataFrame, y: str, x: Sequence[str]) -> int:
     return n
 
 
+def check_array(df: DataFrame, y: str, x: str) -> int:
+    """A response and an array column of one length, all finite, in one aggregation; returns the number of rows."""
+    check_columns(df, [y])
+    v, a = F.col(y).cast("double"), F.col(x).cast("array<double>")
+    bad = v.isNull() | F.isnan(v) | infinite(v) | a.isNull() | F.exists(a, lambda e: e.isNull() | F.isnan(e) | infinite(e))
+    r = df.agg(F.count("*").alias("n"), F.count_if(F.coalesce(bad, F.lit(True))).alias("bad"), F.min(F.size(a)).alias("least"), F.max(F.size(a)).alias("most")).first()
+    if r["n"] < 2:
+        raise DataError("two observations are needed at least")
+    if r["bad"] or r["least"] != r["most"] or r["least"] < 1:
+        raise DataError(f"{x} must hold arrays of one length without missing or infinite values")
+    return r["n"]
+
+
 def duplicated(df: DataFrame, id: str) -> DataFrame:
     """Ids that occur more than once, with their counts."""
     return df.groupBy(id).agg(F.count("*").alias("n")).where("n > 1")

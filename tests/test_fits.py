@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bayesmill.fit import fit, fit_eigen, fit_sparse, fit_ss
+from bayesmill.fit import fit, fit_array, fit_eigen, fit_sparse, fit_ss
 from bayesmill.operators import diagnostics as D
 from bayesmill.operators import eigen as E
 from bayesmill.operators import gram as G
@@ -35,6 +35,18 @@ def draws(f):
 BLOCKS = {"a": {"model": "Normal", "columns": ["signal", "nuisance"]}, "b": {"model": "SpikeSlab", "columns": ["noise1", "noise2"]}}
 
 
+def test_array_column_equals_columns(spark, data):
+    df, *_ = data
+    arr = df.select("y", F.array("signal", "nuisance", "noise1", "noise2").alias("x"))
+    kw = {"residual_shape": 3.0, "residual_scale": 1.0, **RUN}
+    a = draws(fit(df, "y", BLOCKS, **kw))
+    b = draws(fit_array(arr, "y", "x", {"a": {"model": "Normal", "indices": [0, 1]}, "b": {"model": "SpikeSlab", "indices": ["x3", "x4"]}}, **kw))
+    assert np.allclose(a, b, atol=1e-9)
+    for bad in (arr.withColumn("x", F.when(F.col("y") > 0, F.col("x"))), arr.withColumn("x", F.when(F.col("y") > 0, F.col("x")).otherwise(F.array(F.lit(1.0)))), arr.withColumn("x", F.array(F.lit(float("nan")))), arr.limit(1), arr.withColumn("x", F.array(F.lit(1.0), F.col("y")))):
+        with pytest.raises(DataError):
+            fit_array(bad, "y", "x", {"model": "Normal"}, residual_var=1.0, **RUN)
+
+
 def as_indices(blocks):
     return {k: {**{a: b for a, b in v.items() if a != "columns"}, "indices": v["columns"]} for k, v in blocks.items()}
 
