@@ -34,21 +34,26 @@ DIAGNOSIS_SCHEMA = "block string, predictors int, status string, minimum_eigenva
 
 # -- compressed triangles ---------------------------------------------------
 
+def compress_cells(p: int, i: np.ndarray, j: np.ndarray, v: np.ndarray) -> dict:
+    """A block's strict lower triangle from its non-zeros: type 0 keeps each column's run below the diagonal, type 1 the non-zeros and their rows."""
+    order = np.lexsort((i, j))
+    i, j, v = (np.asarray(x)[order] for x in (i, j, v))
+    last = np.arange(p)
+    np.maximum.at(last, j, i)
+    kind, _ = compression(p, int((last - np.arange(p)).sum()), len(v))
+    sizes = last - np.arange(p) if kind == 0 else np.bincount(j, minlength=p)
+    ptr = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    data = np.asarray(v, float)
+    if kind == 0:
+        data = np.zeros(ptr[-1])
+        data[ptr[j] + i - j - 1] = v
+    return {"size": p, "type": kind, "data": data, "indptr": ptr, "row_index": np.asarray(i, np.int32) if kind else None}
+
+
 def compress(lower: np.ndarray) -> dict:
-    """A block's strict lower triangle: type 0 keeps each column's run below the diagonal, type 1 the non-zeros and their rows."""
-    p = len(lower)
-    rows = [np.flatnonzero(lower[j + 1 :, j]) + j + 1 for j in range(p)]
-    span = sum(int(r[-1]) - j for j, r in enumerate(rows) if len(r))
-    kind, _ = compression(p, span, sum(map(len, rows)))
-    data, index, ptr = [], [], [0]
-    for j, r in enumerate(rows):
-        if kind == 0:
-            data += lower[j + 1 : (int(r[-1]) if len(r) else j) + 1, j].tolist()
-        else:
-            data += lower[r, j].tolist()
-            index += r.tolist()
-        ptr.append(len(data))
-    return {"size": p, "type": kind, "data": data, "indptr": ptr, "row_index": index if kind else None}
+    """The same of a matrix, of which only what lies below the diagonal counts."""
+    i, j = np.nonzero(np.tril(lower, -1))
+    return compress_cells(len(lower), i, j, lower[i, j])
 
 
 def columns(block) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -74,7 +79,7 @@ def check_block(block) -> None:
     p, ptr, n = int(block["size"]), list(block["indptr"]), len(block["data"])
     ok = p >= 1 and block["type"] in (0, 1) and len(ptr) == p + 1 and ptr[0] == 0 and ptr[-1] == n and all(a <= b for a, b in zip(ptr, ptr[1:], strict=False))
     if ok and block["type"] == 1:
-        ri = list(block["row_index"] or [])
+        ri = [] if block["row_index"] is None else list(block["row_index"])
         ok = len(ri) == n and all(j < x < p for j in range(p) for x in ri[ptr[j] : ptr[j + 1]]) and all(a < b for j in range(p) for a, b in zip(ri[ptr[j] : ptr[j + 1]], ri[ptr[j] + 1 : ptr[j + 1]], strict=False))
     elif ok:
         ok = all(j + ptr[j + 1] - ptr[j] < p for j in range(p))
@@ -237,39 +242,14 @@ def _assemble(spark, variants: DataFrame, pairs: DataFrame) -> LD:
     start = placed.groupBy("block", "parent").agg(F.min("pos_in_ld").alias("start"), F.count("*").cast("int").alias("size"))
     local = pairs.join(where, ["parent", "j"]).join(start, ["block", "parent"]).select("block", (F.col("i") - F.col("start")).cast("int").alias("i"), F.col("place").alias("j"), "v")
     packed = local.groupBy("block").agg(F.collect_list(F.struct("i", "j", "v")).alias("cells"))
-    rows = start.join(packed, "block", "left").select("block", "parent", "size", "cells")
+    rows = start.join(packed, "block", "left").select("block", "parent", "size", *[F.coalesce(F.col(f"cells.{k}"), F.array().cast(f"array<{t}>")).alias(k) for k, t in (("i", "int"), ("j", "int"), ("v", "double"))])
 
     def pack(batches):
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                low = np.zeros((r.size, r.size)) if r.size <= 4096 else None
-                cells = [] if r.cells is None else list(r.cells)
-                if low is not None:
-                    for c in cells:
-                        low[c["i"], c["j"]] = c["v"]
-                    out.append({"name": r.block, "parent": r.parent, **compress(low)})
-                else:
-                    out.append({"name": r.block, "parent": r.parent, **_compress_cells(int(r.size), cells)})
+            out = [{"name": r.block, "parent": r.parent, **compress_cells(int(r.size), r.i, r.j, r.v)} for r in pdf.itertuples(index=False)]
             yield pd.DataFrame(out, columns=[f.split()[0] for f in BLOCK_SCHEMA.split(", ")])
 
-    return LD(spark, placed, rows.select("block", "parent", F.col("size").alias("size"), "cells").mapInPandas(pack, BLOCK_SCHEMA).persist())
-
-
-def _compress_cells(p: int, cells: list) -> dict:
-    """As ``compress``, for a block too large to be made dense."""
-    cols: dict[int, dict[int, float]] = {}
-    for c in cells:
-        cols.setdefault(c["j"], {})[c["i"]] = c["v"]
-    kind, _ = compression(p, sum(max(r) - j for j, r in cols.items()), len(cells))
-    data, index, ptr = [], [], [0]
-    for j in range(p):
-        r = cols.get(j, {})
-        rows = range(j + 1, max(r, default=j) + 1) if kind == 0 else sorted(r)
-        data += [r.get(i, 0.0) for i in rows]
-        index += list(rows) if kind else []
-        ptr.append(len(data))
-    return {"size": p, "type": kind, "data": data, "indptr": ptr, "row_index": index if kind else None}
+    return LD(spark, placed, rows.mapInPandas(pack, BLOCK_SCHEMA).persist())
 
 
 def subset(ld: LD, kept: DataFrame) -> LD:
