@@ -42,6 +42,7 @@ _U = np.uint64
 WIDTH, THRESHOLD = 5, 0.8
 MISS = 14.0  # expected shared minima of a qualifying pair
 BLOCK_BYTES = 32 << 20  # of item texts in one block
+POSTINGS = 4 << 20  # (document, item) hits counted at once, but for those of one document
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[:128] = [not chr(i).isalnum() for i in range(128)]
@@ -188,13 +189,23 @@ class Block:
             both = np.unique(doc[take[ok]] * len(index["key"]) + where)
             d, where = both // len(index["key"]), both % len(index["key"])
             m = index["at"][where + 1] - index["at"][where]
-            post = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(index["at"][where], m)
-            code, shared = np.unique(np.repeat(d, m) * len(self.items["id"]) + index["item"][post], return_counts=True)
-            d, i = code // len(self.items["id"]), code % len(self.items["id"])
-            good = shared >= np.ceil(self.threshold * self.items["size"][i] - 1e-9)
-            out += list(zip(d[good].tolist(), i[good].tolist(), shared[good].tolist(), strict=True))
+            # shingles that many items share: whole documents at a time, so that their items fit memory
+            edges = np.append(np.flatnonzero(np.append(True, d[1:] != d[:-1])), len(d)) if len(d) else np.zeros(1, np.int64)
+            before, i = np.concatenate([[0], np.cumsum(m)])[edges], 0
+            while i < len(edges) - 1:
+                j = max(i + 1, int(np.searchsorted(before, before[i] + POSTINGS, "right")) - 1)
+                part = slice(edges[i], edges[j])
+                out += self._count(index, d[part], where[part], m[part])
+                i = j
         return out
 
+    def _count(self, index, d, where, m) -> list[tuple[int, int, int]]:
+        post = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(index["at"][where], m)
+        code, shared = np.unique(np.repeat(d, m) * len(self.items["id"]) + index["item"][post], return_counts=True)
+        d, i = code // len(self.items["id"]), code % len(self.items["id"])
+        good = shared >= np.ceil(self.threshold * self.items["size"][i] - 1e-9)
+        return list(zip(d[good].tolist(), i[good].tolist(), shared[good].tolist(), strict=True))
+
     def verify(self, item: int, doc_words: set) -> tuple[int, int]:
         """Shared and own shingles of an item, by their words."""
         if item not in self.words:

@@ -42,6 +42,18 @@ def corpus(seed):
     return docs, [" ".join(i) for i in items]
 
 
+def test_shared_shingles_are_counted_in_parts(spark, monkeypatch):
+    same = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(i, f"{same} tail{i}") for i in range(50)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"{same} {'other' * (i % 2)}") for i in range(40)], "item_id long, text string")
+    whole = sorted(map(tuple, D.find_contained(docs, items, Workspace(spark, "t")).collect()))
+    block = D.Block(*D.build_index(items, Workspace(spark, "t"))[0], 0.8)
+    h, at = D.shingles(*D.tx.utf8(pa.array([r["text"] for r in docs.collect()])))
+    at_once = sorted(block.pairs(h, at))
+    monkeypatch.setattr(D, "POSTINGS", 7)
+    assert sorted(block.pairs(h, at)) == at_once and len(whole) == len(at_once) == 50 * 40
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_all_pairs_are_found(spark, seed):
     docs, items = corpus(seed)
