@@ -74,24 +74,29 @@ def fingerprints(data: np.ndarray, off: np.ndarray, width: int = 3) -> np.ndarra
 
 
 def fingerprint_table(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """``id``, ``file`` (a hash of the file that the row is read from) and ``fp`` (the fingerprint's bits as a signed long)."""
+    """``id``, ``file`` and ``row`` (hashes of the file that the row is read from, and of its id and text) and ``fp`` (the fingerprint's bits as a signed long)."""
     small_batches(docs.sparkSession)
-    schema = docs.select(id).schema.add("file", "long").add("fp", "long")
+    schema = docs.select(id).schema.add("file", "long").add("row", "long").add("fp", "long")
 
     def run(batches):
         for b in batches:
-            data, off = tx.utf8(b.column(2))
+            data, off = tx.utf8(b.column(3))
             for i, j in tx.runs(off):
                 fp = fingerprints(data[off[i] : off[j]], off[i : j + 1] - off[i], width)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(fp.view(np.int64))], [id, "file", "fp"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(3)), pa.array(fp.view(np.int64))], [id, "file", "row", "fp"])
 
-    return docs.select(id, _file().alias("file"), text).mapInArrow(frugal(run), schema)
+    return docs.select(id, _file().alias("file"), _row(id, text).alias("row"), text).mapInArrow(frugal(run), schema)
 
 
 def _file():
     return F.xxhash64(F.input_file_name())
 
 
+def _row(id: str, text: str):
+    """A hash of id and text, null or not; rows that share it are alike in both."""
+    return F.xxhash64(F.col(id).isNull(), F.col(id), F.col(text).isNull(), F.col(text))
+
+
 # -- index ------------------------------------------------------------------
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -269,58 +274,65 @@ def near_duplicates(docs: DataFrame, ws: Workspace, radius: int = 2, width: int
     repeated ids keep all their rows.  A row with a null id counts as id
     2**63-1 when components are named.  An empty table gives no rows.
     """
-    return _components(docs, ws, radius, width, id, text).drop("file")
-
-
-def _components(docs: DataFrame, ws: Workspace, radius: int, width: int, id: str, text: str) -> DataFrame:
-    prints = ws.save(fingerprint_table(docs, id, text, width), "prints")
+    prints = ws.save(fingerprint_table(docs, id, text, width).drop("file", "row"), "prints")
     node = F.min(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)))
     nodes = ws.save(prints.groupBy("fp").agg(node.alias("node")), "nodes")
     found = components(links(nodes, ws, radius), ws)
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select(id, "file", "fp", "component_id")
+    return prints.join(named, "fp").select(id, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, ws: Workspace, radius: int = 2, width: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component: the one whose id names it.
+    """One row of ``docs`` for each component: the one with the least id, nulls last.
 
     If several rows have that id, the one with the least text stays.
     """
-    named = _components(docs, ws, radius, width, id, text)
-    own = F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)) == F.col("component_id")
-    kept = ws.save(named.where(own).groupBy(F.col(id).alias(KEPT)).agg(F.count("*").alias("kept_rows"), F.min("file").alias("file")), "kept")
-    once = _by_file(docs, ws, kept.where("kept_rows = 1"), id)
-    repeated = kept.where("kept_rows > 1").select(KEPT)
+    prints = ws.save(fingerprint_table(docs, id, text, width), "prints")
+    # nodes are named by fingerprint, as ids may be null or repeated
+    nodes = prints.select(F.col("fp").alias("node"), "fp").distinct()
+    found = components(links(nodes, ws, radius), ws)
+    named = prints.join(found, F.col("fp") == F.col("node"), "left").select(id, "file", "row", F.coalesce("component", "fp").alias("component"))
+    return choose(docs, named, ws, id, text)
+
+
+def choose(docs: DataFrame, named: DataFrame, ws: Workspace, id: str, text: str) -> DataFrame:
+    """One row of ``docs`` for each component of ``named(id, file, row, component)``: of those with its least id the one with the least text."""
+    known = F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("known")
+    by_id = named.groupBy("component", known).agg(F.count("*").alias("n"), F.min("file").alias("file"), F.min("row").alias(KEPT))
+    kept = ws.save(by_id.groupBy("component").agg(F.min(F.struct("known", "n", "file", KEPT)).alias("k")).select("component", "k.*"), "kept")
+    once = _by_file(docs, ws, kept.where("n = 1").select(KEPT, "file"), id, text)
+    repeated = kept.where("n > 1").select("component", "known")
     if repeated.isEmpty():
         return once
-    rows = docs.join(repeated, F.col(id).eqNullSafe(F.col(KEPT)), "left_semi")
-    least = rows.groupBy(F.col(id).alias(KEPT)).agg(F.min(F.struct(*[F.col(c) for c in [text, *(c for c in rows.columns if c not in (id, text))]])).alias("r"))
-    picked = least.select(*[(F.col(KEPT) if c == id else F.col("r")[c]).alias(c) for c in docs.columns])
-    return once.unionByName(picked)
+    rows = named.select("component", known, F.col("row").alias(KEPT)).join(repeated, ["component", "known"], "left_semi")
+    rows = rows.select(F.col("component").alias(PART), KEPT).distinct()
+    some = docs.withColumn(KEPT, _row(id, text)).join(rows, KEPT)
+    least = some.groupBy(PART).agg(F.min(F.struct(text, *(c for c in docs.columns if c != text))).alias("r"))
+    return once.unionByName(least.select(*[F.col("r")[c].alias(c) for c in docs.columns]))
 
 
 NO_ID = (1 << 63) - 1
-KEPT = "__kept_id"  # a name that no table is likely to have
+KEPT, PART = "__kept_row", "__kept_part"  # names that no table is likely to have
 
 
-def _by_file(docs: DataFrame, ws: Workspace, kept: DataFrame, id: str) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``kept(id, file)``, without an exchange of texts.
+def _by_file(docs: DataFrame, ws: Workspace, kept: DataFrame, id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` whose hash is in ``kept(KEPT, file)``, without an exchange of texts.
 
-    Ids to keep are dealt by the file that their row is read from and stored, so
+    Rows to keep are dealt by the file that they are read from and stored, so
     a task that reads a file looks only at that file's.  Rows that come from no
     file are joined instead.
     """
     files = min(1 << 16, len(docs.inputFiles()))
     if not files or not kept.where(F.col("file") == F.xxhash64(F.lit(""))).isEmpty():
-        return docs.join(kept.select(KEPT), F.col(id).eqNullSafe(F.col(KEPT)), "left_semi")
+        return docs.withColumn(KEPT, _row(id, text)).join(kept.select(KEPT), KEPT, "left_semi").drop(KEPT)
     bucket = lambda file: F.pmod(file, F.lit(files)).cast("int")
     uri = ws.path("files")
 
     def store(key, rows):
-        put_arrays(f"{uri}/{key[0].as_py()}", id=np.sort(rows["id"].to_numpy()))
+        put_arrays(f"{uri}/{key[0].as_py()}", row=np.sort(rows["row"].to_numpy()))
         return pa.table({"n": [len(rows)]})
 
-    ids = kept.select(bucket(F.col("file")).alias("b"), F.coalesce(F.col(KEPT).cast("long"), F.lit(NO_ID)).alias("id"))
+    ids = kept.select(bucket(F.col("file")).alias("b"), F.col(KEPT).alias("row"))
     stored = {r["b"] for r in ids.select("b").distinct().collect()}
     ids.groupBy("b").applyInArrow(store, "n long").agg(F.sum("n")).collect()
 
@@ -332,10 +344,10 @@ def _by_file(docs: DataFrame, ws: Workspace, kept: DataFrame, id: str) -> DataFr
             for k in np.unique(file).tolist():
                 if k in stored:
                     if k not in have:
-                        have[k] = map_arrays(f"{uri}/{k}")["id"]
+                        have[k] = map_arrays(f"{uri}/{k}")["row"]
                     mine = file == k
                     at = np.minimum(np.searchsorted(have[k], own[mine]), len(have[k]) - 1)
                     keep[mine] = have[k][at] == own[mine]
             yield pa.RecordBatch.from_arrays(b.columns[:-2], names=b.schema.names[:-2]).filter(pa.array(keep))
 
-    return docs.select("*", bucket(_file()).alias("__file"), F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("__id")).mapInArrow(frugal(run), docs.schema)
+    return docs.select("*", bucket(_file()).alias("__file"), _row(id, text).alias("__row")).mapInArrow(frugal(run), docs.schema)

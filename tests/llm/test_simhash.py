@@ -97,3 +97,13 @@ def test_keep_one_reads_back_by_file(spark, tmp_path):
     got = S.keep_one(docs, Workspace(spark, "t"))
     assert got.columns == docs.columns
     assert sorted(map(repr, got.collect())) == sorted(map(repr, plain)) and 1 < len(plain) < 91
+
+
+def test_keep_one_with_null_and_repeated_ids(spark, tmp_path):
+    texts = ["one two three four five", "quite something else goes here", "and a third text of its own", "the fourth has other words still"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.repartition(3).write.parquet(f"{tmp_path}/d")
+    for docs in (df, spark.read.parquet(f"{tmp_path}/d")):
+        got = [(r["doc_id"], r["text"]) for r in S.keep_one(docs, Workspace(spark, "t")).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3])]))
