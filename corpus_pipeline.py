@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bayesmill.llm import decontamination, mixing, quality, simhash, tokenfile
+from bayesmill.llm import decontamination, mixing, near, quality, tokenfile
 from bayesmill.llm.workspace import Workspace, parts
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,8 +25,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the least id stays."""
-    return simhash.keep_one(docs, Workspace(spark, "pipeline-simhash"))
+    """Of each group of near-duplicates (five-word similarity 0.8 or more), the document with the least id stays."""
+    return near.keep_one(docs, Workspace(spark, "pipeline-near"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
