@@ -10,8 +10,9 @@ spans that overlap the best stays.  Base spans always stay.
 
 The trees learn from rows made by rule (proper numbers in usual contexts;
 dates, versions, measures, ISBNs, hex and reference numbers as what they are
-not) and from at most ``SAMPLE`` candidates of the corpus itself, those with the
-least hashes, for which the base rules are the label.
+not) and from at most ``SAMPLE`` candidates of the corpus itself, of different
+contexts, those with the least hashes: base spans as what they are, and as what
+they are not only candidates that a rule proves false.
 
 Defined cases: a null text is empty and has no spans; repeated rows get equal
 results; an empty table gives no rows.
@@ -121,6 +122,21 @@ def candidates(s: str) -> list[Span]:
     return sorted(found)
 
 
+_DATE = re.compile(r"(?:(?:0?[1-9]|[12][0-9]|3[01])[./-](?:0?[1-9]|1[0-2])[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[./-](?:0[1-9]|1[0-2])[./-](?:0[1-9]|[12][0-9]|3[01]))(?![0-9])")
+
+
+def proven_false(s: str, span: Span) -> bool:
+    """Whether a rule shows that a candidate is not of its kind: a failed check sum, a number over 255, a date, an ISBN."""
+    a, kind, b = span
+    d = _digits(s[a:b])
+    if kind == 1:
+        return any(int(g) > 255 for g in re.findall(r"[0-9]+", s[a:b]))
+    if kind == 2 and not (12 <= len(d) <= 19 and luhn(d)):
+        return True
+    isbn = len(d) == 13 and d[:3] in ("978", "979") and sum(int(c) * (3 if i % 2 else 1) for i, c in enumerate(d)) % 10 == 0
+    return kind in (2, 3) and (isbn and "isbn" in s[max(0, a - 32) : a].lower() or bool(_DATE.match(s, a)))
+
+
 def describe(s: str, span: Span) -> list[float]:
     """Format and context of a span as numbers."""
     a, kind, b = span
@@ -234,18 +250,22 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
                 base = base_spans(s)
                 mine = set(base)
                 for c in sorted(mine.union(candidates(s))):
-                    # what overlaps a base span without being one is neither yes nor no
-                    if c in mine or _free([c], base):
-                        rows.append((xxhash.xxh64_intdigest(s[max(0, c[0] - 32) : c[2] + 16]) >> 1, describe(s, c), float(c in mine)))
+                    # what is no base span is neither yes nor no, but for what is proven false and overlaps none
+                    if c in mine or proven_false(s, c) and _free([c], base):
+                        where = (c[1] * 33 + min(c[0], 32)) * 17 + min(len(s) - c[2], 16)
+                        rows.append((xxhash.xxh64_intdigest(s[max(0, c[0] - 32) : c[2] + 16], where) >> 1, describe(s, c), float(c in mine)))
             if rows:
                 h, x, y = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_pydict({"h": list(h), "x": list(x), "y": list(y)})
 
     def least(batches):
-        """The ``sample`` rows with the least hashes, whatever their order of arrival."""
+        """The ``sample`` rows with the least hashes, one for each hash, whatever their order of arrival."""
         best: list[tuple] = []
         for b in batches:
-            best = heapq.nsmallest(sample, [*best, *zip(*(c.to_pylist() for c in b.columns), strict=True)])
+            once: dict[int, tuple] = {}
+            for r in [*best, *zip(*(c.to_pylist() for c in b.columns), strict=True)]:
+                once[r[0]] = min(once.get(r[0], r), r)
+            best = heapq.nsmallest(sample, once.values())
         if best:
             yield pa.RecordBatch.from_pydict(dict(zip("hxy", map(list, zip(*best, strict=True)), strict=True)))
 

@@ -90,3 +90,20 @@ def test_query(spark):
         assert r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] == len([x for x in r["base"].split(",") if x])
     assert P.spans_digest(P.find(df.limit(0), P.train(df.limit(0)))).count() == 0
     assert P.redact("mail a@b.co now", model) == "mail <email> now"
+
+
+def test_a_corpus_rich_in_other_formats_does_not_unlearn_them(spark):
+    rng = random.Random(1)
+    texts = [f"please call ({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)} today" for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = P.find(df, P.train(df)).where("spans like '%phone%'").count()
+    assert found > 0.9 * len(texts)
+
+
+def test_what_is_proven_false():
+    false = ["4111 1111 1111 1112", "300[.]1[.]1[.]1", "isbn 978-0-306-40615-7", "01.02.2020 1234"]
+    true = ["4111 1111 1111 1111", "10[.]20[.]30[.]40", "(415) 555-2671", "jo (at) x (dot) org"]
+    for s in false:
+        assert [c for c in P.candidates(s) if P.proven_false(s, c)], s
+    for s in true:
+        assert not [c for c in P.candidates(s) if (c[0], c[2]) == (0, len(s)) and P.proven_false(s, c)], s
