@@ -3,11 +3,12 @@
 Fingerprints of equal value are one node.  Two nodes link at ``radius`` or fewer
 differing bits.  Links are found without comparing all pairs:
 
-* Routing.  The 64 bits are cut into radius+1 segments; linked fingerprints
-  agree in one of them, so each is sent once per segment, keyed by the
-  segment's value.  A key with more than ``split_at`` fingerprints is cut
-  again: its members agree there, so they must also agree in one of the parts
-  of the remaining bits.  This repeats, so no key need hold a large group.
+* Routing.  radius+1 segments are cut from the 64 bits, each as wide as it takes
+  for its values to make groups of about ``GROUP`` fingerprints; linked
+  fingerprints agree in one of the segments, so each is sent once per segment,
+  keyed by the segment's value.  A key with more than ``split_at`` fingerprints
+  is cut again: its members agree there, so they must also agree in one of the
+  parts of the remaining bits.  This repeats, so no key need hold a large group.
 * Index.  Each task sorts what it has by key and Gray rank, which puts
   fingerprints that share bits side by side, and builds a tree over it.  A
   node holds the bits on which all below it agree, less those its parent has
@@ -17,7 +18,8 @@ differing bits.  Links are found without comparing all pairs:
   is connected to an earlier one, not all pairs.  A group whose members and the
   searcher are already connected is skipped too.
 
-Components of these links are those of all links.
+Components of these links are those of all links.  Nodes are named by their
+fingerprints, so null or repeated ids join nothing.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from .workspace import Workspace, frugal, map_arrays, put_arrays, small_batches
 _U = np.uint64
 FAN = 8
 FRONTIER = 1 << 21
+GROUP = 512  # fingerprints that a segment's value is to hold
 
 
 # -- fingerprints -----------------------------------------------------------
@@ -55,6 +58,33 @@ def shingle_hashes(text: bytes, width: int) -> list[int]:
 _LOWER = bytes(tx.LOWER)
 
 
+def bit_counts(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many of the values ``h[:, at[i]:at[i+1]]`` have each bit, for every non-empty range i: rows of 64 counts for each row of ``h``.
+
+    Eight bits of eight bytes are counted at a time in the bytes of a word, over
+    pieces of at most 255 values.
+    """
+    size = np.diff(at)
+    pieces = -(-size // 255)
+    head = np.cumsum(pieces) - pieces
+    start = np.repeat(at[:-1], pieces) + 255 * (np.arange(int(pieces.sum())) - np.repeat(head, pieces))
+    out = np.empty((len(start), len(h), 8, 8), np.uint8)
+    for j in range(8):
+        lanes = np.add.reduceat((h >> _U(j)) & _U(0x0101010101010101), start, axis=1)
+        out[:, :, :, j] = np.ascontiguousarray(lanes.T).view(np.uint8).reshape(len(start), len(h), 8)
+    return np.add.reduceat(out.reshape(len(start), -1), head, axis=0, dtype=np.int32)
+
+
+def majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For runs of ``sizes`` columns of ``h``, each row's fingerprint: a bit is 1 if it is in over half of the values; of none, zero."""
+    out = np.zeros((len(sizes), len(h)), _U)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        ones = bit_counts(h, np.concatenate([[0], np.cumsum(sizes[full])]))
+        out[full] = np.packbits(2 * ones > sizes[full, None], axis=1, bitorder="little").view(_U)
+    return out
+
+
 def fingerprints(data: np.ndarray, off: np.ndarray, width: int = 3) -> np.ndarray:
     """The 64-bit fingerprint of each text: a bit is 1 if it is in over half of the hashes, repeats included."""
     raw = data.tobytes()
@@ -63,14 +93,7 @@ def fingerprints(data: np.ndarray, off: np.ndarray, width: int = 3) -> np.ndarra
         h = shingle_hashes(raw[off[i] : off[i + 1]], width)
         hashes += h
         sizes[i] = len(h)
-    out = np.zeros(len(sizes), _U)
-    full = np.flatnonzero(sizes)
-    if len(full):
-        bits = np.unpackbits(np.array(hashes, _U).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        at = (np.cumsum(sizes) - sizes)[full]
-        ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-        out[full] = np.packbits(2 * ones > sizes[full, None], axis=1, bitorder="little").view(_U)[:, 0]
-    return out
+    return majority(np.array(hashes, _U)[None], sizes)[:, 0]
 
 
 def fingerprint_table(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -107,9 +130,13 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """A tree over fingerprints sorted by (group, Gray rank); no node spans two groups."""
+    """A tree over fingerprints sorted by (group, Gray rank); no node spans two groups.
+
+    ``visited`` counts the nodes that searches looked at.
+    """
 
     def __init__(self, group: np.ndarray, fp: np.ndarray):
+        self.visited = 0
         self.order = np.lexsort((gray_rank(fp), group))
         self.fp, group = fp[self.order], group[self.order]
         n = len(fp)
@@ -132,6 +159,7 @@ class GrayIndex:
             masks.append(ones | zeros)
             patterns.append(ones)
         self.group, self.children, self.spans = group, child_of, spans
+        self.known = [np.bitwise_count(m) for m in masks]  # bits compared once a node is
         # factor: a node keeps the shared bits that its parent does not hold already
         self.masks = list(masks)
         for k, kids in enumerate(child_of):
@@ -139,17 +167,21 @@ class GrayIndex:
         self.patterns = patterns
         self.root = np.repeat(np.arange(len(group)), np.diff(spans[-1]))  # of each fingerprint
 
-    def neighbours(self, queries: np.ndarray, radius: int, labels: np.ndarray | None = None):
-        """Blocks of (query, member) places at most ``radius`` bits apart, members after queries.
+    def neighbours(self, queries: np.ndarray, limits: np.ndarray, labels: np.ndarray | None = None, step: int = FRONTIER // (FAN * 64), later: bool = True):
+        """Blocks of (query, member) places that no node on the member's path tells apart; members after queries if ``later``.
 
-        ``labels``, read as the search goes on, gives places that are connected
-        already: a node all of whose members carry the query's label is skipped.
+        A node is left once the accumulated differences exceed ``limits[k]``, k
+        being the number of bits compared so far; so with one limit for all k,
+        these are the members at most so many bits apart.  ``labels``, read as
+        the search goes on, gives places that are connected already: a node all
+        of whose members carry the query's label is skipped.
         """
-        step = max(1, FRONTIER // (FAN * 64))
+        limits = np.asarray(limits)
+        allowed = [limits[k] for k in self.known]
         for lo in range(0, len(queries), step):
             q = queries[lo : lo + step]
             uniform = self._uniform(labels) if labels is not None else None
-            yield from self._descend(len(self.children), q, self.root[q], np.zeros(len(q), np.uint8), radius, labels, uniform)
+            yield from self._descend(len(self.children), q, self.root[q], np.zeros(len(q), np.uint8), allowed, labels, uniform, later)
 
     def _uniform(self, labels):
         """Per level, the label that all members of a node share, or -1."""
@@ -159,9 +191,12 @@ class GrayIndex:
             out.append(np.where(low == high, low, -1))
         return out
 
-    def _descend(self, level, q, node, far, radius, labels, uniform):
+    def _descend(self, level, q, node, far, allowed, labels, uniform, later):
+        self.visited += len(q)
         far = far + np.bitwise_count((self.fp[q] ^ self.patterns[level][node]) & self.masks[level][node])
-        ok = (far <= radius) & (self.spans[level][node + 1] - 1 > q)
+        ok = far <= allowed[level][node]
+        if later:
+            ok &= self.spans[level][node + 1] - 1 > q
         if uniform is not None:
             ok &= uniform[level][node] != labels[q]
         q, node, far = q[ok], node[ok], far[ok]
@@ -177,7 +212,12 @@ class GrayIndex:
             total = int(m.sum())
             if total:
                 child = np.arange(total) - np.repeat(np.cumsum(m) - m, m) + np.repeat(kids[node[a:b]], m)
-                yield from self._descend(level - 1, np.repeat(q[a:b], m), child, np.repeat(far[a:b], m), radius, labels, uniform)
+                yield from self._descend(level - 1, np.repeat(q[a:b], m), child, np.repeat(far[a:b], m), allowed, labels, uniform, later)
+
+    def companied(self) -> np.ndarray:
+        """Places of fingerprints that are not alone in their group."""
+        many = np.flatnonzero(np.diff(self.spans[-1]) > 1) if self.children else np.empty(0, np.int64)
+        return np.flatnonzero(np.isin(self.root, many))
 
 
 def _hook(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -196,9 +236,7 @@ def forest(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray,
     index = GrayIndex(group, fp)
     n = len(fp)
     parent = np.arange(n)
-    many = np.flatnonzero(np.diff(index.spans[-1]) > 1) if len(index.children) else np.empty(0, np.int64)
-    queries = np.flatnonzero(np.isin(index.root, many))
-    for q, m in index.neighbours(queries, radius, parent):
+    for q, m in index.neighbours(index.companied(), np.full(65, radius), parent):
         _hook(parent, q, m)
     at = np.flatnonzero(parent != np.arange(n))
     return index.order[at], index.order[parent[at]]
@@ -216,9 +254,14 @@ def _mask(bits: list[int]) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
+def segment_width(n: int, radius: int, group: int = GROUP) -> int:
+    """Bits of a segment so that ``n`` fingerprints make groups of about ``group``, as far as radius+1 segments fit 64 bits."""
+    return min(64 // (radius + 1), max(n // group, 1).bit_length())
+
+
 def candidates(nodes: DataFrame, ws: Workspace, radius: int, split_at: int, depth: int = 4) -> DataFrame:
     """``nodes(node, fp)`` -> rows ``(k1, k2, node, fp)``; linked fingerprints share a key (k1, k2)."""
-    cuts = _segments(list(range(64)), radius + 1)
+    cuts = _segments(list(range((radius + 1) * segment_width(nodes.count(), radius))), radius + 1)
     paths = lambda some: F.array(*[F.struct(F.lit(p).cast("long").alias("p"), F.lit(_mask(bits)).cast("long").alias("m")) for p, bits in some])
     path = F.explode(paths(enumerate(cuts)))
     # k1: which bits must agree (a path of segment numbers); k2: a hash of their values
@@ -248,7 +291,7 @@ def candidates(nodes: DataFrame, ws: Workspace, radius: int, split_at: int, dept
     return out.select("k1", "k2", "node", "fp")
 
 
-def links(nodes: DataFrame, ws: Workspace, radius: int = 2, split_at: int = 1024) -> DataFrame:
+def links(nodes: DataFrame, ws: Workspace, radius: int = 2, split_at: int = 4 * GROUP) -> DataFrame:
     """``nodes(node long, fp long)``, fp distinct -> links ``(a, b)`` whose components are those of all links."""
     routed = candidates(nodes, ws, radius, split_at).repartition("k1", "k2")
 
@@ -271,15 +314,22 @@ def near_duplicates(docs: DataFrame, ws: Workspace, radius: int = 2, width: int
 
     A null text is empty; a text without words has fingerprint zero, which links
     like any other.  Rows with equal texts share fingerprint and component;
-    repeated ids keep all their rows.  A row with a null id counts as id
-    2**63-1 when components are named.  An empty table gives no rows.
+    repeated ids keep all their rows, and join nothing by being equal.  A null id
+    names a component only if there is no other in it; that component's id is
+    null.  An empty table gives no rows.
     """
     prints = ws.save(fingerprint_table(docs, id, text, width).drop("file", "row"), "prints")
-    node = F.min(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)))
-    nodes = ws.save(prints.groupBy("fp").agg(node.alias("node")), "nodes")
-    found = components(links(nodes, ws, radius), ws)
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select(id, "fp", "component_id")
+    nodes = ws.save(prints.groupBy(F.col("fp").alias("node")).agg(F.min(F.col(id).cast("long")).alias("least")), "nodes")
+    found = components(links(nodes.select("node", F.col("node").alias("fp")), ws, radius), ws)
+    part = F.coalesce("component", "node").alias("part")
+    named = ws.save(nodes.join(found, "node", "left").select("node", part, "least"), "named")
+    # components of one node have its least id; only the others need looking up
+    several = found.select(F.col("component").alias("part")).distinct()
+    least = named.join(several, "part", "left_semi").groupBy("part").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "part", "left").select(F.col("node").alias("fp"), F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    out = ws.save(prints.join(named, "fp").select(id, "fp", "component_id"), "components")
+    ws.drop("prints", "nodes", "named")
+    return out
 
 
 def keep_one(docs: DataFrame, ws: Workspace, radius: int = 2, width: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -60,23 +60,76 @@ def test_null_and_repeated_ids_drop_nothing(spark):
     assert N.keep_one(docs.limit(0), Workspace(spark, "t")).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_forest_connects_all_similar_pairs_of_a_key(seed):
-    rng = np.random.default_rng(seed)
-    whole = np.unique(rng.integers(0, 1 << 63, 200).astype(np.uint64))
-    sets = [np.sort(rng.choice(whole, rng.integers(150, 196), replace=False)) for _ in range(60)]
-    links = N.forest(np.zeros(60, np.int64), np.arange(60), np.array([len(s) for s in sets]), lambda place, size: sets[place])
-    root = list(range(60))
+def find(root, x):
+    while root[x] != x:
+        x = root[x]
+    return x
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for a, b in links:
-        assert N.similar(sets[a], sets[b])
-        root[find(a)] = find(b)
-    for i in range(60):
+@pytest.mark.parametrize("seed", range(3))
+def test_forest_connects_similar_pairs_and_nothing_else(seed):
+    rng = np.random.default_rng(seed)
+    whole = [np.unique(rng.integers(0, 1 << 40, 200).astype(np.uint64)) for _ in range(3)]
+    sets = [np.sort(rng.choice(whole[i % 3], rng.integers(150, 196), replace=False)) for i in range(90)]
+    fp = N.set_fingerprints(sets)
+    root = list(range(90))
+    for table in range(N.tables_for(90)[1]):
+        word = N.table_words(fp, table)
+        for a, b in N.forest(np.zeros(90, np.uint64), word, fp, np.arange(90), np.array([len(s) for s in sets]), lambda place, size: sets[place], N.limits(0)):
+            assert N.similar(sets[a], sets[b])
+            root[find(root, a)] = find(root, b)
+    for i in range(90):
         for j in range(i):
             if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])):
-                assert find(i) == find(j)
+                assert find(root, i) == find(root, j)
+
+
+def test_tables_reach_pairs_at_the_limit_as_reckoned():
+    """Pairs of similarity 0.8 exactly: the share that a table has in reach, and what all of them miss."""
+    rng = np.random.default_rng(1)
+    pairs = []
+    for _ in range(1500):
+        w = np.unique(rng.integers(0, 1 << 40, 100).astype(np.uint64))
+        cut = len(w) // 10
+        pairs += [w[cut:], w[:-cut]]
+    fp = N.set_fingerprints(pairs)
+    for n in (100, 50_000, 10_000_000):
+        route, tables = N.tables_for(n)
+        allowed, found = N.limits(route), []
+        for t in range(tables):
+            w = N.table_words(fp, t)
+            x = w[::2] ^ w[1::2]
+            ok = np.ones(len(x), bool)
+            for k in range(1, 65):
+                ok &= np.bitwise_count(x >> np.uint64(64 - k)) <= allowed[k]
+            found.append(ok)
+        assert np.mean(found) >= 0.9 * N.reach(route)
+        assert np.mean(np.any(found, axis=0)) > 0.99
+    assert np.bitwise_count(fp[::2] ^ fp[1::2]).sum(axis=1).max() <= N.FAR
+
+
+def test_the_index_leaves_most_of_a_group():
+    rng = np.random.default_rng(2)
+    word = rng.integers(0, 1 << 63, 4096, dtype=np.uint64)
+    index = N.GrayIndex(np.zeros(4096, np.uint64), word)
+    for _ in index.neighbours(np.arange(4096), N.limits(0)):
+        pass
+    assert index.visited < 4096 * 4096 / 4
+
+
+def test_large_groups_are_cut_without_losing_links(spark, tmp_path):
+    rng = random.Random(5)
+    texts, base = [], [f"w{rng.randrange(9000)}" for _ in range(200)]
+    for i in range(150):  # one large group, and pairs that share a route with it
+        words = list(base)
+        words[rng.randrange(200)] = f"new{i}"
+        texts.append(" ".join(words))
+    for i in range(25):
+        words = [f"x{rng.randrange(9000)}" for _ in range(60)]
+        texts += [" ".join(words), " ".join([*words, f"more{i}"])]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_kept(rows)
+    assert len(want) == 26
+    for split_at in (40, 1000):
+        assert {r["doc_id"] for r in N.keep_one(df, Workspace(spark, "t"), split_at=split_at).collect()} == want

@@ -15,9 +15,15 @@ def rows(df):
     return {r["doc_id"]: r for r in df.collect()}
 
 
-def components(fps):
-    """Least id reachable over links of two or fewer bits, by comparing all pairs."""
-    ids = sorted(fps)
+def shingles(text):
+    words = text.encode().translate(simhash._LOWER).split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def components(texts):
+    """Least id reachable over pairs of five-word similarity 0.8 or more, by comparing all pairs."""
+    ids = sorted(texts)
+    sets = {i: shingles(texts[i]) for i in ids}
     root = {i: i for i in ids}
 
     def find(x):
@@ -27,7 +33,7 @@ def components(fps):
 
     for n, i in enumerate(ids):
         for j in ids[:n]:
-            if (fps[i] ^ fps[j]).bit_count() <= 2:
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: find(i) for i in ids}
@@ -52,8 +58,7 @@ def test_stages(spark):
 
     now = spark.createDataFrame(list(after.values()), docs.schema)
     kept = stages[1](spark, now, SF)
-    fps = {i: int(simhash.fingerprints(*simhash.tx.utf8(pa.array([r["text"]])))[0]) for i, r in after.items()}
-    want = {i for i, c in components(fps).items() if i == c}
+    want = {i for i, c in components({i: r["text"] for i, r in after.items()}).items() if i == c}
     before, after = after, rows(kept)
     assert kept.columns == columns and set(after) == want and len(want) < len(before)
 

@@ -79,14 +79,55 @@ def test_links_over_all_routes(spark, split_at):
 def test_query_columns_and_edge_cases(spark):
     rows = [(5, "a b c d"), (3, "A  b c d"), (9, None), (8, ""), (7, " \n"), (3, "A  b c d"), (None, "q w e r t y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", S.F.lit("clash"))
-    got = sorted((r["doc_id"] or -1, r["component_id"]) for r in S.near_duplicates(docs, Workspace(spark, "t")).collect())
-    assert got == [(-1, 2**63 - 1), (3, 3), (3, 3), (5, 3), (7, 7), (8, 7), (9, 7)]
+    got = sorted(((r["doc_id"] or -1, r["component_id"]) for r in S.near_duplicates(docs, Workspace(spark, "t")).collect()), key=str)
+    assert got == [(-1, None), (3, 3), (3, 3), (5, 3), (7, 7), (8, 7), (9, 7)]
     kept = S.keep_one(docs, Workspace(spark, "t"))
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 3, 7]
     assert S.near_duplicates(docs.limit(0), Workspace(spark, "t")).count() == 0
 
 
+def test_null_and_repeated_ids_join_nothing(spark):
+    """Every row's component against all pairs of rows, with ids that are null or repeat over other texts."""
+    rng = random.Random(9)
+    base = [" ".join(f"w{rng.randrange(400)}" for _ in range(rng.choice([40, 400]))) for _ in range(12)]
+    texts = [t + rng.choice(["", "", " x", " x y"]) for t in base for _ in range(4)]
+    rows = [(rng.choice([None, i // 3, i]), t) for i, t in enumerate(texts)]
+    fps = [plain_fingerprint(t) for t in texts]
+    pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2]
+    part = plain_components(pairs, range(len(fps)))
+    ids = {p: [rows[i][0] for i in part if part[i] == p and rows[i][0] is not None] for p in part.values()}
+    want = [(rows[i][0], fps[i], min(ids[part[i]], default=None)) for i in range(len(rows))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in S.near_duplicates(docs, Workspace(spark, "t")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert len(set(part.values())) > 12 and len(pairs) > 20
+
+
+def test_components_of_two_pairs(spark):
+    bits = lambda fp, *k: fp ^ sum(1 << i for i in k)
+    a, b = random.Random(1).getrandbits(63), random.Random(2).getrandbits(63)
+    fps = {1: a, 2: bits(a, 3), 3: b, 4: bits(b, 5)}
+    nodes = spark.createDataFrame([(f, f) for f in fps.values()], "node long, fp long")
+    ws = Workspace(spark, "t")
+    got = {r["node"]: r["component"] for r in components(S.links(nodes, ws), ws).collect()}
+    for x, y in ((fps[1], fps[2]), (fps[3], fps[4])):
+        assert got.get(x, x) == got.get(y, y) == min(x, y)
+
+
+def test_the_index_does_the_search():
+    """Of 2000 fingerprints most nodes are left by their shared bits, and all links are found."""
+    rng = random.Random(4)
+    fps = np.array([rng.getrandbits(64) for _ in range(1000)], np.uint64)
+    fps = np.unique(np.concatenate([fps, fps ^ np.uint64(1 << 9), fps ^ np.uint64(3 << 40)]))
+    index = S.GrayIndex(np.zeros(len(fps), np.uint64), fps)
+    assert len(index.children) >= 4
+    found = {(int(index.fp[a]), int(index.fp[b])) for q, m in index.neighbours(index.companied(), np.full(65, 2)) for a, b in zip(q, m, strict=True)}
+    real = {(x, y) for i, x in enumerate(index.fp.tolist()) for y in index.fp[i + 1 :].tolist() if (x ^ y).bit_count() <= 2}
+    assert found == real and len(real) >= 2000
+    assert index.visited < len(fps) * len(fps) / 4
+
+
 def test_keep_one_reads_back_by_file(spark, tmp_path):
     rows = [(i, f"word{i % 30} some other text {i % 30} goes on {i % 30}", i) for i in range(90)] + [(None, "quite something else", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _b long")
