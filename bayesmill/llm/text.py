@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -18,22 +19,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256, dtype=np.uint64)
-_pow: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; the longest asked for so far is kept."""
-    have = _pow.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        have = np.full(size, base, _U)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _pow[base] = have
-    return have[:n]
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+LONG = 64  # bytes up to which words are hashed together
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -92,12 +79,36 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
     return low, starts, ends, np.searchsorted(starts, offsets)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each place of ``data`` the eight bytes from there on, as a little-endian value; zeros follow the end."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))
+
+
+def head(at: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first bytes of each piece, eight at most, from :func:`eights`."""
+    return at[starts] & _MASK[np.minimum(sizes, 8)]
+
+
 def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, from prefix sums of a polynomial modulo 2**64."""
-    prefix = np.zeros(len(low) + 1, _U)
-    np.cumsum(_BYTE[low] * powers(_BASE, len(low)), out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * powers(_INV, len(low) + 1)[starts]
-    return mix64(h + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each word: its bytes are taken in eight at a time, each time through :func:`mix64`.
+
+    Words of over ``LONG`` bytes have their XXH64.
+    """
+    n, at = ends - starts, eights(low)
+    h = mix64(n.astype(_U) * _U(0xD6E8FEB86659FD93) + _U(1))
+    now = np.flatnonzero(n <= LONG)
+    for k in range(0, LONG, 8):
+        now = now[n[now] > k]
+        if not len(now):
+            break
+        h[now] = mix64((h[now] ^ head(at, starts[now] + k, n[now] - k)) * _U(0x9E3779B97F4A7C15) + _U(k + 1))
+    long = np.flatnonzero(n > LONG)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(low))
+        h[long] = [xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return h
 
 
 def hash_word(word: bytes) -> int:

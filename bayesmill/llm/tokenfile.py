@@ -2,12 +2,14 @@
 
 A file holds the documents of one range of ids, in ascending order::
 
-    "BMTK"  version  width  block  ids  documents      little-endian: 4s, then 5 x u8
-    document table   present u1 | id i8 | offset of the first id u8 (and the end)
-    block table      byte offset of each block in the data, u8 (and the end)
+    "BMTK"           4 bytes
     data             blocks of ``block`` ids of ``width`` bits, least significant bit first,
                      each begun on a byte
+    block table      byte offset of each block in the data, u8 (and the end)
+    document table   present u1 | id i8 | offset of the first id u8 (and the end)
+    tail             version  width  block  ids  documents (5 x u8)  "BMTK"      little-endian
 
+Blocks are written as they fill, so a task holds one block and the tables.
 ``width`` is the least number of bits that holds every id of the vocabulary.  A
 manifest names the files in order with the ids that precede each.
 
@@ -35,8 +37,9 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .workspace import frugal, parts, small_batches
 
-MAGIC, VERSION, BLOCK = b"BMTK", 1, 1 << 16
-_HEAD = struct.Struct("<4s5Q")
+MAGIC, VERSION, BLOCK = b"BMTK", 2, 1 << 16
+_TAIL = struct.Struct("<5Q4s")
+FILE_BYTES = 256 << 20  # of texts in one file, or one longer text
 
 
 # -- packing ----------------------------------------------------------------
@@ -70,23 +73,56 @@ def unpack(raw: bytes, width: int, n: int, skip: int = 0) -> np.ndarray:
 
 # -- files ------------------------------------------------------------------
 
+class TokenWriter:
+    """Writes one file under a temporary name, and gives it its own when closed."""
+
+    def __init__(self, fs, path: str, width: int, block: int = BLOCK):
+        self.fs, self.path, self.width, self.block = fs, path, width, block
+        self.part = f"{path}.{uuid.uuid4().hex}"
+        self.out = fs.open_output_stream(self.part)
+        self.out.write(MAGIC)
+        self.held, self.waiting, self.n, self.offsets = [], 0, 0, [0]
+        self.present, self.doc_id, self.first = [], [], [np.zeros(1, np.int64)]
+
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, cut: np.ndarray) -> None:
+        """Documents whose ids are those of ``ids`` between the offsets ``cut``."""
+        self.present.append(np.array([i is not None for i in doc_ids], np.uint8))
+        self.doc_id.append(np.array([i or 0 for i in doc_ids], "<i8"))
+        self.first.append(self.n + np.asarray(cut[1:], np.int64))
+        self.n += len(ids)
+        self.held.append(ids)
+        self.waiting += len(ids)
+        if self.waiting >= self.block:
+            self._put(self.waiting // self.block * self.block)
+
+    def _put(self, n: int) -> None:
+        ids = np.concatenate(self.held)
+        for i in range(0, n, self.block):
+            raw = pack(ids[i : min(i + self.block, n)], self.width)
+            self.out.write(raw)
+            self.offsets.append(self.offsets[-1] + len(raw))
+        self.held, self.waiting = [ids[n:].copy()], len(ids) - n
+
+    def close(self) -> int:
+        """Write the rest and the tables; returns the number of ids."""
+        if self.waiting:
+            self._put(self.waiting)
+        self.out.write(np.array(self.offsets, "<u8").tobytes())
+        for table in (self.present, self.doc_id, self.first):
+            for part in table:
+                self.out.write((part if table is not self.first else part.astype("<u8")).tobytes())
+        self.out.write(_TAIL.pack(VERSION, self.width, self.block, self.n, sum(map(len, self.doc_id)), MAGIC))
+        self.out.close()
+        self.fs.move(self.part, self.path)
+        return self.n
+
+
 def write_file(fs, path: str, docs: list[tuple[int | None, np.ndarray]], width: int, block: int = BLOCK) -> int:
     """Write one file; returns the number of ids in it."""
-    sizes = np.array([len(x) for _, x in docs], np.int64)
-    ids = np.concatenate([x for _, x in docs]) if docs else np.empty(0, np.uint32)
-    blocks = [pack(ids[i : i + block], width) for i in range(0, len(ids), block)]
-    offsets = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8")
-    part = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as out:
-        out.write(_HEAD.pack(MAGIC, VERSION, width, block, len(ids), len(docs)))
-        out.write(np.array([i is not None for i, _ in docs], np.uint8).tobytes())
-        out.write(np.array([i or 0 for i, _ in docs], "<i8").tobytes())
-        out.write(np.concatenate([[0], np.cumsum(sizes)]).astype("<u8").tobytes())
-        out.write(offsets.tobytes())
-        for b in blocks:
-            out.write(b)
-    fs.move(part, path)
-    return len(ids)
+    w = TokenWriter(fs, path, width, block)
+    for i, ids in docs:
+        w.add([i], ids, np.array([0, len(ids)]))
+    return w.close()
 
 
 class TokenFile:
@@ -94,15 +130,17 @@ class TokenFile:
 
     def __init__(self, fs, path: str):
         self.f = fs.open_input_file(path)
-        magic, version, self.width, self.block, self.n, self.docs = _HEAD.unpack(self.f.read(_HEAD.size))
+        size = self.f.size()
+        tail = self.f.read_at(_TAIL.size, size - _TAIL.size) if size >= _TAIL.size else b""
+        version, self.width, self.block, self.n, self.docs, magic = _TAIL.unpack(tail) if tail else (0,) * 6
         if magic != MAGIC or version != VERSION:
             raise ValueError(f"{path} is not a token file of version {VERSION}")
+        blocks, self.data = -(-self.n // self.block), len(MAGIC)
+        self.f.seek(size - _TAIL.size - 9 * self.docs - 8 * (self.docs + 1) - 8 * (blocks + 1))
+        self.offsets = np.frombuffer(self.f.read(8 * (blocks + 1)), "<u8").astype(np.int64)
         self.present = np.frombuffer(self.f.read(self.docs), np.uint8).astype(bool)
         self.doc_id = np.frombuffer(self.f.read(8 * self.docs), "<i8")
         self.first = np.frombuffer(self.f.read(8 * (self.docs + 1)), "<u8").astype(np.int64)
-        blocks = -(-self.n // self.block)
-        self.offsets = np.frombuffer(self.f.read(8 * (blocks + 1)), "<u8").astype(np.int64)
-        self.data = _HEAD.size + 9 * self.docs + 8 * (self.docs + 1) + 8 * (blocks + 1)
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         out = [np.empty(0, np.uint32)]
@@ -131,6 +169,14 @@ def _rare_space(data: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
+def _places(raw: bytes, part: bytes) -> np.ndarray:
+    out, at = [], raw.find(part)
+    while at >= 0:
+        out.append(at)
+        at = raw.find(part, at + 1)
+    return np.array(out, np.int64)
+
+
 #: White space by code point; in one byte, then in three.
 _RARE = np.isin(np.arange(256), (0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F))
 _SPACES = [int.from_bytes(chr(c).encode(), "big") for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -143,13 +189,19 @@ class Encoder:
     characters that are not white space, and makes a line break between two such
     a piece of its own; merges never cross pieces.  So such a text is the pieces
     at its spaces and line breaks, each encoded alone.  A text with white space at
-    its ends, two together or of a rarer kind is encoded whole.
+    its ends, two together or of a rarer kind, or that holds one of the
+    tokenizer's added strings, is encoded whole.
 
-    Pieces are told apart by 64-bit hashes, kept as a sorted array beside their
+    A piece of up to ``SHORT`` bytes is told apart by a value made of these bytes,
+    its length and how it begins; these are kept as a sorted array beside their
     ids, so that a run of texts is put together without a step for each word.
+    Longer pieces are looked up by their bytes.  So no two pieces are taken for
+    one.
     """
 
     KEEP = 2_000_000  # pieces kept, of about 30 bytes each
+    LONGEST = 256  # bytes of a piece that is kept; texts with longer ones are encoded whole
+    SHORT = 7
     RUN = 2 << 20
 
     def __init__(self, path: str):
@@ -157,19 +209,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocab = self.t.get_vocab_size()
         self.kind = np.uint16 if self.vocab <= 1 << 16 else np.uint32
         rules = json.loads(self.t.to_str())
         pre = rules.get("pre_tokenizer") or {}
+        self.added = [x["content"].encode() for x in rules.get("added_tokens") or []]
         between = self.t.encode("a\na", add_special_tokens=False).ids
-        self.pieces = rules.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and len(between) == 3
-        self.line = between[1]
+        self.pieces = rules.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and len(between) == 3 and not any(set(x) & set(b" \n") for x in self.added)
+        self.line = between[1] if len(between) > 1 else 0
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.empty(0, np.uint64)  # sorted
+        self.keys = np.empty(0, np.uint64)  # sorted, of short pieces
         self.slot = np.empty(0, np.int64)  # of each key
+        self.long: dict[bytes, int] = {}  # slots of others, that after a space with it
         self.ids = np.empty(1 << 16, self.kind)  # of all slots, one after another
         self.at = np.zeros(1 << 16, np.int64)  # where each slot begins, and the last ends
         self.n = 0
@@ -177,11 +230,11 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, pieces: list[str], prefix: str) -> None:
-        """Encode pieces in one go, a line each: a single line break is a piece of its own."""
+    def _learn(self, pieces: list[bytes], prefix: str) -> np.ndarray:
+        """Encode pieces in one go, a line each: a single line break is a piece of its own.  Returns their slots."""
         if not pieces:
-            return
-        got = np.array(self.t.encode_batch_fast([prefix + ("\n" + prefix).join(pieces)], add_special_tokens=False)[0].ids, self.kind)
+            return np.empty(0, np.int64)
+        got = np.array(self.t.encode_batch_fast([prefix + ("\n" + prefix).join([p.decode() for p in pieces])], add_special_tokens=False)[0].ids, self.kind)
         breaks = np.flatnonzero(got == self.line)
         sizes = np.diff(np.concatenate([[-1], breaks, [len(got)]])) - 1
         body = np.delete(got, breaks)
@@ -194,13 +247,36 @@ class Encoder:
         self.at[self.n + 1 : self.n + 1 + len(sizes)] = end + np.cumsum(sizes)
         slots = self.n + np.arange(len(sizes))
         self.n += len(sizes)
-        order = np.argsort(keys)
-        to = np.searchsorted(self.keys, keys[order])
-        self.keys, self.slot = np.insert(self.keys, to, keys[order]), np.insert(self.slot, to, slots[order])
+        return slots
+
+    def _short_slots(self, key: np.ndarray, starts: np.ndarray, ends: np.ndarray, spaced: np.ndarray, raw: bytes) -> np.ndarray:
+        uniq, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        where = np.minimum(np.searchsorted(self.keys, uniq), max(len(self.keys) - 1, 0))
+        new = self.keys[where] != uniq if len(self.keys) else np.ones(len(uniq), bool)
+        if new.any():
+            fresh, slots = first[new], np.empty(int(new.sum()), np.int64)
+            for prefix, mine in ((" ", spaced[fresh]), ("", ~spaced[fresh])):
+                pick = fresh[mine]
+                slots[mine] = self._learn([raw[a:b] for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)], prefix)
+            to = np.searchsorted(self.keys, uniq[new])
+            self.keys, self.slot = np.insert(self.keys, to, uniq[new]), np.insert(self.slot, to, slots)
+        return self.slot[np.searchsorted(self.keys, uniq)][inverse] if len(uniq) else np.empty(0, np.int64)
+
+    def _long_slots(self, starts: np.ndarray, ends: np.ndarray, spaced: np.ndarray, raw: bytes) -> list[int]:
+        # a piece after a space is looked up with that space, so it is no other piece
+        pieces = [raw[a:b] for a, b in zip((starts - spaced).tolist(), ends.tolist(), strict=True)]
+        found = list(map(self.long.get, pieces))
+        if None in found:
+            new = {p for p, k in zip(pieces, found, strict=True) if k is None}
+            for prefix in (" ", ""):
+                mine = [p for p in new if p.startswith(b" ") == (prefix == " ")]
+                self.long.update(zip(mine, self._learn([p[len(prefix) :] for p in mine], prefix).tolist(), strict=True))
+            found = [self.long[p] for p in pieces]
+        return found
 
     def run(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a run of texts given as bytes and offsets, and the texts' offsets in them."""
-        n = len(off) - 1
+        n, raw = len(off) - 1, data.tobytes()
         sep = (data == 32) | (data == 10)
         edge = np.ones(len(data) + 1, bool)  # nothing that belongs to the same text comes before
         edge[:-1] = False
@@ -208,7 +284,7 @@ class Encoder:
         at = np.flatnonzero(sep)
         bad = at[edge[at] | edge[at + 1] | np.append(sep, True)[at + 1]]
         odd = np.zeros(n, bool)
-        odd[np.searchsorted(off, np.concatenate([bad, _rare_space(data)]), "right") - 1] = True
+        odd[np.searchsorted(off, np.concatenate([bad, _rare_space(data), *(_places(raw, x) for x in self.added)]), "right") - 1] = True
         if not self.pieces:
             odd[:] = True
         # pieces: what stands between separators; how each begins: 0 its text, 1 after a line break, 2 after a space
@@ -218,22 +294,17 @@ class Encoder:
         doc = np.searchsorted(off, starts, "right") - 1
         ends = np.append(starts[1:], len(data))
         ends = np.where(edge[ends], ends, ends - 1)
+        odd[doc[ends - starts > self.LONGEST]] = True
         use = ~odd[doc]
         starts, ends, doc = starts[use], ends[use], doc[use]
         how = np.where(edge[starts], 0, np.where(data[np.maximum(starts - 1, 0)] == 10, 1, 2)) if len(starts) else starts
-        spaced = how == 2
-        h = tx.word_hashes(data, starts, ends) ^ (spaced * np.uint64(0x9E3779B97F4A7C15)) if len(starts) else np.empty(0, np.uint64)
-        uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         if self.n > self.KEEP:
             self._forget()
-        where = np.minimum(np.searchsorted(self.keys, uniq), max(len(self.keys) - 1, 0))
-        new = self.keys[where] != uniq if len(self.keys) else np.ones(len(uniq), bool)
-        if new.any():
-            raw, fresh = data.tobytes(), first[new]
-            for prefix, mine in ((" ", spaced[fresh]), ("", ~spaced[fresh])):
-                pick = fresh[mine]
-                self._learn(uniq[new][mine], [raw[a:b].decode() for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)], prefix)
-        slot = self.slot[np.searchsorted(self.keys, uniq)][inverse] if len(uniq) else np.empty(0, np.int64)
+        size, spaced, slot = ends - starts, how == 2, np.empty(len(starts), np.int64)
+        short = size <= self.SHORT
+        key = tx.head(tx.eights(data), starts[short], size[short]) | ((size[short] + 8 * spaced[short]).astype(np.uint64) << np.uint64(56))
+        slot[short] = self._short_slots(key, starts[short], ends[short], spaced[short], raw)
+        slot[~short] = self._long_slots(starts[~short], ends[~short], spaced[~short], raw)
         begin, size = self.at[slot], self.at[slot + 1] - self.at[slot]
         # a line break's id comes before what follows it
         broken = (how == 1).astype(np.int64) if len(how) else size
@@ -245,7 +316,7 @@ class Encoder:
         out[to + shift] = self.ids[to + np.repeat(begin - (np.cumsum(size) - size), size)]
         counts = np.bincount(doc, total, n).astype(np.int64) if len(doc) else np.zeros(n, np.int64)
         if odd.any():
-            raw, which = data.tobytes(), np.flatnonzero(odd)
+            which = np.flatnonzero(odd)
             parts, cut = [], np.concatenate([[0], np.cumsum(counts)])
             done = 0
             for d, ids in zip(which.tolist(), self.whole([raw[off[d] : off[d + 1]].decode() for d in which]), strict=True):
@@ -280,22 +351,25 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 0, fil
     small_batches(spark)
     rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumns({"h": F.xxhash64("text"), "r": F.monotonically_increasing_id()})
-    n = files or parts(spark)
+    n = files or max(parts(spark), (docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0) // FILE_BYTES)
     dealt = rows.repartitionByRange(n, "id", "h", "r").sortWithinPartitions("id", "h", "r").select("id", "text")
+    listing = pa.schema([("part", pa.int32()), ("name", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())])
 
     def run(batches):
-        enc, part, found = encoder(tokenizer), TaskContext.get().partitionId(), []
-        width = width_of(enc.vocab)
+        enc, part, w, held = encoder(tokenizer), TaskContext.get().partitionId(), None, 0
+        name = f"part-{part:06d}.tok"
         for b in batches:
             ids, (data, off) = b.column(0).to_pylist(), tx.utf8(b.column(1))
             for i, j in tx.runs(off, enc.RUN):
+                if w is None:
+                    fs, base = pafs.FileSystem.from_uri(uri)
+                    fs.create_dir(base, recursive=True)
+                    w = TokenWriter(fs, f"{base}/{name}", width_of(enc.vocab))
                 got, cut = enc.run(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                found += [(d, np.append(got[x:y], enc.kind(end_id))) for d, x, y in zip(ids[i:j], cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        if found:
-            fs, base = pafs.FileSystem.from_uri(uri)
-            fs.create_dir(base, recursive=True)
-            name = f"part-{part:06d}.tok"
-            yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "documents": [len(found)], "ids": [write_file(fs, f"{base}/{name}", found, width)]}, pa.schema([("part", pa.int32()), ("name", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]))
+                w.add(ids[i:j], np.insert(got, cut[1:], enc.kind(end_id)), cut + np.arange(len(cut)))
+                held += j - i
+        if w is not None:
+            yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "documents": [held], "ids": [w.close()]}, listing)
 
     at, listed = 0, []
     for r in sorted(dealt.mapInArrow(frugal(run), "part int, name string, documents long, ids long").collect()):

@@ -34,3 +34,16 @@ def test_slices_and_nulls():
     data, off = T.utf8(a)
     assert bytes(data) == "yéz".encode() and off.tolist() == [0, 0, 3, 4]
     assert T.utf8(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+def test_words_that_polynomial_hashes_mistake_have_hashes_of_their_own():
+    seen = set()
+    for n in range(1, 13):
+        w = [0]
+        for _ in range(n):
+            w += [1 - x for x in w]
+        for a, b in (b"ab", b"ba"):
+            seen.add(T.hash_word(bytes((a, b)[x] for x in w)))
+    assert len(seen) == 24
+    words = [bytes([65 + k]) * n for n in range(1, 80) for k in range(3)] + [b"\0" * n for n in range(1, 80)]
+    assert len({T.hash_word(w) for w in words}) == len({w.lower() for w in words})

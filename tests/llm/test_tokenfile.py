@@ -49,6 +49,42 @@ def test_pieces_are_the_librarys_ids(keep):
             assert got.tolist() == want.tolist(), t
 
 
+def morse(n, a, b):
+    """The Thue-Morse word of 2**n letters, whose halves' polynomial hashes modulo 2**64 are equal for n >= 10."""
+    w = [0]
+    for _ in range(n):
+        w += [1 - x for x in w]
+    return "".join((a, b)[x] for x in w)
+
+
+def test_ids_are_those_of_the_plain_library():
+    """Against the library called as anyone would: control strings, and words that simple hashes mistake for each other."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(PATH)
+    texts = [morse(10, "a", "b"), morse(10, "b", "a"), f"x {morse(7, 'a', 'b')} y", f"x {morse(7, 'b', 'a')} y", "ab <|endoftext|> cd", "<|endoftext|>", "x<|endoftext|>y z", "<|endoftext", "abcdefg abcdefg\nabcdefg abcdefgh", "abcdefgh\nabcdefgh abcdefgh", "\0 \0\0 a\0"]
+    e = T.Encoder(PATH)
+    for _ in range(2):
+        for t, got in zip(texts, e.encode(texts), strict=True):
+            assert got.tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    assert e.encode(["ab <|endoftext|> cd"])[0].tolist() == [397, 220, 50256, 22927]
+
+
+def test_a_file_is_written_as_blocks_fill(tmp_path, monkeypatch):
+    """A file of many blocks never has more than a block and a run of ids waiting."""
+    waiting, real = [], T.TokenWriter.add
+    monkeypatch.setattr(T.TokenWriter, "add", lambda self, *a: (real(self, *a), waiting.append(sum(map(len, self.held))))[0])
+    fs, rng = pafs.LocalFileSystem(), np.random.default_rng(0)
+    docs = [(i, rng.integers(0, 50_000, 3000)) for i in range(2000)]
+    assert T.write_file(fs, f"{tmp_path}/x.tok", docs, 16) == 6_000_000
+    assert max(waiting) < T.BLOCK and len(waiting) == 2000
+    f = T.TokenFile(fs, f"{tmp_path}/x.tok")
+    assert len(f.offsets) == 93 and all((f.doc(i) == docs[i][1]).all() for i in (0, 21, 22, 1999))
+    with pytest.raises(ValueError):
+        (tmp_path / "y.tok").write_bytes(b"BMTK")
+        T.TokenFile(fs, f"{tmp_path}/y.tok")
+
+
 def test_files_and_query(spark, tmp_path):
     rows = [(3, "b c", "q"), (1, "a " * 5000, "q"), (2, None, "q"), (None, "n", "q"), (3, "a", "q"), (3, "b c", "q"), (-5, "", "q")]
     df = spark.createDataFrame(rows, "doc_id long, text string, id string")
