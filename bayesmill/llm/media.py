@@ -1,10 +1,12 @@
 """Media columns: PNG in binary columns, and hashes of its low frequencies.
 
-Encoding cuts a payload into rows of 8-bit samples, filters them, compresses
-them as one zlib stream and puts that into chunks, each with its checksum.  A
-private chunk keeps the payload's length.  Decoding tests the signature, every
-chunk's checksum, the order of chunks, the stream's own checksum and the
-number of samples, and undoes the filters with numpy.
+Encoding cuts a payload into rows of 8-bit samples, gives each row the filter
+that leaves the fewest different values, compresses them as one zlib stream and
+puts that into chunks, each with its checksum.  A private chunk keeps the
+payload's length.  Decoding tests the signature, every chunk's checksum, the
+order of chunks, the stream's own checksum and the number of samples, and undoes
+the filters with numpy: rows of filters that do not look at both neighbours by
+sums, others along the diagonals of all images of a batch at once.
 
 The hash of an image is the sign of its 63 lowest cosine coefficients (of 8 x 8,
 without the mean) against their median, on a 32 x 32 area average, and one bit
@@ -26,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import text as tx
 from .workspace import frugal, small_batches
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH, PAD = 192, 32
 IDAT = 1 << 16
+RUN = 1 << 20  # bytes of images decoded together, or one longer image
 LENGTH = b"paLn"
 
 
@@ -42,14 +46,24 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def encode(payload: bytes, width: int = WIDTH, kind: int = 0, level: int = 6) -> bytes:
-    """A greyscale PNG of ``width`` samples a row, the last row padded with spaces; ``kind`` is the row filter."""
+def encode(payload: bytes, width: int = WIDTH, kind: int | None = None, level: int = 6) -> bytes:
+    """A greyscale PNG of ``width`` samples a row, the last row padded with spaces; ``kind`` is the filter of all rows, None the best of each."""
     n = len(payload)
     rows = max(1, -(-n // width))
     x = np.frombuffer(payload.ljust(rows * width, bytes([PAD])), np.uint8).reshape(rows, width)
     out = np.empty((rows, width + 1), np.uint8)
-    out[:, 0] = kind
-    out[:, 1:] = _filter(x, kind)
+    if kind is None:
+        best = np.full(rows, width + 1)
+        for k in range(5):
+            y = _filter(x, k)
+            few = _different(y)
+            use = few < best
+            best[use] = few[use]
+            out[use, 0] = k
+            out[use, 1:] = y[use]
+    else:
+        out[:, 0] = kind
+        out[:, 1:] = _filter(x, kind)
     z = zlib.compress(out.tobytes(), level)
     return b"".join([
         SIGNATURE, _chunk(b"IHDR", struct.pack(">IIBBBBB", width, rows, 8, 0, 0, 0, 0)), _chunk(LENGTH, struct.pack(">Q", n)),
@@ -57,6 +71,17 @@ def encode(payload: bytes, width: int = WIDTH, kind: int = 0, level: int = 6) ->
     ])
 
 
+def _different(x: np.ndarray) -> np.ndarray:
+    """How many different values each row has."""
+    out = np.empty(len(x), np.int64)
+    for i in range(0, len(x), 4096):
+        part = x[i : i + 4096]
+        seen = np.zeros(len(part) << 8, bool)
+        seen[((np.arange(len(part)) << 8)[:, None] + part).ravel()] = True
+        out[i : i + 4096] = seen.reshape(-1, 256).sum(axis=1)
+    return out
+
+
 def _filter(x: np.ndarray, kind: int) -> np.ndarray:
     left, up, corner = np.zeros_like(x), np.zeros_like(x), np.zeros_like(x)
     left[:, 1:], up[1:], corner[1:, 1:] = x[:, :-1], x[:-1], x[:-1, :-1]
@@ -78,44 +103,80 @@ def _paeth(a, b, c):
 
 
 def unfilter(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Samples (one byte a pixel) from filtered rows.  Runs of rows with one of the filters 0 to 2 are done at once."""
+    """Samples (one byte a pixel) of one image from its filtered rows."""
+    return unfilter_all([(kinds, rows)])[0]
+
+
+def unfilter_all(images: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Samples of each image (filters, filtered rows)."""
+    out: list[np.ndarray] = [None] * len(images)
+    waves: dict[int, list[int]] = {}
+    for i, (kinds, rows) in enumerate(images):
+        if len(kinds) and kinds.max() > 4:
+            raise MediaError(f"filter {kinds.max()}")
+        if len(kinds) and kinds.max() > 2:
+            waves.setdefault(rows.shape[1], []).append(i)
+        else:
+            out[i] = _by_sums(kinds, rows)
+    for some in waves.values():
+        sizes = [len(images[i][0]) for i in some]
+        got = _by_diagonals(np.concatenate([images[i][0] for i in some]), np.concatenate([images[i][1] for i in some]), np.array(sizes))
+        for i, x in zip(some, np.split(got, np.cumsum(sizes)[:-1]), strict=True):
+            out[i] = x
+    return out
+
+
+def _by_sums(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Runs of rows with one of the filters 0 to 2 are done at once."""
+    if not kinds.any():
+        return rows
     out = np.empty_like(rows)
     above = np.zeros(rows.shape[1], np.uint8)
-    i = 0
-    while i < len(rows):
-        k, j = kinds[i], i + 1
-        while j < len(rows) and kinds[j] == k:
-            j += 1
+    edges = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)]
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
         r = rows[i:j]
-        if k == 0:
+        if kinds[i] == 0:
             out[i:j] = r
-        elif k == 1:
+        elif kinds[i] == 1:
             out[i:j] = np.cumsum(r, axis=1, dtype=np.uint8)
-        elif k == 2:
-            out[i:j] = np.cumsum(r, axis=0, dtype=np.uint8) + above
-        elif k == 3:
-            for y in range(i, j):
-                up, line, a = above.tolist(), rows[y].tolist(), 0
-                for x, v in enumerate(line):
-                    a = line[x] = (v + (a + up[x]) // 2) & 255
-                above = out[y] = np.array(line, np.uint8)
-        elif k == 4:
-            for y in range(i, j):
-                up, line, a, c = above.tolist(), rows[y].tolist(), 0, 0
-                for x, v in enumerate(line):
-                    b = up[x]
-                    p, q, s = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    a = line[x] = (v + (a if p <= q and p <= s else b if q <= s else c)) & 255
-                    c = b
-                above = out[y] = np.array(line, np.uint8)
         else:
-            raise MediaError(f"filter {k}")
-        above, i = out[j - 1], j
+            out[i:j] = np.cumsum(r, axis=0, dtype=np.uint8) + above
+        above = out[j - 1]
     return out
 
 
+def _by_diagonals(kinds: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Images one below the other, of ``sizes`` rows each.
+
+    A sample needs those to its left, above and above left, so the samples whose
+    row (in its image) and column have one sum are done together.
+    """
+    n, width = rows.shape
+    y = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.argsort(y, kind="stable")  # rows at work are then a slice
+    y, kinds = y[order], kinds[order].astype(np.int64)
+    flat = np.zeros((n + 1) * (width + 1), np.uint8)  # a column of zeros before each row, and a row of them for what has none above
+    here = order * (width + 1)
+    above = np.where(y == 0, n, order - 1) * (width + 1)
+    source, start = rows.ravel(), order * width
+    for t in range(width + int(y[-1])):
+        a, b = np.searchsorted(y, (t - width + 1, t + 1))
+        x = t - y[a:b]
+        at, up = here[a:b] + x, above[a:b] + x
+        left, over, corner = (flat[k].astype(np.int16) for k in (at, up + 1, up))
+        guess = np.choose(kinds[a:b], (np.zeros_like(left), left, over, (left + over) >> 1, _paeth(left, over, corner)))
+        flat[at + 1] = source[start[a:b] + x] + guess.astype(np.uint8)
+    return flat.reshape(n + 1, width + 1)[:n, 1:].copy()
+
+
 def decode(png: bytes) -> tuple[np.ndarray, int]:
     """The samples and the payload's length.  Raises MediaError for anything that is not whole."""
+    kinds, rows, n = read_chunks(png)
+    return unfilter(kinds, rows), n
+
+
+def read_chunks(png: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """Filters, filtered rows, and the payload's length."""
     if png[:8] != SIGNATURE:
         raise MediaError("not a PNG")
     at, head, length, z, ended = 8, None, None, [], False
@@ -157,7 +218,9 @@ def decode(png: bytes) -> tuple[np.ndarray, int]:
     x = np.frombuffer(raw, np.uint8).reshape(rows, width + 1)
     if length is not None and length > rows * width:
         raise MediaError("length")
-    return unfilter(x[:, 0], x[:, 1:]), rows * width if length is None else length
+    if x[:, 0].max() > 4:
+        raise MediaError(f"filter {x[:, 0].max()}")
+    return x[:, 0], x[:, 1:], rows * width if length is None else length
 
 
 # -- hashes -----------------------------------------------------------------
@@ -185,7 +248,7 @@ def cosine_hash(x: np.ndarray) -> int:
 
 # -- columns ----------------------------------------------------------------
 
-def encode_column(df: DataFrame, payload: str = "text", media: str = "media", kind: int = 0, level: int = 6) -> DataFrame:
+def encode_column(df: DataFrame, payload: str = "text", media: str = "media", kind: int | None = None, level: int = 6) -> DataFrame:
     """Replace a text or binary column by PNG in a binary column."""
     small_batches(df.sparkSession, 500)
     rest = [c for c in df.columns if c not in (payload, media)]
@@ -210,19 +273,30 @@ def features(df: DataFrame, media: str = "media") -> DataFrame:
     for name, kind in FEATURES.items():
         schema = schema.add(name, kind)
 
-    def one(png):
-        own = (len(png), hashlib.sha256(png).hexdigest()) if png is not None else (None, None)
+    def read(png):
         try:
-            x, n = decode(png or b"")
+            return read_chunks(png or b""), None
         except MediaError as e:
-            return (None, None, None, None, *own, None, str(e))
+            return None, str(e)
+
+    def describe(png, x, n, error):
+        own = (len(png), hashlib.sha256(png).hexdigest()) if png is not None else (None, None)
+        if x is None:
+            return (None, None, None, None, *own, None, error)
         raw = x.tobytes()
         return (n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), *own, f"{cosine_hash(x):016x}", None)
 
     def run(batches):
         kinds = [{"long": pa.int64(), "string": pa.string()}[k] for k in FEATURES.values()]
         for b in batches:
-            cols = list(zip(*map(one, b.column(0).to_pylist()), strict=True)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([*(b.column(i + 1) for i in range(len(rest))), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*rest, *FEATURES])
+            sizes = np.diff(np.frombuffer(b.column(0).buffers()[1], np.int32, b.num_rows + 1, 4 * b.column(0).offset)) if b.num_rows else []
+            at, parts = np.concatenate([[0], np.cumsum(sizes)]), []
+            for i, j in tx.runs(at, RUN):  # so that unpacked images are few
+                pngs = b.column(0).slice(i, j - i).to_pylist()
+                found = [read(p) for p in pngs]
+                samples = iter(unfilter_all([f[:2] for f, _ in found if f]))
+                rows = [describe(p, next(samples) if f else None, f and f[2], error) for p, (f, error) in zip(pngs, found, strict=True)]
+                parts.append(pa.RecordBatch.from_arrays([*(b.column(k + 1).slice(i, j - i) for k in range(len(rest))), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], [*rest, *FEATURES]))
+            yield from parts
 
     return df.select(F.col(media).alias("_media"), *rest).mapInArrow(frugal(run), schema)
