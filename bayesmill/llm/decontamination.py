@@ -10,8 +10,10 @@ Finds the short items that lie inside long documents: pairs in which at least
   likewise.  For a pair of partitions, a document's MinHash signature is the
   least hash in each of a number of bins.  The number is chosen from both sizes
   so that a qualifying pair shares a minimum but with probability e**-14; it is
-  less the larger the items are.  Where no number of bins gives that (small
-  items), the signature is all of the document's hashes, so none is missed.
+  less the larger the items are.  Bins are given by a hash's first bits, so that
+  a signature of fewer bins is made from one of more.  For items of a few
+  shingles the bins would be far more than the document's hashes; then the
+  signature is these hashes themselves, and no pair is missed.
 * A candidate document is verified: its hashes against those of the items, then
   the words themselves, for pairs that pass.
 
@@ -40,7 +42,8 @@ from .workspace import Workspace, frugal, map_arrays, put_arrays, small_batches
 
 _U = np.uint64
 WIDTH, THRESHOLD = 5, 0.8
-MISS = 14.0  # expected shared minima of a qualifying pair
+MISS = 14.0  # a qualifying pair shares no minimum with probability e**-MISS at most
+SPARE = 3  # bins are at most 2**SPARE times the document's hashes
 BLOCK_BYTES = 32 << 20  # of item texts in one block
 POSTINGS = 4 << 20  # (document, item) hits counted at once, but for those of one document
 
@@ -84,18 +87,55 @@ def word_shingles(text: str | bytes, width: int = WIDTH) -> set[tuple[bytes, ...
 
 
 def bins(doc_size: int, item_size: int, threshold: float = THRESHOLD) -> int | None:
-    """Log2 of the number of bins for documents of up to ``doc_size`` and items of at least ``item_size`` shingles; None for all hashes.
+    """Log2 of the number of bins for documents of up to ``doc_size`` and items of at least ``item_size`` shingles; None for the hashes themselves.
 
-    A hash of n is its bin's least of B with probability (1 - exp(-x)) / x, x = n / B.
+    A hash of n is its bin's least of B with probability (1 - exp(-x)) / x, x = n / B;
+    those that a pair shares are all not so with that of one, to the power of their number.
     """
-    need = MISS / (threshold * item_size)
+    shared = math.ceil(threshold * item_size - 1e-9)
+    need = -math.expm1(-MISS / shared)
     best = None
-    for b in range(doc_size.bit_length() + 1, -1, -1):
+    for b in range(doc_size.bit_length() + SPARE, -1, -1):
         x = doc_size / (1 << b)
         if -math.expm1(-x) / x < need:
             break
         best = b
-    return best if best is not None and (1 << best) < doc_size else None
+    return best
+
+
+class Run:
+    """Hashes of a run of documents, and their signatures."""
+
+    def __init__(self, h: np.ndarray, at: np.ndarray):
+        self.h, self.n = h, np.diff(at)
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        size_class = np.frexp(self.n)[1]  # n < 2**class
+        self.classes = {c: np.flatnonzero(size_class == c) for c in np.unique(size_class[self.n > 0]).tolist()}
+        self.own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.made: dict[tuple[int, int], np.ndarray] = {}
+
+    def hashes(self, c: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of a class's documents, and the documents."""
+        if c not in self.own:
+            take = np.flatnonzero(np.isin(self.doc, self.classes[c])) if len(self.classes) > 1 else slice(None)
+            self.own[c] = self.h[take], self.doc[take]
+        return self.own[c]
+
+    def signature(self, c: int, b: int) -> np.ndarray:
+        """The least hash in each of 2**b bins of each of a class's documents, the largest value in empty ones."""
+        if (c, b) not in self.made:
+            finer = [k for d, k in self.made if d == c and k > b]
+            d = self.classes[c]
+            if finer:
+                self.made[c, b] = self.made[c, min(finer)].reshape(len(d) << b, -1).min(axis=1)
+            else:
+                rank = np.zeros(len(self.n), np.int64)
+                rank[d] = np.arange(len(d))
+                h, doc = self.hashes(c)
+                least = np.full(len(d) << b, ~_U(0), _U)
+                np.minimum.at(least, (rank[doc] << b) + ((h >> _U(64 - b)).astype(np.int64) if b else 0), h)
+                self.made[c, b] = least
+        return self.made[c, b]
 
 
 # -- index ------------------------------------------------------------------
@@ -158,30 +198,23 @@ class Block:
         ok = np.flatnonzero(key[at] == h)
         return ok, at[ok]
 
-    def pairs(self, h: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+    def pairs(self, run: Run) -> list[tuple[int, int, int]]:
         """(document, item, shared hashes) that qualify by hash."""
         out = []
-        n = np.diff(at)
-        doc = np.repeat(np.arange(len(n)), n)
-        size_class = np.frexp(n)[1]  # n < 2**class
-        for k, index in self.kinds.items():
-            seen = np.zeros(len(n), bool)
-            for c in np.unique(size_class[n > 0]).tolist():
-                mine = size_class == c
+        h, doc = run.h, run.doc
+        for k, index in sorted(self.kinds.items()):  # those of few shingles need the most bins
+            seen = np.zeros(len(run.n), bool)
+            for c, d in run.classes.items():
                 b = bins((1 << c) - 1, 1 << (k - 1), self.threshold)
-                take = np.flatnonzero(mine[doc])
                 if b is None:
-                    ok, _ = self._hits(index["key"], h[take])
-                    seen[doc[take[ok]]] = True
+                    own, of = run.hashes(c)
+                    ok, _ = self._hits(index["key"], own)
+                    seen[of[ok]] = True
                 else:
-                    d = np.flatnonzero(mine)
-                    rank = np.zeros(len(n), np.int64)
-                    rank[d] = np.arange(len(d))
-                    least = np.full(len(d) << b, ~_U(0), _U)
-                    place = (rank[doc[take]] << b) + ((h[take] >> _U(64 - b)).astype(np.int64) if b else 0)
-                    np.minimum.at(least, place, h[take])
-                    ok, _ = self._hits(index["key"], least)
-                    seen[d[ok >> b]] = True
+                    least = run.signature(c, b)
+                    full = np.flatnonzero(least != ~_U(0))
+                    ok, _ = self._hits(index["key"], least[full])
+                    seen[d[full[ok] >> b]] = True
             if not seen.any():
                 continue
             take = np.flatnonzero(seen[doc])
@@ -222,10 +255,10 @@ def _scan(blocks: list[tuple[str, list[int]]], threshold: float):
     mapped = [Block(f, k, threshold) for f, k in blocks]
 
     def scan(data: np.ndarray, off: np.ndarray):
-        h, at = shingles(data, off)
+        run = Run(*shingles(data, off))
         words: tuple[int, set] = (-1, set())
         for b in mapped:
-            for d, i, _ in sorted(b.pairs(h, at)):
+            for d, i, _ in sorted(b.pairs(run)):
                 if words[0] != d:
                     words = (d, word_shingles(data[off[d] : off[d + 1]].tobytes()))
                 shared, own = b.verify(i, words[1])

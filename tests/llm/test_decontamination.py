@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -19,9 +20,42 @@ def test_shingle_sets_match_words():
 
 
 def test_bins_shrink_with_item_size():
-    assert D.bins(1000, 8) is None
-    b = [D.bins(1 << 14, q) for q in (64, 256, 1024)]
-    assert b == sorted(b, reverse=True) and b[-1] < 10
+    assert D.bins(1000, 2) is None
+    b = [D.bins(1 << 14, q) for q in (8, 16, 32, 64, 256, 1024)]
+    assert b == sorted(b, reverse=True) and b[-1] < 10 and len(set(b)) > 4
+
+
+@pytest.mark.parametrize(("size", "n", "part"), [(10, 300, 0.95), (20, 3000, 0.9), (40, 3000, 0.7), (55, 20_000, 0.7), (300, 20_000, 0.15)])
+def test_qualifying_pairs_share_a_minimum(size, n, part):
+    """Recall of signatures at the limit, over 3000 pairs whose documents hold just 0.8 of an item's hashes."""
+    rng = np.random.default_rng(size)
+    b, found, least = D.bins((1 << n.bit_length()) - 1, 1 << (size.bit_length() - 1)), 0, 0
+    docs = 3000 if n < 5000 else 300
+    for _ in range(docs):
+        item = rng.integers(0, 1 << 64, size, dtype=np.uint64)
+        shared = item[: -(-4 * size // 5)]
+        h = np.concatenate([rng.integers(0, 1 << 64, n - len(shared), dtype=np.uint64), shared])
+        s = D.Run(h, np.array([0, n])).signature(n.bit_length(), b)
+        found += bool(np.isin(s, item).any())
+        least += int((s != ~np.uint64(0)).sum())
+    assert found == docs
+    assert least < part * docs * n  # the share of hashes that are looked up
+
+
+def test_coarser_signatures_come_from_finer_ones():
+    h = np.random.default_rng(0).integers(0, 1 << 64, 700, dtype=np.uint64)
+    at = np.array([0, 0, 300, 700])
+    one, two = D.Run(h, at), D.Run(h, at)
+    c = one.n[2].item().bit_length()
+    one.signature(c, 9)
+    assert (one.signature(c, 5) == two.signature(c, 5)).all()
+
+
+def test_the_benchmark_is_searched_by_signatures(spark):
+    """On the given tables every kind of item has a number of bins, so all documents are searched by MinHash."""
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    for folder, kinds in D.build_index(items, Workspace(spark, "t")):
+        assert kinds and all(D.bins((1 << c) - 1, 1 << (k - 1)) is not None for k in kinds for c in range(1, 18))
 
 
 def corpus(seed):
@@ -48,10 +82,10 @@ def test_shared_shingles_are_counted_in_parts(spark, monkeypatch):
     items = spark.createDataFrame([(i, f"{same} {'other' * (i % 2)}") for i in range(40)], "item_id long, text string")
     whole = sorted(map(tuple, D.find_contained(docs, items, Workspace(spark, "t")).collect()))
     block = D.Block(*D.build_index(items, Workspace(spark, "t"))[0], 0.8)
-    h, at = D.shingles(*D.tx.utf8(pa.array([r["text"] for r in docs.collect()])))
-    at_once = sorted(block.pairs(h, at))
+    run = D.Run(*D.shingles(*D.tx.utf8(pa.array([r["text"] for r in docs.collect()]))))
+    at_once = sorted(block.pairs(run))
     monkeypatch.setattr(D, "POSTINGS", 7)
-    assert sorted(block.pairs(h, at)) == at_once and len(whole) == len(at_once) == 50 * 40
+    assert sorted(block.pairs(run)) == at_once and len(whole) == len(at_once) == 50 * 40
 
 
 @pytest.mark.parametrize("seed", range(3))
