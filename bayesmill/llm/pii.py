@@ -20,6 +20,7 @@ results; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import random
 import re
@@ -37,6 +38,7 @@ from .workspace import frugal, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 5000
+STEP = 4096  # candidates of a text scored at a time
 PRECISION = 0.99  # asked of a kind's threshold on the calibration rows
 
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
@@ -213,17 +215,17 @@ class Model:
     thresholds: list[float]
 
     def added(self, s: str, base: list[Span]) -> list[Span]:
-        """Accepted candidates that overlap neither base spans nor better ones."""
-        some = [c for c in candidates(s) if not any(c[0] < b[2] and b[0] < c[2] for b in base)] if len(base) < 64 else _free(candidates(s), base)
+        """Accepted candidates that overlap neither base spans nor better ones, by start."""
+        some = _free(candidates(s), base)
         if not some:
             return []
-        p = self.trees.predict(np.array([describe(s, c) for c in some]))
+        p = np.concatenate([self.trees.predict(np.array([describe(s, c) for c in some[i : i + STEP]])) for i in range(0, len(some), STEP)])
         best = sorted((-q, c) for q, c in zip(p.tolist(), some, strict=True) if q >= self.thresholds[c[1]])
-        kept: list[Span] = []
+        kept: list[Span] = []  # they do not overlap, so only the neighbours of a place can
         for _, c in best:
-            if _free([c], kept):
-                kept.append(c)
-                kept.sort()
+            at = bisect.bisect_left(kept, c)
+            if (not at or kept[at - 1][2] <= c[0]) and (at == len(kept) or c[2] <= kept[at][0]):
+                kept.insert(at, c)
         return kept
 
 
@@ -249,11 +251,11 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
                     continue
                 base = base_spans(s)
                 mine = set(base)
-                for c in sorted(mine.union(candidates(s))):
-                    # what is no base span is neither yes nor no, but for what is proven false and overlaps none
-                    if c in mine or proven_false(s, c) and _free([c], base):
-                        where = (c[1] * 33 + min(c[0], 32)) * 17 + min(len(s) - c[2], 16)
-                        rows.append((xxhash.xxh64_intdigest(s[max(0, c[0] - 32) : c[2] + 16], where) >> 1, describe(s, c), float(c in mine)))
+                others = [c for c in candidates(s) if c not in mine and proven_false(s, c)]
+                # what is no base span is neither yes nor no, but for what is proven false and overlaps none
+                for c in sorted(mine.union(_free(others, base))):
+                    where = (c[1] * 33 + min(c[0], 32)) * 17 + min(len(s) - c[2], 16)
+                    rows.append((xxhash.xxh64_intdigest(s[max(0, c[0] - 32) : c[2] + 16], where) >> 1, describe(s, c), float(c in mine)))
             if rows:
                 h, x, y = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_pydict({"h": list(h), "x": list(x), "y": list(y)})
