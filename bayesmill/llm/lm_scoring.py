@@ -1,21 +1,30 @@
 """Interpolated modified Kneser-Ney language model: counted in Spark, stored as
 sorted hash arrays, memory-mapped by the workers that score.
 
-Three passes, none of which gathers more than per-shard totals on the driver:
+No pass gathers more than per-shard totals on the driver:
 
 1. Words.  Each task hashes the words of its texts, counts them, and sends its
-   counts by hash range.  One task per range writes ``hash`` (sorted) and
-   ``count``.  A word's id is its rank over all ranges.
-2. Word pairs.  Each task looks ids up in the mapped arrays and counts pairs.
-   A pair is one 64-bit key, a bijective mix of its two ids, so pairs cannot
-   collide; keys are dealt by their high bits, so no word or pair, however
-   frequent, makes a large task.  The tasks that merge them write ``key``
-   (sorted) and ``count``, and send on what each word needs: how many different
-   words precede it, and how many follow it once, twice and more often.
-3. Scores.  Each task looks up the distinct pairs of a run of texts.
-
-A model has order 2.  With V known words and the unknown one, words back off to
-1/(V+1).  Every text is preceded by a start mark and followed by an end token.
+   counts by hash range.  One task per range writes the sorted hashes and the
+   counts.  A word's id is its rank over all ranges.
+2. Word pairs.  Each task looks ids up in the mapped arrays and collects pairs.
+   A pair of ids is mixed by a bijection (four Feistel rounds), so pairs cannot
+   collide, and is dealt by its first half, so no word, however frequent, makes a
+   large task.  A pair's place is its shard and its rank there.
+3. Word triples (order 3).  A triple is the place of its first two words and the
+   id of the third; it is dealt to that pair's shard and stored sorted, so that
+   a context's followers lie side by side.  Each triple then counts once for its
+   last two words: that is the pair's value in the model of order 2 below.
+4. Words as contexts and as followers: sums over pairs, dealt by id.
+5. Scores.  Each task looks up the distinct triples of a run of texts, then pairs,
+   then words.
+
+With V known words and the unknown one, words back off to 1/(V+1).  Every text is
+preceded by start marks and followed by an end token.  Sorted keys travel as
+differences of as few bytes as they need, and are stored without the bits that a
+table of offsets gives.
+
+Words are told apart by 64-bit hashes (:func:`~bayesmill.llm.text.word_hashes`),
+so two of n words count as one with a chance of about n**2 / 2**65.
 
 Defined cases: a null text is empty and consists of the end token; a null
 document id hashes as the empty string; repeated rows count as often as they
@@ -37,9 +46,9 @@ from .workspace import Workspace, frugal, map_arrays, parts, put_arrays, small_b
 _U = np.uint64
 END = np.uint64(0x5F1D36F1A9C4E2B7)  # the end token's hash; words' hashes are spread over all values
 START_ID = 0
-UNKNOWN = np.iinfo(np.int64).max
 FLUSH = 3_000_000
-PAIR_BITS = 32
+SHARD_BYTES = 128 << 20  # of training texts for each shard
+GATHER = 4_000_000  # followers summed at a time
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,44 +70,158 @@ def _texts(batches, name="text"):
             yield b.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
+# -- sorted keys ------------------------------------------------------------
+
+def _least(c: np.ndarray) -> np.ndarray:
+    """The counts in as few bytes as the largest needs."""
+    return c.astype(np.min_scalar_type(int(c.max()))) if len(c) else c.astype(np.uint8)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Different sorted keys: the first, and the differences in as few bytes as the largest needs."""
+    if not len(keys):
+        return b""
+    d = np.diff(keys)
+    width = max(1, -(-int(d.max()).bit_length() // 8)) if len(d) else 1
+    return keys[:1].astype("<u8").tobytes() + bytes([width]) + d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.empty(0, _U)
+    width = raw[8]
+    d = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
+    wide = np.zeros((len(d) + 1, 8), np.uint8)
+    wide[1:, :width] = d
+    out = wide.view("<u8")[:, 0]
+    out[0] = np.frombuffer(raw, "<u8", 1)[0]
+    return np.cumsum(out, dtype=_U)
+
+
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not keys:
         return np.empty(0, _U), np.empty(0, np.int64)
     k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k)
+    order = np.argsort(k, kind="stable")
     k = k[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.empty(0, np.int64)
     return k[at], np.add.reduceat(c[order], at) if len(at) else c
 
 
-def _least(c: np.ndarray) -> np.ndarray:
-    """The counts in as few bytes as the largest needs."""
-    return c.astype(np.min_scalar_type(int(c.max()))) if len(c) else c.astype(np.uint8)
+def _counted(hi: np.ndarray, lo: np.ndarray, bits: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (hi, lo) in order, and how often each occurs; lo has ``bits`` bits, both have ``total``."""
+    if total <= 64:
+        k, n = np.unique((hi << _U(bits)) | lo, return_counts=True)
+        return k >> _U(bits), k & _U((1 << bits) - 1), n
+    order = np.lexsort((lo, hi))
+    hi, lo = hi[order], lo[order]
+    at = np.flatnonzero(np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))) if len(hi) else np.empty(0, np.int64)
+    return hi[at], lo[at], np.diff(np.append(at, len(hi)))
 
 
-def _rows(shards: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sorted keys cut by their high bits, a row for each shard."""
-    edge = (np.arange(1, shards, dtype=object) * ((1 << 64) // shards)).astype(_U)
-    cut = np.concatenate([[0], np.searchsorted(keys, edge), [len(keys)]])
-    rows = [(s, keys[a:b].tobytes(), (c := _least(counts[a:b])).tobytes(), c.itemsize) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int32()), strict=True)], ["shard", "keys", "counts", "width"])
+class Shards:
+    """Where shards begin among the values of ``hi``, of which ``lo`` has ``bits`` bits more."""
 
+    def __init__(self, begin: np.ndarray, bits: int):
+        self.begin, self.bits = begin.astype(_U), bits
 
-def _read_counts(raw: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(raw, f"u{width}").astype(np.int64)
+    @classmethod
+    def even(cls, n: int, size: int, bits: int) -> Shards:
+        """``n`` shards of the values below ``size``."""
+        step = -(-size // n)
+        return cls(np.array([min(i * step, (1 << 64) - 1) for i in range(n)], _U), bits)
 
+    def cut(self, hi: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.searchsorted(hi, self.begin[1:]), [len(hi)]])
 
-PACKED = "shard int, keys binary, counts binary, width int"
+    def keys(self, s: int, hi: np.ndarray, lo: np.ndarray | int) -> np.ndarray:
+        """Keys within a shard."""
+        return ((hi - self.begin[s]) << _U(self.bits)) | lo
 
+    def rows(self, hi: np.ndarray, lo: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Sorted (hi, lo) and their counts, a row for each shard."""
+        found = []
+        cut = self.cut(hi)
+        for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            if b > a:
+                c = _least(n[a:b])
+                found.append((s, pack_sorted(self.keys(s, hi[a:b], lo[a:b] if lo is not None else _U(0))), c.tobytes(), c.itemsize))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), PACKED_TYPES, strict=True)], ["shard", "keys", "counts", "width"])
 
-class _Lookup:
-    """Sorted arrays in shards of equal hash ranges, mapped once in each worker process."""
 
-    def __init__(self, uri: str, shards: int, starts: np.ndarray, key: str):
-        self.uri, self.shards, self.starts, self.key = uri, shards, starts, key
+PACKED = "shard int, keys binary, counts binary, width int"
+PACKED_TYPES = (pa.int32(), pa.binary(), pa.binary(), pa.int32())
+
+
+def _merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and counts of a shard's rows."""
+    counts = [np.frombuffer(x.as_py(), f"u{w.as_py()}").astype(np.int64) for x, w in zip(rows["counts"], rows["width"], strict=True)]
+    return _merge([unpack_sorted(x.as_py()) for x in rows["keys"]], counts)
+
+
+class _Flushed:
+    """Collects (hi, lo) and gives their counted rows whenever there are many."""
+
+    def __init__(self, shards: Shards, total: int):
+        self.shards, self.total, self.held, self.n = shards, total, [], 0
+
+    def add(self, hi: np.ndarray, lo: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((hi, lo))
+        self.n += len(hi)
+        if self.n > FLUSH:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            hi, lo = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            yield from self.shards.rows(*_counted(hi, lo, self.shards.bits, self.total))
+        self.held, self.n = [], 0
+
+
+def sorted_arrays(keys: np.ndarray) -> dict[str, np.ndarray]:
+    """How different sorted keys are stored: their last 32 bits, and where each value of the rest begins; whole if there would be too many of those."""
+    top = int(keys[-1] >> _U(32)) if len(keys) else 0
+    if top > len(keys) + 1024:
+        return {"whole": keys}
+    return {"low": keys.astype(np.uint32), "at": np.searchsorted(keys, np.arange(top + 2, dtype=_U) << _U(32)).astype(np.int64) if top + 1 < 1 << 32 else np.array([0, len(keys)])}
+
+
+def places(m: dict[str, np.ndarray], q: np.ndarray) -> np.ndarray:
+    """How many stored keys are below each of q."""
+    if "whole" in m:
+        return np.searchsorted(m["whole"], q)
+    low, at = m["low"], m["at"]
+    top = np.minimum((q >> _U(32)).astype(np.int64), len(at) - 1)
+    a, z = at[top], at[np.minimum(top + 1, len(at) - 1)]
+    x = q.astype(np.uint32)
+    while len(low) and (go := a < z).any():
+        mid = (a + z) >> 1
+        less = low[np.minimum(mid, len(low) - 1)] < x
+        a = np.where(go & less, mid + 1, a)
+        z = np.where(go & ~less, mid, z)
+    return a
+
+
+def ranks(m: dict[str, np.ndarray], q: np.ndarray) -> np.ndarray:
+    """The place of each of q among stored keys, or -1."""
+    at, n = places(m, q), len(m["whole"] if "whole" in m else m["low"])
+    if not n:
+        return np.full(len(q), -1)
+    there = np.minimum(at, n - 1)
+    if "whole" in m:
+        same = m["whole"][there] == q
+    else:
+        top = (q >> _U(32)).astype(np.int64)
+        same = (m["low"][there] == q.astype(np.uint32)) & (at < m["at"][np.minimum(top + 1, len(m["at"]) - 1)])
+    return np.where(same & (at < n), at, -1)
+
+
+class _Mapped:
+    """A table's shards, mapped once in each worker."""
+
+    def __init__(self, uri: str, sizes: np.ndarray, shards: Shards):
+        self.uri, self.sizes, self.shards = uri, sizes, shards
         self.maps: dict[int, dict[str, np.ndarray]] = {}
 
     def shard(self, s: int) -> dict[str, np.ndarray]:
@@ -106,36 +229,43 @@ class _Lookup:
             self.maps[s] = map_arrays(f"{self.uri}/{s}")
         return self.maps[s]
 
-    def find(self, keys: np.ndarray, value: str | None) -> np.ndarray:
-        """For sorted keys: the value stored with each (the rank if ``value`` is None), or -1."""
-        out = np.full(len(keys), -1, np.int64)
-        edge = (np.arange(1, self.shards, dtype=object) * ((1 << 64) // self.shards)).astype(_U)
-        cut = np.concatenate([[0], np.searchsorted(keys, edge), [len(keys)]])
+    def ranks(self, hi: np.ndarray, lo: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """For sorted (hi, lo): shards and places there, or -1."""
+        shard, out = np.zeros(len(hi), np.int64), np.full(len(hi), -1, np.int64)
+        cut = self.shards.cut(hi)
         for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            if b > a and self.starts[s + 1] > self.starts[s]:
-                m = self.shard(s)
-                have, want = m[self.key], keys[a:b]
-                at = np.minimum(np.searchsorted(have, want), len(have) - 1)
-                ok = have[at] == want
-                out[a:b][ok] = (m[value][at[ok]] if value else at[ok] + self.starts[s])
+            shard[a:b] = s
+            if b > a and self.sizes[s]:
+                out[a:b] = ranks(self.shard(s), self.shards.keys(s, hi[a:b], lo[a:b] if lo is not None else _U(0)))
+        return shard, out
+
+    def values(self, shard: np.ndarray, place: np.ndarray, name: str) -> np.ndarray:
+        """The value stored at each place; 0 at -1."""
+        out = np.zeros(len(place), np.int64)
+        for s in np.unique(shard[place >= 0]).tolist():
+            mine = (shard == s) & (place >= 0)
+            out[mine] = self.shard(s)[name][place[mine]]
         return out
 
 
-def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return tx.mix64((v.astype(_U) << _U(PAIR_BITS)) | w.astype(_U))
+# -- pairs ------------------------------------------------------------------
+
+_KEYS = np.random.Generator(np.random.PCG64(20240310)).integers(0, 1 << 64, 4, dtype=np.uint64)
+
 
+def mix_pair(v: np.ndarray, w: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bijection on pairs of values of ``bits`` bits that spreads both over both."""
+    v, w, mask = v.astype(_U), w.astype(_U), _U((1 << bits) - 1)
+    for k in _KEYS:
+        v, w = w, v ^ (tx.mix64(w + k) & mask)
+    return v, w
 
-def _unmix(x: np.ndarray) -> np.ndarray:
-    """The inverse of mix64."""
-    def unshift(x, k):
-        y = x
-        for _ in range(64 // k):
-            y = x ^ (y >> _U(k))
-        return y
 
-    x = unshift(x, 31) * _U(pow(0x94D049BB133111EB, -1, 1 << 64))
-    x = unshift(x, 27) * _U(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
-    return unshift(x, 30)
+def unmix_pair(v: np.ndarray, w: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = _U((1 << bits) - 1)
+    for k in _KEYS[::-1]:
+        v, w = w ^ (tx.mix64(v + k) & mask), v
+    return v, w
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -144,27 +274,62 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), k) if n[k - 1] and n[k] and y else k / 2 for k in (1, 2, 3)]
 
 
+def _seen(c: np.ndarray) -> list[int]:
+    return [int((c == i).sum()) for i in (1, 2, 3, 4)]
+
+
 class Model:
     """Where the arrays are, and the numbers that belong to them."""
 
-    def __init__(self, uri, shards, word_starts, pair_starts, vocab, total, texts, pairs, d_pair, d_word, left, stored):
-        self.__dict__ |= {k: v for k, v in locals().items() if k != "self"}
+    def __init__(self, uri: str, order: int, words: Shards, word_sizes: np.ndarray, total: int):
+        self.uri, self.order, self.words, self.word_sizes, self.total = uri, order, words, word_sizes, total
+        self.starts = np.concatenate([[0], np.cumsum(word_sizes)])
+        self.vocab = int(self.starts[-1])
+        self.bits = max(1, self.vocab.bit_length())  # of an id
+        # keys within a shard of pairs have 64 bits at most, so very many words ask for more shards
+        self.n = max(len(word_sizes), 1 << max(0, 2 * self.bits - 64))
+        self.pairs = Shards.even(self.n, 1 << self.bits, self.bits)
+        self.pair_sizes = np.zeros(self.n, np.int64)
+        self.ranges = -(-(self.vocab + 1) // self.n)
+        self.discounts: list[list[float]] = []  # of words, pairs and triples
+        self.types, self.left, self.stored = 0, 0.0, set()
+
+    def triples(self) -> Shards:
+        """Triples lie in the shards of their first two words, whose ranks over all shards are ``hi``."""
+        return Shards(np.concatenate([[0], np.cumsum(self.pair_sizes)[:-1]]), self.bits)
 
-    def ranges(self) -> int:
-        return -(-(self.vocab + 1) // self.shards)
 
+class _Ids:
+    """Ids and counts of tokens, from the mapped words."""
 
-def _ids(words: _Lookup, toks: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes, the tokens' places in them, and the distinct ids (-1: unknown)."""
-    uniq, inverse = np.unique(toks, return_inverse=True)
-    ids = words.find(uniq, None)
-    return uniq, inverse, np.where(ids >= 0, ids + 1, -1)
+    def __init__(self, m: Model):
+        self.m, self.table = m, _Mapped(f"{m.uri}/words", m.word_sizes, m.words)
+
+    def __call__(self, toks: np.ndarray, counted: bool = False):
+        """The tokens' places among the distinct ones, the ids of these (-1: unknown), and their counts."""
+        uniq, inverse = np.unique(toks, return_inverse=True)
+        shard, place = self.table.ranks(uniq, None)
+        ids = np.where(place >= 0, place + self.m.starts[shard] + 1, -1)
+        return inverse, ids, self.table.values(shard, place, "count") if counted else None
 
 
-def train(docs: DataFrame, ws: Workspace, shards: int, text: str = "text") -> Model:
-    """Count ``docs`` into a model whose arrays lie in ``ws``."""
-    spark, uri = docs.sparkSession, ws.uri
-    small_batches(spark)
+def _before(x: np.ndarray, at: np.ndarray, first: int = START_ID) -> np.ndarray:
+    """Of each token of each text the value of the one before; ``first`` for the first of a text."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[at[:-1]] = first
+    return out
+
+
+# -- training ---------------------------------------------------------------
+
+def train(docs: DataFrame, ws: Workspace, shards: int, text: str = "text", order: int = 3) -> Model:
+    """Count ``docs`` into a model of order 2 or 3 whose arrays lie in ``ws``."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
+    uri, texts = ws.uri, docs.select(text)
+    small_batches(docs.sparkSession)
+    deal = Shards.even(shards, 1 << 64, 0)
 
     def count_words(batches):
         keys, counts, held = [], [], 0
@@ -177,150 +342,284 @@ def train(docs: DataFrame, ws: Workspace, shards: int, text: str = "text") -> Mo
                 k, c = _merge(keys, counts)
                 keys, counts, held = [k], [c], 0
                 if len(k) > FLUSH // 2:
-                    yield from _rows(shards, k, c)
+                    yield from deal.rows(k, None, c)
                     keys, counts = [], []
-        yield from _rows(shards, *_merge(keys, counts))
+        k, c = _merge(keys, counts)
+        yield from deal.rows(k, None, c)
 
     def store_words(key, rows):
         s = key[0].as_py()
-        k, c = _merge([np.frombuffer(x.as_py(), _U) for x in rows["keys"]], [_read_counts(x.as_py(), n.as_py()) for x, n in zip(rows["counts"], rows["width"], strict=True)])
-        put_arrays(f"{uri}/words/{s}", hash=k, count=_least(c))
-        ends = int(c[k == END].sum())
-        return pa.table({"shard": [s], "n": [len(k)], "total": [int(c.sum())], "ends": [ends]}, pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("ends", pa.int64())]))
+        k, c = _merged(rows)
+        put_arrays(f"{uri}/words/{s}", **sorted_arrays(k), count=_least(c))
+        return pa.table({"shard": pa.array([s], pa.int32()), "n": [len(k)], "total": [int(c.sum())]})
 
-    packed = docs.select(text).mapInArrow(frugal(count_words), PACKED)
-    got = packed.groupBy("shard").applyInArrow(store_words, "shard int, n long, total long, ends long").collect()
+    got = texts.mapInArrow(frugal(count_words), PACKED).groupBy("shard").applyInArrow(store_words, "shard int, n long, total long").collect()
     sizes = np.zeros(shards, np.int64)
     for r in got:
         sizes[r["shard"]] = r["n"]
-    word_starts = np.concatenate([[0], np.cumsum(sizes)])
-    vocab, total, texts = int(word_starts[-1]), sum(r["total"] for r in got), sum(r["ends"] for r in got)
-    if vocab + 1 >= 1 << PAIR_BITS:
-        raise ValueError("more than 2**32 different words: a pair of ids no longer fits 64 bits")
-    ranges = -(-(vocab + 1) // shards)
+    m = Model(uri, order, deal, sizes, sum(r["total"] for r in got))
 
-    def count_pairs(batches):
-        words = _Lookup(f"{uri}/words", shards, word_starts, "hash")
-        keys, held = [], 0
+    def pairs_of(batches, ids):
+        """Per run: mixed pairs of each token with the one before, and the ids."""
         for _, data, off in _texts(batches, text):
             toks, at = tokens(data, off)
-            _, inverse, ids = _ids(words, toks, at)
-            w = ids[inverse]
-            v = np.empty_like(w)
-            v[1:] = w[:-1]
-            v[at[:-1]] = START_ID
-            keys.append(pair_key(v, w))
-            held += len(w)
-            if held > FLUSH:
-                yield from _rows(shards, *np.unique(np.concatenate(keys), return_counts=True))
-                keys, held = [], 0
-        if keys:
-            yield from _rows(shards, *np.unique(np.concatenate(keys), return_counts=True))
+            inverse, known, _ = ids(toks)
+            w = known[inverse].astype(_U)
+            yield *mix_pair(_before(w, at), w, m.bits), w, at
+
+    start = mix_pair(np.zeros(1, _U), np.zeros(1, _U), m.bits)  # two start marks, the context of a text's first token
+
+    def count_pairs(batches):
+        ids, out = _Ids(m), _Flushed(m.pairs, 2 * m.bits)
+        for hi, lo, _, _ in pairs_of(batches, ids):
+            if order == 3:
+                hi, lo = np.append(hi, start[0]), np.append(lo, start[1])
+            yield from out.add(hi, lo)
+        yield from out.rest()
 
     def store_pairs(key, rows):
         s = key[0].as_py()
-        k, c = _merge([np.frombuffer(x.as_py(), _U) for x in rows["keys"]], [_read_counts(x.as_py(), n.as_py()) for x, n in zip(rows["counts"], rows["width"], strict=True)])
-        put_arrays(f"{uri}/pairs/{s}", key=k, count=_least(c))
-        both = _unmix(k)
-        v, w = (both >> _U(PAIR_BITS)).astype(np.int64), (both & _U((1 << PAIR_BITS) - 1)).astype(np.int64)
-        kinds = np.minimum(c, 3)
-        out = []
-        for what, code in ((w, np.ones(len(w), np.int64)), (v, kinds + 1)):
-            # ids and what is counted, packed as id * 8 + code, summed here before they travel
-            uniq, n = np.unique(what.astype(_U) * _U(8) + code.astype(_U), return_counts=True)
-            to = (uniq >> _U(3)).astype(np.int64) // ranges
-            cut = np.searchsorted(to, np.arange(shards + 1))
-            out += [(r, uniq[a:b].tobytes(), (m := _least(n[a:b])).tobytes(), m.itemsize, s, 0, [0] * 4) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-        out.append((s, b"", b"", 1, s, len(k), [int((c == i).sum()) for i in (1, 2, 3, 4)]))
-        return pa.table(dict(zip(PARTIAL.names, map(list, zip(*out, strict=True)), strict=True)), PARTIAL)
-
-    def store_contexts(key, rows):
+        k, c = _merged(rows)
+        put_arrays(f"{uri}/pairs/{s}", **sorted_arrays(k))
+        if order == 3:
+            return pa.table({"shard": pa.array([s], pa.int32()), "n": [len(k)]})
+        put_arrays(f"{uri}/values/{s}", value=_least(c))
+        return _about_words(m, s, k, c)
+
+    grouped = texts.mapInArrow(frugal(count_pairs), PACKED).groupBy("shard")
+    if order == 2:
+        return _finish(m, grouped.applyInArrow(store_pairs, PARTIAL))
+    for r in grouped.applyInArrow(store_pairs, "shard int, n long").collect():
+        m.pair_sizes[r["shard"]] = r["n"]
+    deal3, types = m.triples(), int(m.pair_sizes.sum())
+
+    def count_triples(batches):
+        ids, table = _Ids(m), _Mapped(f"{uri}/pairs", m.pair_sizes, m.pairs)
+        out = _Flushed(deal3, types.bit_length() + m.bits)
+        first = table.ranks(*start)
+        for hi, lo, w, at in pairs_of(batches, ids):
+            uniq_hi, uniq_lo, inverse = _distinct(hi, lo, m.bits)
+            shard, place = table.ranks(uniq_hi, uniq_lo)
+            rank = (deal3.begin[shard].astype(np.int64) + place)[inverse]
+            yield from out.add(_before(rank, at, int(deal3.begin[first[0]][0]) + int(first[1][0])).astype(_U), w)
+        yield from out.rest()
+
+    def store_triples(key, rows):
+        s = key[0].as_py()
+        k, c = _merged(rows)
+        put_arrays(f"{uri}/triples/{s}", **sorted_arrays(k), count=_least(c))
+        # each triple counts once for its last two words
+        own = map_arrays(f"{uri}/pairs/{s}")
+        context = _all_keys(own)[(k >> _U(m.bits)).astype(np.int64)]
+        _, v = unmix_pair((context >> _U(m.bits)) + m.pairs.begin[s], context & _U((1 << m.bits) - 1), m.bits)
+        hi, lo, n = _counted(*mix_pair(v, k & _U((1 << m.bits) - 1), m.bits), m.bits, 2 * m.bits)
+        batches = [b.append_column("seen", pa.array([None] * b.num_rows, pa.list_(pa.int64()))) for b in m.pairs.rows(hi, lo, n)]
+        batches.append(pa.RecordBatch.from_pydict({"shard": [s], "keys": [b""], "counts": [b""], "width": [1], "seen": [_seen(c)]}, pa.schema([*zip(("shard", "keys", "counts", "width"), PACKED_TYPES, strict=True), ("seen", pa.list_(pa.int64()))])))
+        return pa.Table.from_batches(batches)
+
+    def store_values(key, rows):
+        s = key[0].as_py()
+        k, n = _merged(rows)
+        own = map_arrays(f"{uri}/pairs/{s}")
+        value = np.zeros(m.pair_sizes[s], np.int64)
+        value[ranks(own, k)] = n
+        put_arrays(f"{uri}/values/{s}", value=_least(value))
+        used = value > 0  # all but the two start marks
+        seen = [x for x in rows["seen"].to_pylist() if x]
+        return _about_words(m, s, _all_keys(own)[used], value[used], [sum(x) for x in zip(*seen, strict=True)] or [0] * 4)
+
+    grouped = texts.mapInArrow(frugal(count_triples), PACKED).groupBy("shard")
+    of_pairs = grouped.applyInArrow(store_triples, f"{PACKED}, seen array<long>").groupBy("shard")
+    return _finish(m, of_pairs.applyInArrow(store_values, PARTIAL))
+
+
+PARTIAL = "range int, keys binary, counts binary, width int, pairs long, pairs_seen array<long>, triples_seen array<long>"
+_PARTIAL = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("width", pa.int32()), ("pairs", pa.int64()), ("pairs_seen", pa.list_(pa.int64())), ("triples_seen", pa.list_(pa.int64()))])
+
+
+def _all_keys(m: dict[str, np.ndarray]) -> np.ndarray:
+    """The stored keys."""
+    if "whole" in m:
+        return m["whole"]
+    return (np.repeat(np.arange(len(m["at"]) - 1, dtype=_U), np.diff(m["at"])) << _U(32)) | m["low"]
+
+
+def _distinct(hi: np.ndarray, lo: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (hi, lo) in order, and the place of each among them."""
+    if 2 * bits <= 64:
+        k, inverse = np.unique((hi << _U(bits)) | lo, return_inverse=True)
+        return k >> _U(bits), k & _U((1 << bits) - 1), inverse
+    order = np.lexsort((lo, hi))
+    new = np.append(True, (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])) if len(hi) else np.empty(0, bool)
+    inverse = np.empty(len(hi), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return hi[order][new], lo[order][new], inverse
+
+
+def _about_words(m: Model, s: int, keys: np.ndarray, value: np.ndarray, triples_seen: list[int] | None = None) -> pa.Table:
+    """What a shard's pairs say of words, by ranges of ids: id * 8 + code, summed here before they travel.
+
+    Code 1: different words before it; 2 to 4: followers of value 1, 2 and more; 5: the sum of its followers' values.
+    """
+    v, w = unmix_pair((keys >> _U(m.bits)) + m.pairs.begin[s], keys & _U((1 << m.bits) - 1), m.bits)
+    ones = np.ones(len(keys), np.int64)
+    code, n = _merge([w * _U(8) + _U(1), v * _U(8) + np.minimum(value, 3).astype(_U) + _U(1), v * _U(8) + _U(5)], [ones, ones, value])
+    to = (code >> _U(3)).astype(np.int64) // m.ranges
+    cut = np.searchsorted(to, np.arange(m.n + 1))
+    zero = [0] * 4
+    out = [(r, pack_sorted(code[a:b]), (c := _least(n[a:b])).tobytes(), c.itemsize, 0, zero, zero) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+    out.append((s, b"", b"", 1, len(keys), _seen(value), triples_seen or zero))
+    return pa.Table.from_pydict(dict(zip(_PARTIAL.names, map(list, zip(*out, strict=True)), strict=True)), _PARTIAL)
+
+
+def _finish(m: Model, partial: DataFrame) -> Model:
+    """Store what is known of words, and the model's discounts."""
+    uri = m.uri
+
+    def store(key, rows):
         r = key[0].as_py()
-        codes, n = _merge([np.frombuffer(x.as_py(), _U) for x in rows["keys"] if len(x.as_py())], [_read_counts(x.as_py(), k.as_py()) for x, k in zip(rows["counts"], rows["width"], strict=True) if len(x.as_py())])
-        dense = np.zeros((ranges, 8), np.int64)
-        dense[(codes >> _U(3)).astype(np.int64) - r * ranges, (codes & _U(7)).astype(np.int64)] = n
+        codes, n = _merged(rows)
+        dense = np.zeros((m.ranges, 8), np.int64)
+        dense[(codes >> _U(3)).astype(np.int64) - r * m.ranges, (codes & _U(7)).astype(np.int64)] = n
         before = dense[:, 1]
-        put_arrays(f"{uri}/contexts/{r}", before=_least(before), once=_least(dense[:, 2]), twice=_least(dense[:, 3]), more=_least(dense[:, 4]))
-        seen = [int((before == i).sum()) for i in (1, 2, 3, 4)]
-        pairs = [(p, n, list(x)) for p, n, x in zip(rows["pair_shard"].to_pylist(), rows["pairs"].to_pylist(), rows["pairs_seen"].to_pylist(), strict=True) if n]
-        schema = pa.schema([("r", pa.int32()), ("bigrams", pa.int64()), ("word_types", pa.int64()), ("seen", pa.list_(pa.int64())), ("pair_shards", pa.list_(pa.int64())), ("pairs", pa.list_(pa.int64())), ("pairs_seen", pa.list_(pa.int64()))])
-        return pa.table({"r": [r], "bigrams": [int(before.sum())], "word_types": [int((before > 0).sum())], "seen": [seen], "pair_shards": [[p for p, _, _ in pairs]], "pairs": [[n for _, n, _ in pairs]], "pairs_seen": [[sum(x) for x in zip(*(x for _, _, x in pairs), strict=True)] or [0] * 4]}, schema)
-
-    PARTIAL = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("width", pa.int32()), ("pair_shard", pa.int32()), ("pairs", pa.int64()), ("pairs_seen", pa.list_(pa.int64()))])
-    packed = docs.select(text).mapInArrow(frugal(count_pairs), PACKED)
-    partial = packed.groupBy("shard").applyInArrow(store_pairs, "range int, keys binary, counts binary, width int, pair_shard int, pairs long, pairs_seen array<long>")
-    got = partial.groupBy("range").applyInArrow(store_contexts, "r int, bigrams long, word_types long, seen array<long>, pair_shards array<long>, pairs array<long>, pairs_seen array<long>").collect()
-    sizes = np.zeros(shards, np.int64)
-    for r in got:
-        for s, n in zip(r["pair_shards"], r["pairs"], strict=True):
-            sizes[s] = n
+        put_arrays(f"{uri}/contexts/{r}", before=_least(before), once=_least(dense[:, 2]), twice=_least(dense[:, 3]), more=_least(dense[:, 4]), sum=_least(dense[:, 5]))
+        total = lambda name: [sum(x) for x in zip(*rows[name].to_pylist(), strict=True)]
+        return pa.table({"r": pa.array([r], pa.int32()), "types": [int((before > 0).sum())], "seen": [_seen(before)], "pairs": [sum(rows["pairs"].to_pylist())], "pairs_seen": [total("pairs_seen")], "triples_seen": [total("triples_seen")]})
+
+    got = partial.groupBy("range").applyInArrow(store, "r int, types long, seen array<long>, pairs long, pairs_seen array<long>, triples_seen array<long>").collect()
     add = lambda name: [sum(r[name][i] for r in got) for i in range(4)]
-    d_word, seen, types = discounts(add("seen")), add("seen"), sum(r["word_types"] for r in got)
-    left = (d_word[0] * seen[0] + d_word[1] * seen[1] + d_word[2] * (types - seen[0] - seen[1])) / max(int(sizes.sum()), 1)
-    return Model(uri, shards, word_starts, np.concatenate([[0], np.cumsum(sizes)]), vocab, total, texts, int(sizes.sum()), discounts(add("pairs_seen")), d_word, left, {r["r"] for r in got})
+    seen, m.types = add("seen"), sum(r["pairs"] for r in got)
+    m.discounts = [discounts(seen), discounts(add("pairs_seen")), discounts(add("triples_seen"))]
+    e = m.discounts[0]
+    m.left = (e[0] * seen[0] + e[1] * seen[1] + e[2] * (sum(r["types"] for r in got) - seen[0] - seen[1])) / max(m.types, 1)
+    m.stored = {r["r"] for r in got}
+    return m
+
+
+# -- scoring ----------------------------------------------------------------
+
+def _cut(c: np.ndarray, d: list[float]) -> np.ndarray:
+    """Counts less their discounts."""
+    return c - np.array([0.0, *d])[np.minimum(c, 3)]
 
 
 class Scorer:
     """Reads a model in a worker."""
 
     def __init__(self, m: Model):
-        self.m = m
-        self.words = _Lookup(f"{m.uri}/words", m.shards, m.word_starts, "hash")
-        self.pairs = _Lookup(f"{m.uri}/pairs", m.shards, m.pair_starts, "key")
+        self.m, self.ids = m, _Ids(m)
+        self.pairs = _Mapped(f"{m.uri}/pairs", m.pair_sizes if m.order == 3 else np.ones(m.n, np.int64), m.pairs)
+        self.values = _Mapped(f"{m.uri}/values", self.pairs.sizes, m.pairs)
+        self.triples = _Mapped(f"{m.uri}/triples", self.pairs.sizes, m.triples() if m.order == 3 else m.pairs)
         self.context: dict[int, dict[str, np.ndarray]] = {}
+        self.long: dict[tuple[int, int], tuple] = {}  # what is known of contexts with many followers
 
     def _by_id(self, ids: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
         """Dense per-word numbers for sorted known ids."""
-        out, size = [np.zeros(len(ids), np.int64) for _ in names], self.m.ranges()
-        for r in np.unique(ids // size):
+        out, size = [np.zeros(len(ids), np.int64) for _ in names], self.m.ranges
+        for r in np.unique(ids // size).tolist():
             a, b = np.searchsorted(ids, [r * size, (r + 1) * size])
-            if int(r) not in self.context:  # a range without words has no arrays
-                self.context[int(r)] = map_arrays(f"{self.m.uri}/contexts/{int(r)}") if int(r) in self.m.stored else {}
-            c = self.context[int(r)]
+            if r not in self.context:  # a range without words has no arrays
+                self.context[r] = map_arrays(f"{self.m.uri}/contexts/{r}") if r in self.m.stored else {}
             for o, name in zip(out, names, strict=True):
-                if name in c:
-                    o[a:b] = c[name][ids[a:b] - r * size]
+                if name in self.context[r]:
+                    o[a:b] = self.context[r][name][ids[a:b] - r * size]
+        return out
+
+    def _followers(self, s: int, place: np.ndarray) -> np.ndarray:
+        """For pairs of a shard as contexts: the sum of their followers' counts, and how many have 1, 2 and more."""
+        t, bits = self.triples.shard(s), _U(self.m.bits)
+        p = place.astype(_U)
+        a, z = places(t, p << bits), places(t, (p + _U(1)) << bits)
+        out, n, i = np.zeros((len(place), 4), np.int64), z - a, 0
+        ends = np.cumsum(n)
+        while i < len(place):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + GATHER, "right")))
+            if n[i] > GATHER // 8:
+                j, key = i + 1, (s, int(place[i]))
+                if key not in self.long:
+                    c = t["count"][a[i] : z[i]]
+                    self.long[key] = int(c.sum(dtype=np.int64)), int((c == 1).sum()), int((c == 2).sum()), int((c > 2).sum())
+                out[i] = self.long[key]
+            else:
+                m = n[i:j]
+                full = np.flatnonzero(m)
+                if len(full):
+                    head = np.cumsum(m) - m
+                    c = t["count"][np.arange(int(m.sum())) + np.repeat(a[i:j] - head, m)].astype(np.int64)
+                    for k, x in enumerate((c, c == 1, c == 2, c > 2)):
+                        out[i + full, k] = np.add.reduceat(x.astype(np.int64), head[full])
+            i = j
         return out
 
     def score(self, toks: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Training count and log10 probability of each token."""
         m = self.m
-        uniq, inverse, ids = _ids(self.words, toks, at)
-        count = np.maximum(self.words.find(uniq, "count"), 0)
+        inverse, ids, count = self.ids(toks, counted=True)
         known = ids >= 0
-        kid, order = np.unique(np.append(ids[known], START_ID), return_index=True)
-        before, once, twice, more = self._by_id(kid, ("before", "once", "twice", "more"))
-        seen = np.append(count[known], m.texts)[order]  # how often each follows as a context
-        d, e = m.d_pair, m.d_word
+        kid = np.unique(np.append(ids[known], START_ID))
+        before, once, twice, more, total = self._by_id(kid, ("before", "once", "twice", "more", "sum"))
+        if not m.types:
+            return count[inverse], np.full(len(toks), np.log10(self.uniform))
         # words: discounted numbers of left neighbours, over all pairs, with the rest spread evenly
-        cut = np.array([0.0, *e])[np.minimum(before, 3)]
-        p1 = np.full(len(uniq), self.uniform)
-        p1_known = (before - cut) / max(m.pairs, 1) + self.uniform if m.pairs else np.full(len(kid), self.uniform)
-        place = np.searchsorted(kid, ids[known])
-        p1[known] = p1_known[place]
-        # contexts: the share that their discounts leave to words
-        rest = np.where(seen > 0, (d[0] * once + d[1] * twice + d[2] * more) / np.maximum(seen, 1), 1.0)
+        p1 = np.full(len(ids), self.uniform)
+        p1[known] += (_cut(before, m.discounts[0]) / m.types)[np.searchsorted(kid, ids[known])]
+        # pairs: what a word's followers have, and the share that their discounts leave to words
+        d = m.discounts[1]
+        rest = np.where(total > 0, (d[0] * once + d[1] * twice + d[2] * more) / np.maximum(total, 1), 1.0)
         w = ids[inverse]
-        v = np.empty_like(w)
-        v[1:] = w[:-1]
-        v[at[:-1]] = START_ID
+        v = _before(w, at)
         context = np.searchsorted(kid, v)  # of unknown words: 0, and not used
-        back = np.where(v >= 0, rest[context], 1.0)
-        p = back * p1[inverse]
+        p = np.where(v >= 0, rest[context], 1.0) * p1[inverse]
         both = (v >= 0) & (w >= 0)
-        key, to = np.unique(pair_key(v[both], w[both]), return_inverse=True)
-        c = np.maximum(self.pairs.find(key, "count"), 0)
-        c = (c - np.array([0.0, *d])[np.minimum(c, 3)])[to]
-        p[both] += c / np.maximum(seen[context[both]], 1)
+        hi, lo, back = _distinct(*mix_pair(v[both], w[both], m.bits), m.bits)
+        shard, place = self.pairs.ranks(hi, lo)
+        value = self.values.values(shard, place, "value")
+        p[both] += _cut(value, d)[back] / np.maximum(total[context[both]], 1)
+        if m.order == 3:
+            p = self._triples(p, w, at, both, shard, place, back)
         return count[inverse], np.log10(p)
 
+    def _triples(self, p, w, at, both, shard, place, back) -> np.ndarray:
+        """The probabilities of order 3 from those of order 2."""
+        m, d = self.m, self.m.discounts[2]
+        deal = self.triples.shards
+        # of each token the rank of the pair that ends with it, or -1, and so of the pair before each token
+        pair = np.full(len(w), -1, np.int64)
+        pair[both] = np.where(place >= 0, deal.begin[shard].astype(np.int64) + place, -1)[back]
+        s0, p0 = self.pairs.ranks(*mix_pair(np.zeros(1, _U), np.zeros(1, _U), m.bits))
+        context = _before(pair, at, int(deal.begin[s0[0]]) + int(p0[0]))
+        uniq, inverse = np.unique(context, return_inverse=True)
+        stats = np.zeros((len(uniq), 4), np.int64)
+        real = uniq >= 0
+        cut = deal.cut(uniq[real].astype(_U))
+        first = int((~real).sum())
+        for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            if b > a:
+                stats[first + a : first + b] = self._followers(s, uniq[first + a : first + b] - int(deal.begin[s]))
+        total = stats[:, 0]
+        rest = np.where(total > 0, stats[:, 1:] @ np.array(d) / np.maximum(total, 1), 1.0)
+        p = rest[inverse] * p
+        some = (total[inverse] > 0) & (w >= 0)
+        bits = int(m.pair_sizes.sum()).bit_length() + m.bits
+        hi, lo = context[some].astype(_U), w[some].astype(_U)
+        if bits <= 64:
+            k, at3 = np.unique((hi << _U(m.bits)) | lo, return_inverse=True)
+            hi, lo = k >> _U(m.bits), k & _U((1 << m.bits) - 1)
+        else:
+            order = np.lexsort((lo, hi))
+            at3 = np.empty(len(hi), np.int64)
+            at3[order] = np.arange(len(hi))
+            hi, lo = hi[order], lo[order]
+        c = self.triples.values(*self.triples.ranks(hi, lo), "count")
+        p[some] += _cut(c, d)[at3] / total[inverse[some]]
+        return p
+
     @property
     def uniform(self) -> float:
         """An unknown word's probability: what the discounts leave, spread over V+1 words."""
         m = self.m
-        if not m.pairs:
-            return 1.0 / (m.vocab + 1)
-        return m.left / (m.vocab + 1)
+        return (m.left if m.types else 1.0) / (m.vocab + 1)
 
 
 def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -345,11 +644,16 @@ def held_out(id: str = "doc_id", folds: int = 7, fold: int = 2):
     return F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def perplexity_scores(docs: DataFrame, ws: Workspace, shards: int | None = None) -> DataFrame:
+def shards_for(docs: DataFrame, text: str = "text") -> int:
+    """A shard for each ``SHARD_BYTES`` of texts, and as many as the session's shuffles have at least."""
+    n = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    return max(8, parts(docs.sparkSession), -(-n // SHARD_BYTES))
+
+
+def perplexity_scores(docs: DataFrame, ws: Workspace, shards: int | None = None, order: int = 3) -> DataFrame:
     """Learn from the rows that are not held out, score all rows, and free the model."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out())
-    model = train(docs.where(~F.col("held_out")), ws, shards or max(8, parts(spark)))
+    model = train(docs.where(~F.col("held_out")), ws, shards or shards_for(docs), order=order)
     out = ws.save(score(docs, model, keep=("held_out",)).withColumn("train_tokens", F.lit(model.total).cast("long")), "scores")
-    ws.drop("words", "pairs", "contexts")
+    ws.drop("words", "pairs", "values", "triples", "contexts")
     return out
