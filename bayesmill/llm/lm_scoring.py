@@ -49,6 +49,7 @@ START_ID = 0
 FLUSH = 3_000_000
 SHARD_BYTES = 128 << 20  # of training texts for each shard
 GATHER = 4_000_000  # followers summed at a time
+RUN = 2 << 20  # bytes of texts looked up together, or one longer text
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +67,7 @@ def _texts(batches, name="text"):
     """Runs of texts of bounded size, with the rows they are."""
     for b in batches:
         data, off = tx.utf8(b.column(b.schema.get_field_index(name)))
-        for i, j in tx.runs(off):
+        for i, j in tx.runs(off, RUN):
             yield b.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
@@ -188,18 +189,31 @@ def sorted_arrays(keys: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def places(m: dict[str, np.ndarray], q: np.ndarray) -> np.ndarray:
-    """How many stored keys are below each of q."""
+    """How many stored keys are below each of the sorted q."""
     if "whole" in m:
-        return np.searchsorted(m["whole"], q)
+        return m["whole"].searchsorted(q)
     low, at = m["low"], m["at"]
-    top = np.minimum((q >> _U(32)).astype(np.int64), len(at) - 1)
-    a, z = at[top], at[np.minimum(top + 1, len(at) - 1)]
-    x = q.astype(np.uint32)
-    while len(low) and (go := a < z).any():
-        mid = (a + z) >> 1
-        less = low[np.minimum(mid, len(low) - 1)] < x
-        a = np.where(go & less, mid + 1, a)
-        z = np.where(go & ~less, mid, z)
+    top = np.minimum(q >> _U(32), _U(len(at) - 1)).astype(np.int64)
+    a, z, x = at[top], at[np.minimum(top + 1, len(at) - 1)], q.astype(np.uint32)
+    edge = np.flatnonzero(np.append(True, top[1:] != top[:-1])) if len(q) else np.empty(0, np.int64)
+    if 8 * len(edge) > len(q):
+        return within(low, a, z, x)
+    out = np.empty(len(q), np.int64)
+    for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(q)], strict=True):
+        out[i:j] = a[i] + low[a[i] : z[i]].searchsorted(x[i:j])
+    return out
+
+
+def within(low: np.ndarray, a: np.ndarray, z: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each range [a, z) of ``low``, sorted there, its first place with x or more."""
+    a, z = a.copy(), z.copy()
+    go = np.flatnonzero(a < z)
+    while len(go):
+        mid = (a[go] + z[go]) >> 1
+        less = low[mid] < x[go]
+        a[go[less]] = mid[less] + 1
+        z[go[~less]] = mid[~less]
+        go = go[a[go] < z[go]]
     return a
 
 
@@ -240,11 +254,15 @@ class _Mapped:
         return shard, out
 
     def values(self, shard: np.ndarray, place: np.ndarray, name: str) -> np.ndarray:
-        """The value stored at each place; 0 at -1."""
+        """The value stored at each place; 0 at -1.  Shards are in order."""
         out = np.zeros(len(place), np.int64)
-        for s in np.unique(shard[place >= 0]).tolist():
-            mine = (shard == s) & (place >= 0)
-            out[mine] = self.shard(s)[name][place[mine]]
+        cut = np.searchsorted(shard, np.arange(len(self.sizes) + 1))
+        for s in np.flatnonzero(np.diff(cut)).tolist():
+            mine = slice(cut[s], cut[s + 1])
+            if self.sizes[s]:
+                stored = self.shard(s)[name]
+                if len(stored):
+                    out[mine] = np.where(place[mine] >= 0, stored[place[mine]], 0)
         return out
 
 
@@ -444,9 +462,9 @@ def _all_keys(m: dict[str, np.ndarray]) -> np.ndarray:
     return (np.repeat(np.arange(len(m["at"]) - 1, dtype=_U), np.diff(m["at"])) << _U(32)) | m["low"]
 
 
-def _distinct(hi: np.ndarray, lo: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different (hi, lo) in order, and the place of each among them."""
-    if 2 * bits <= 64:
+def _distinct(hi: np.ndarray, lo: np.ndarray, bits: int, total: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (hi, lo) in order, and the place of each among them; lo has ``bits`` bits, both have ``total``, or twice as many."""
+    if (total or 2 * bits) <= 64:
         k, inverse = np.unique((hi << _U(bits)) | lo, return_inverse=True)
         return k >> _U(bits), k & _U((1 << bits) - 1), inverse
     order = np.lexsort((lo, hi))
@@ -526,19 +544,17 @@ class Scorer:
                     o[a:b] = self.context[r][name][ids[a:b] - r * size]
         return out
 
-    def _followers(self, s: int, place: np.ndarray) -> np.ndarray:
-        """For pairs of a shard as contexts: the sum of their followers' counts, and how many have 1, 2 and more."""
-        t, bits = self.triples.shard(s), _U(self.m.bits)
-        p = place.astype(_U)
-        a, z = places(t, p << bits), places(t, (p + _U(1)) << bits)
-        out, n, i = np.zeros((len(place), 4), np.int64), z - a, 0
+    def _followers(self, s: int, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """For contexts of a shard, whose triples lie in [a, z): the sum of their followers' counts, and how many have 1, 2 and more."""
+        count = self.triples.shard(s)["count"]
+        out, n, i = np.zeros((len(a), 4), np.int64), z - a, 0
         ends = np.cumsum(n)
-        while i < len(place):
+        while i < len(a):
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + GATHER, "right")))
             if n[i] > GATHER // 8:
-                j, key = i + 1, (s, int(place[i]))
+                j, key = i + 1, (s, int(a[i]))
                 if key not in self.long:
-                    c = t["count"][a[i] : z[i]]
+                    c = count[a[i] : z[i]]
                     self.long[key] = int(c.sum(dtype=np.int64)), int((c == 1).sum()), int((c == 2).sum()), int((c > 2).sum())
                 out[i] = self.long[key]
             else:
@@ -546,9 +562,10 @@ class Scorer:
                 full = np.flatnonzero(m)
                 if len(full):
                     head = np.cumsum(m) - m
-                    c = t["count"][np.arange(int(m.sum())) + np.repeat(a[i:j] - head, m)].astype(np.int64)
-                    for k, x in enumerate((c, c == 1, c == 2, c > 2)):
-                        out[i + full, k] = np.add.reduceat(x.astype(np.int64), head[full])
+                    c = count[np.arange(int(m.sum())) + np.repeat(a[i:j] - head, m)]
+                    for k, x in enumerate((c, c == 1, c == 2)):
+                        out[i + full, k] = np.add.reduceat(x, head[full], dtype=np.int64)
+                    out[i:j, 3] = m - out[i:j, 1] - out[i:j, 2]
             i = j
         return out
 
@@ -589,30 +606,38 @@ class Scorer:
         pair[both] = np.where(place >= 0, deal.begin[shard].astype(np.int64) + place, -1)[back]
         s0, p0 = self.pairs.ranks(*mix_pair(np.zeros(1, _U), np.zeros(1, _U), m.bits))
         context = _before(pair, at, int(deal.begin[s0[0]]) + int(p0[0]))
-        uniq, inverse = np.unique(context, return_inverse=True)
-        stats = np.zeros((len(uniq), 4), np.int64)
-        real = uniq >= 0
-        cut = deal.cut(uniq[real].astype(_U))
-        first = int((~real).sum())
-        for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            if b > a:
-                stats[first + a : first + b] = self._followers(s, uniq[first + a : first + b] - int(deal.begin[s]))
+        # context by context, and the words after it
+        some = np.flatnonzero(context >= 0)
+        bits = int(m.pair_sizes.sum()).bit_length() + m.bits + 1
+        lo = np.where(w[some] >= 0, w[some], m.vocab + 1).astype(_U)  # of unknown words: no id
+        uniq, last, back = _distinct(context[some].astype(_U), lo, m.bits + 1, bits)
+        first = np.flatnonzero(np.append(True, uniq[1:] != uniq[:-1])) if len(uniq) else np.empty(0, np.int64)
+        each, of = uniq[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(uniq))))
+        stats, count = np.zeros((len(first), 4), np.int64), np.zeros(len(uniq), np.int64)
+        cut, steps = deal.cut(each), np.append(first, len(uniq))
+        for s, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            if j > i:
+                t = self.triples.shard(s)
+                own = each[i:j] - deal.begin[s]
+                a, z = places(t, own << _U(m.bits)), places(t, (own + _U(1)) << _U(m.bits))
+                stats[i:j] = self._followers(s, a, z)
+                mine = slice(steps[i], steps[j])
+                x, n = last[mine], len(t["count"])
+                if "whole" in t or m.bits > 32:
+                    at3 = ranks(t, (own[of[mine] - i] << _U(m.bits)) | x)
+                    hit = (at3 >= 0) & (x <= m.vocab)
+                elif n:
+                    low = ((own[of[mine] - i] << _U(m.bits)) | x).astype(np.uint32)
+                    end = z[of[mine] - i]
+                    at3 = within(t["low"], a[of[mine] - i], end, low)
+                    hit = (at3 < end) & (x <= m.vocab)
+                    hit &= t["low"][np.minimum(at3, n - 1)] == low
+                if n:
+                    count[mine] = np.where(hit, t["count"][np.where(hit, at3, 0)], 0)
         total = stats[:, 0]
         rest = np.where(total > 0, stats[:, 1:] @ np.array(d) / np.maximum(total, 1), 1.0)
-        p = rest[inverse] * p
-        some = (total[inverse] > 0) & (w >= 0)
-        bits = int(m.pair_sizes.sum()).bit_length() + m.bits
-        hi, lo = context[some].astype(_U), w[some].astype(_U)
-        if bits <= 64:
-            k, at3 = np.unique((hi << _U(m.bits)) | lo, return_inverse=True)
-            hi, lo = k >> _U(m.bits), k & _U((1 << m.bits) - 1)
-        else:
-            order = np.lexsort((lo, hi))
-            at3 = np.empty(len(hi), np.int64)
-            at3[order] = np.arange(len(hi))
-            hi, lo = hi[order], lo[order]
-        c = self.triples.values(*self.triples.ranks(hi, lo), "count")
-        p[some] += _cut(c, d)[at3] / total[inverse[some]]
+        seen = _cut(count, d) / np.maximum(total[of], 1)
+        p[some] = rest[of][back] * p[some] + seen[back]
         return p
 
     @property
