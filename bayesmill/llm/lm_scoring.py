@@ -11,8 +11,8 @@ No pass gathers more than per-shard totals on the driver:
    collide, and is dealt by its first half, so no word, however frequent, makes a
    large task.  A pair's place is its shard and its rank there.
 3. Word triples (order 3).  A triple is the place of its first two words and the
-   id of the third; it is dealt to that pair's shard and stored sorted, so that
-   a context's followers lie side by side.  Each triple then counts once for its
+   id of the third; it is dealt to that pair's shard and stored sorted, a
+   context's followers side by side from a place that is stored for each pair.  Each triple then counts once for its
    last two words: that is the pair's value in the model of order 2 below.
 4. Words as contexts and as followers: sums over pairs, dealt by id.
 5. Scores.  Each task looks up the distinct triples of a run of texts, then pairs,
@@ -425,12 +425,15 @@ def train(docs: DataFrame, ws: Workspace, shards: int, text: str = "text", order
     def store_triples(key, rows):
         s = key[0].as_py()
         k, c = _merged(rows)
-        put_arrays(f"{uri}/triples/{s}", **sorted_arrays(k), count=_least(c))
+        # each context's followers lie side by side, by id
+        first = np.searchsorted(k >> _U(m.bits), np.arange(m.pair_sizes[s] + 1, dtype=_U))
+        last = k & _U((1 << m.bits) - 1)
+        put_arrays(f"{uri}/triples/{s}", first=first.astype(np.min_scalar_type(len(k) | 1 << 16)), word=last.astype(np.uint32 if m.bits <= 32 else _U), count=_least(c))
         # each triple counts once for its last two words
         own = map_arrays(f"{uri}/pairs/{s}")
         context = _all_keys(own)[(k >> _U(m.bits)).astype(np.int64)]
         _, v = unmix_pair((context >> _U(m.bits)) + m.pairs.begin[s], context & _U((1 << m.bits) - 1), m.bits)
-        hi, lo, n = _counted(*mix_pair(v, k & _U((1 << m.bits) - 1), m.bits), m.bits, 2 * m.bits)
+        hi, lo, n = _counted(*mix_pair(v, last, m.bits), m.bits, 2 * m.bits)
         batches = [b.append_column("seen", pa.array([None] * b.num_rows, pa.list_(pa.int64()))) for b in m.pairs.rows(hi, lo, n)]
         batches.append(pa.RecordBatch.from_pydict({"shard": [s], "keys": [b""], "counts": [b""], "width": [1], "seen": [_seen(c)]}, pa.schema([*zip(("shard", "keys", "counts", "width"), PACKED_TYPES, strict=True), ("seen", pa.list_(pa.int64()))])))
         return pa.Table.from_batches(batches)
@@ -618,21 +621,14 @@ class Scorer:
         for s, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
             if j > i:
                 t = self.triples.shard(s)
-                own = each[i:j] - deal.begin[s]
-                a, z = places(t, own << _U(m.bits)), places(t, (own + _U(1)) << _U(m.bits))
+                own = (each[i:j] - deal.begin[s]).astype(np.int64)
+                a, z = (t["first"][k].astype(np.int64) for k in (own, own + 1))
                 stats[i:j] = self._followers(s, a, z)
                 mine = slice(steps[i], steps[j])
-                x, n = last[mine], len(t["count"])
-                if "whole" in t or m.bits > 32:
-                    at3 = ranks(t, (own[of[mine] - i] << _U(m.bits)) | x)
-                    hit = (at3 >= 0) & (x <= m.vocab)
-                elif n:
-                    low = ((own[of[mine] - i] << _U(m.bits)) | x).astype(np.uint32)
-                    end = z[of[mine] - i]
-                    at3 = within(t["low"], a[of[mine] - i], end, low)
-                    hit = (at3 < end) & (x <= m.vocab)
-                    hit &= t["low"][np.minimum(at3, n - 1)] == low
+                x, end, n = last[mine], z[of[mine] - i], len(t["count"])
+                at3 = within(t["word"], a[of[mine] - i], end, x)
                 if n:
+                    hit = (at3 < end) & (t["word"][np.minimum(at3, n - 1)] == x)
                     count[mine] = np.where(hit, t["count"][np.where(hit, at3, 0)], 0)
         total = stats[:, 0]
         rest = np.where(total > 0, stats[:, 1:] @ np.array(d) / np.maximum(total, 1), 1.0)
