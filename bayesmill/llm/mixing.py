@@ -149,6 +149,7 @@ class Mix:
             draws.setdefault((s, b), []).append((epoch, shard, words))
         schema = "_s int, _block int, _draws array<struct<epoch:int,shard:int,words:long>>, _part boolean"
         self.draws = spark.createDataFrame([(s, b, d, any(w is not None for *_, w in d)) for (s, b), d in draws.items()], schema)
+        self.edges = self._edges()
 
     def _with_block(self, df: DataFrame, source: str) -> DataFrame:
         """Add the source's columns and the block that ``h`` falls in."""
@@ -156,13 +157,24 @@ class Mix:
         unit = F.shiftrightunsigned("h", 12).cast("double") / F.lit(float(1 << 52))
         return keyed.join(F.broadcast(self.table), ["_null", "_name"]).withColumn("_block", F.floor(unit * F.col("_blocks")).cast("int")).drop("_null", "_name")
 
-    def _placed(self, df: DataFrame, id: str, source: str) -> DataFrame:
-        """Add draws, and for documents of blocks taken in part the words before them in the block."""
-        named = self._with_block(df, source).join(F.broadcast(self.draws), ["_s", "_block"], "left")
-        order = Window.partitionBy("_s", "_block").orderBy("h", F.col(id).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    def _drawn(self, df: DataFrame, source: str) -> DataFrame:
+        return self._with_block(df, source).join(F.broadcast(self.draws), ["_s", "_block"], "left")
+
+    def _placed(self) -> DataFrame:
+        """Sizes with draws, and for documents of blocks taken in part the words before them in the block."""
+        named = self._drawn(self.slim, "source")
+        order = Window.partitionBy("_s", "_block").orderBy("h", F.col("id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
         part = named.where("_part").withColumn("_before", F.coalesce(F.sum("size").over(order), F.lit(0)).cast("long"))
         return named.where("_part is null or not _part").withColumn("_before", F.lit(0).cast("long")).unionByName(part)
 
+    def _edges(self) -> DataFrame:
+        """Of each block taken in part the document (hash and id) at which its words are used up, and the words left for it: a row for each source at most."""
+        part = self._placed().where("_part").withColumn("_left", F.array_max(F.transform("_draws", lambda d: d["words"])))
+        keyed = part.groupBy("_s", "_block", "h", "id").agg(F.min("_before").alias("_before"), F.sum("size").alias("n"), F.first("_left").alias("_left"))
+        found = keyed.where("_before < _left and _left <= _before + n").select("_s", "_block", F.col("h").alias("_h"), F.col("id").alias("_edge"), F.expr("_left - _before").alias("_left")).collect()
+        kind = self.docs.select(F.col(self.id).alias("_edge")).schema["_edge"].dataType
+        return self.docs.sparkSession.createDataFrame(found, StructType().add("_s", "integer").add("_block", "integer").add("_h", "long").add("_edge", kind).add("_left", "long"))
+
     @staticmethod
     def _words(draw: Column) -> Column:
         """What a draw takes of its document."""
@@ -170,7 +182,7 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """Per document: id, size, source_size, target and the words that the mix takes, repeats counted."""
-        rows = self._placed(self.slim, "id", "source")
+        rows = self._placed()
         total = F.aggregate(F.transform(F.coalesce("_draws", F.array().cast("array<struct<epoch:int,shard:int,words:long>>")), self._words), F.lit(0).cast("long"), lambda a, x: a + x)
         return rows.select(F.col("id").alias(self.id), "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), total.alias("taken"))
 
@@ -184,13 +196,22 @@ class Mix:
         there is a column n_chars it then counts what is left.
         """
         c = self.docs.columns
-        full = self.docs.select(F.struct(*[F.col(f"`{x}`") for x in c]).alias("_row"), F.col(self.id).alias("_id"), F.col(self.source).alias("_source"), word_count(self.text).alias("size"), _content_hash(self.id, self.text, self.seed).alias("h"))
-        drawn = self._placed(full, "_id", "_source").withColumn("_draw", F.explode("_draws"))
-        words = self._words(F.col("_draw"))
-        drawn = drawn.withColumn("_words", words).where("_words > 0 or size = 0")
+        full = self.docs.select(F.struct(*[F.col(f"`{x}`") for x in c]).alias("_row"), F.col(self.id).alias("_id"), F.col(self.source).alias("_source"), F.col(self.text).alias("_text"), _content_hash(self.id, self.text, self.seed).alias("h"))
+        # only blocks taken in part need their documents' sizes again
+        drawn = self._drawn(full, "_source").where("_draws is not null").withColumn("size", F.when(F.col("_part"), word_count("_text"))).drop("_text")
+        part = drawn.where("_part").join(F.broadcast(self.edges), ["_s", "_block"])
+        same = part.where("h = _h and _id <=> _edge")
+        turn = F.row_number().over(Window.partitionBy("_s", "_block").orderBy("h")) - 1
+        first = F.expr("h < _h or h = _h and (_id < _edge or _id is null and _edge is not null)")
+        same = same.withColumn("_own", F.least("size", F.greatest(F.lit(0).cast("long"), F.col("_left") - turn * F.col("size"))))
+        other = part.where("not (h = _h and _id <=> _edge)").withColumn("_own", F.when(first, F.col("size")).otherwise(F.lit(0).cast("long")))
+        whole = drawn.where("not _part").withColumn("_own", F.lit(None).cast("long"))
+        keep = [*drawn.columns, "_own"]
+        drawn = whole.select(keep).unionByName(same.select(keep)).unionByName(other.select(keep)).withColumn("_draw", F.explode("_draws"))
+        drawn = drawn.withColumn("_words", F.when(F.col("_draw.words").isNotNull(), F.col("_own"))).where("_words is null or _words > 0 or size = 0")
         shard = [F.col("_draw.shard").alias(self.shard_column), F.xxhash64(F.lit(self.seed), F.col("h"), F.col("_draw.epoch")).alias(self.order_column)]
         columns = [F.col("_row")[x].alias(x) for x in c]
-        whole = drawn.where("_words = size").select(*columns, *shard)
+        whole = drawn.where("_words is null or _words = size").select(*columns, *shard)
         short = drawn.where("_words < size").select(*columns, *shard, F.col("_words").alias("_cut_after"))
         return whole.union(_cut(short, self.text))
 

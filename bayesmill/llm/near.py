@@ -40,7 +40,8 @@ from pyspark.sql.types import ArrayType, LongType
 
 from . import text as tx
 from .components import components
-from .simhash import GrayIndex, _file, _hook, _row, choose, majority, shingle_hashes
+from .rows import file_hash, row_hash
+from .simhash import GrayIndex, _hook, choose, majority, shingle_hashes
 from .workspace import Workspace, frugal, parts, small_batches
 
 WIDTH = 5
@@ -152,7 +153,7 @@ def set_table(docs: DataFrame, uri: str, id: str, text: str) -> DataFrame:
             if out is not None:
                 out.close()
 
-    return docs.select(id, _file().alias("file"), _row(id, text).alias("row"), text).mapInArrow(frugal(run), schema)
+    return docs.select(id, file_hash().alias("file"), row_hash(id, text).alias("row"), text).mapInArrow(frugal(run), schema)
 
 
 def _create(uri: str, task: int):

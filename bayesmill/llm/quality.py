@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .rows import KEPT, file_hash, keep_rows, row_hash
 from .workspace import Workspace, frugal, small_batches
 
 FEATURES = (
@@ -159,18 +160,19 @@ class Discriminant:
 # -- columns ----------------------------------------------------------------
 
 def statistics_table(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id`` and ``stats``, an array in the order of FEATURES."""
+    """``id``, ``file`` and ``row`` (hashes of the row's file, and of id and text), and ``stats``, an array in the order of FEATURES."""
     small_batches(docs.sparkSession)
-    schema = docs.select(id).withColumn("stats", F.array(F.lit(0.0))).schema
+    rows = docs.select(id, file_hash().alias("file"), row_hash(id, text).alias("row"), text)
+    schema = rows.select(id, "file", "row").withColumn("stats", F.array(F.lit(0.0))).schema
 
     def run(batches):
         for b in batches:
-            data, off = tx.utf8(b.column(1))
+            data, off = tx.utf8(b.column(3))
             for i, j in tx.runs(off):
                 x = statistics(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _lists(x)], [id, "stats"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(3)), _lists(x)], schema.names)
 
-    return docs.select(id, text).mapInArrow(frugal(run), schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def _lists(x: np.ndarray) -> pa.Array:
@@ -201,15 +203,15 @@ def learn(rows: DataFrame, **shrinkage: float) -> Discriminant:
     return Discriminant.fit(*total, **shrinkage)
 
 
-def score_table(stats: DataFrame, model: Discriminant, id: str = "doc_id") -> DataFrame:
-    """``id`` and ``score``."""
-    schema = stats.select(id).schema.add("score", "double")
+def score_table(stats: DataFrame, model: Discriminant, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``score``, after the columns to keep."""
+    schema = stats.select(*keep).schema.add("score", "double")
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_matrix(b.column(1))))], [id, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(_matrix(b.column(len(keep)))))], schema.names)
 
-    return stats.select(id, "stats").mapInArrow(frugal(run), schema)
+    return stats.select(*keep, "stats").mapInArrow(frugal(run), schema)
 
 
 def held_out(id: str = "doc_id", folds: int = 5) -> Column:
@@ -233,14 +235,11 @@ def classify(docs: DataFrame, labels: DataFrame, ws: Workspace, threshold: float
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, ws: Workspace, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, scored in place: no join, so repeated or null ids keep their rows."""
-    small_batches(docs.sparkSession)
-    model, _ = fit(docs, labels, ws)
-
-    def run(batches):
-        for b in batches:
-            data, off = tx.utf8(b.column(b.schema.get_field_index("text")))
-            keep = [model.score(statistics(data[off[i] : off[j]], off[i : j + 1] - off[i])) >= threshold for i, j in tx.runs(off)]
-            yield b.filter(pa.array(np.concatenate(keep))) if keep else b
+    """The rows of ``docs`` that the classifier accepts.
 
-    return docs.mapInArrow(frugal(run), docs.schema)
+    Rows are told apart by their id and text, so repeated or null ids keep their
+    rows.
+    """
+    model, stats = fit(docs, labels, ws)
+    good = score_table(stats, model, ("file", "row")).where(F.col("score") >= threshold)
+    return keep_rows(docs, ws, good.select(F.col("row").alias(KEPT), "file").distinct(), "doc_id", "text")

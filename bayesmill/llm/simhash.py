@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .workspace import Workspace, frugal, map_arrays, put_arrays, small_batches
+from .rows import KEPT, file_hash, keep_rows, row_hash
+from .workspace import Workspace, frugal, small_batches
 
 _U = np.uint64
 FAN = 8
@@ -108,16 +109,7 @@ def fingerprint_table(docs: DataFrame, id: str = "doc_id", text: str = "text", w
                 fp = fingerprints(data[off[i] : off[j]], off[i : j + 1] - off[i], width)
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(3)), pa.array(fp.view(np.int64))], [id, "file", "row", "fp"])
 
-    return docs.select(id, _file().alias("file"), _row(id, text).alias("row"), text).mapInArrow(frugal(run), schema)
-
-
-def _file():
-    return F.xxhash64(F.input_file_name())
-
-
-def _row(id: str, text: str):
-    """A hash of id and text, null or not; rows that share it are alike in both."""
-    return F.xxhash64(F.col(id).isNull(), F.col(id), F.col(text).isNull(), F.col(text))
+    return docs.select(id, file_hash().alias("file"), row_hash(id, text).alias("row"), text).mapInArrow(frugal(run), schema)
 
 
 # -- index ------------------------------------------------------------------
@@ -350,54 +342,16 @@ def choose(docs: DataFrame, named: DataFrame, ws: Workspace, id: str, text: str)
     known = F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("known")
     by_id = named.groupBy("component", known).agg(F.count("*").alias("n"), F.min("file").alias("file"), F.min("row").alias(KEPT))
     kept = ws.save(by_id.groupBy("component").agg(F.min(F.struct("known", "n", "file", KEPT)).alias("k")).select("component", "k.*"), "kept")
-    once = _by_file(docs, ws, kept.where("n = 1").select(KEPT, "file"), id, text)
+    once = keep_rows(docs, ws, kept.where("n = 1").select(KEPT, "file"), id, text)
     repeated = kept.where("n > 1").select("component", "known")
     if repeated.isEmpty():
         return once
     rows = named.select("component", known, F.col("row").alias(KEPT)).join(repeated, ["component", "known"], "left_semi")
     rows = rows.select(F.col("component").alias(PART), KEPT).distinct()
-    some = docs.withColumn(KEPT, _row(id, text)).join(rows, KEPT)
+    some = docs.withColumn(KEPT, row_hash(id, text)).join(rows, KEPT)
     least = some.groupBy(PART).agg(F.min(F.struct(text, *(c for c in docs.columns if c != text))).alias("r"))
     return once.unionByName(least.select(*[F.col("r")[c].alias(c) for c in docs.columns]))
 
 
 NO_ID = (1 << 63) - 1
-KEPT, PART = "__kept_row", "__kept_part"  # names that no table is likely to have
-
-
-def _by_file(docs: DataFrame, ws: Workspace, kept: DataFrame, id: str, text: str) -> DataFrame:
-    """The rows of ``docs`` whose hash is in ``kept(KEPT, file)``, without an exchange of texts.
-
-    Rows to keep are dealt by the file that they are read from and stored, so
-    a task that reads a file looks only at that file's.  Rows that come from no
-    file are joined instead.
-    """
-    files = min(1 << 16, len(docs.inputFiles()))
-    if not files or not kept.where(F.col("file") == F.xxhash64(F.lit(""))).isEmpty():
-        return docs.withColumn(KEPT, _row(id, text)).join(kept.select(KEPT), KEPT, "left_semi").drop(KEPT)
-    bucket = lambda file: F.pmod(file, F.lit(files)).cast("int")
-    uri = ws.path("files")
-
-    def store(key, rows):
-        put_arrays(f"{uri}/{key[0].as_py()}", row=np.sort(rows["row"].to_numpy()))
-        return pa.table({"n": [len(rows)]})
-
-    ids = kept.select(bucket(F.col("file")).alias("b"), F.col(KEPT).alias("row"))
-    stored = {r["b"] for r in ids.select("b").distinct().collect()}
-    ids.groupBy("b").applyInArrow(store, "n long").agg(F.sum("n")).collect()
-
-    def run(batches):
-        have: dict[int, np.ndarray] = {}
-        for b in batches:
-            file, own = b.column(b.num_columns - 2).to_numpy(), b.column(b.num_columns - 1).to_numpy()
-            keep = np.zeros(b.num_rows, bool)
-            for k in np.unique(file).tolist():
-                if k in stored:
-                    if k not in have:
-                        have[k] = map_arrays(f"{uri}/{k}")["row"]
-                    mine = file == k
-                    at = np.minimum(np.searchsorted(have[k], own[mine]), len(have[k]) - 1)
-                    keep[mine] = have[k][at] == own[mine]
-            yield pa.RecordBatch.from_arrays(b.columns[:-2], names=b.schema.names[:-2]).filter(pa.array(keep))
-
-    return docs.select("*", bucket(_file()).alias("__file"), _row(id, text).alias("__row")).mapInArrow(frugal(run), docs.schema)
+PART = "__kept_part"  # a name that no table is likely to have

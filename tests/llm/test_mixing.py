@@ -76,6 +76,50 @@ def test_mix(spark):
     assert all(r["n_chars"] in (0, len(r["text"])) for r in kept if r["text"])
 
 
+def test_taken_is_the_plan_replayed(spark):
+    """Every document's words from a plain replay: blocks by hash, a permutation of them for each source, words until the target."""
+    _, df = table(spark)
+    mix = M.Mix(df, Workspace(spark, "t"), shards=4, seed=5)
+    slim = [r.asDict() for r in mix.slim.collect()]
+    names = sorted({r["source"] for r in slim}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(r["size"] for r in slim if r["source"] == s) for s in names}
+    goal = dict(zip(names, M.targets([size[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5), strict=True))
+    want = []
+    for i, s in enumerate(names):
+        blocks = defaultdict(list)
+        for r in slim:
+            if r["source"] == s:
+                blocks[int(((r["h"] % (1 << 64)) >> 12) / 2**52 * (1 + M.BLOCKS * size[s] // sum(size.values())))].append(r)
+        rng, left, taken = np.random.default_rng([5, i]), round(goal[s]), Counter()
+        for _ in range(3):
+            order = rng.permutation(sorted(blocks)).tolist()
+            for b in order:
+                for r in sorted(blocks[b], key=lambda r: (r["h"], r["id"] is not None, r["id"] or 0)):
+                    n = min(r["size"], left)
+                    taken[id(r)] += n
+                    left -= n
+        want += [(r["id"], r["size"], size[s], taken[id(r)]) for r in slim if r["source"] == s]
+    got = [(r["doc_id"], r[1], r["source_size"], r["taken"]) for r in mix.taken().toDF("doc_id", "n", "source_size", "target", "taken").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(0 < t % n < n for _, n, _, t in want if n)
+
+
+def test_rows_hold_the_words_that_are_taken(spark):
+    """With few blocks, so that those taken in part hold many documents, repeats among them."""
+    rows = [(i % 40, " ".join(["w"] * (1 + i % 40 % 7)), "ab"[i % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    blocks, M.BLOCKS = M.BLOCKS, 4
+    try:
+        mix = M.Mix(df, Workspace(spark, "t"), shards=2)
+        want, got = Counter(), Counter()
+        for r in mix.taken().collect():
+            want[r["doc_id"]] += r["taken"]
+        for r in mix.rows().collect():
+            got[r["doc_id"]] += len(r["text"].split())
+        assert got == +want
+    finally:
+        M.BLOCKS = blocks
+
+
 def test_written_shards(spark, tmp_path):
     _, df = table(spark)
     mix = M.Mix(df.drop("_shard"), Workspace(spark, "t"), shards=3)
