@@ -14,7 +14,7 @@ from bayesmill.llm.workspace import Workspace, parts
 
 TOKENIZER = "byte_bpe_50k.json"
 
-#: SQL has no covariances' Cholesky factors, fingerprints or tokenizer; tests/llm/test_pipeline.py has a plain version.
+#: SQL has no covariances' Cholesky factors or tokenizer; tests/llm/test_pipeline.py has a plain version.
 ORACLE_SQL = None
 
 
@@ -37,9 +37,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the sources' target weights take them, in shuffled shards."""
-    plan = mixing.Mix(docs, Workspace(spark, "pipeline-mix"))
+    plan = mixing.Mix(docs, Workspace(spark, "pipeline-mix"), shards=max(16, parts(spark)))
     by = [plan.shard_column, plan.order_column]
-    return plan.rows().repartitionByRange(parts(spark), *by).sortWithinPartitions(*by).drop(*by)
+    # the order is a hash, so dealing by it needs no sample of the rows
+    return plan.rows().repartition(parts(spark), *by).sortWithinPartitions(*by).drop(*by)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
