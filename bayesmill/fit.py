@@ -47,24 +47,33 @@ class Fit:
         """One row for each chain and kept draw; a lost part is drawn again from the same seeds."""
         if self.controls.store != "draws":
             raise SpecError("this fit keeps moments only")
-        parts = len(self.problems)
-        raw = self.made if self.made is not None else tasks.run(self.spark, self.problems, self.controls, self.noise)
-        return tasks.recombine(raw, parts if self.made is None else self.info["parts"], self.y_mean, self.n, self.df).persist()
+        parts = len(self.problems) if self.made is None else self.info["parts"]
+        return tasks.recombine(self._raw(), parts, self.y_mean, self.n, self.df).persist()
+
+    def _raw(self) -> DataFrame:
+        return self.made if self.made is not None else tasks.run(self.spark, self.problems, self.controls, self.noise)
+
+    @cached_property
+    def _running(self) -> DataFrame:
+        """One run of the chains gives moments and covariances."""
+        if self.controls.store != "moments":
+            raise SpecError("this fit keeps draws")
+        return self._raw().persist()
 
     @cached_property
     def moments(self) -> DataFrame:
-        return tasks.run_moments(self.spark, self.problems, self.controls)[0].persist()
+        """(chain, param, idx, n, mean, m2), idx -1 but for predictors' own."""
+        return tasks.moments(self._running, [b.name for b in self.blocks], self.y_mean, self.n, self.df, self.controls.pve_type if self.controls.pve else None).persist()
 
     @cached_property
     def covariances(self) -> DataFrame:
-        return tasks.run_moments(self.spark, self.problems, self.controls)[1].persist()
+        return tasks.covariances(self._running).persist()
 
     @cached_property
     def predictors(self) -> DataFrame:
         rows = [(i, n, self.blocks[b].name, lab) for i, (n, b, lab) in enumerate(zip(self.names, self.block_of, self.labels, strict=True))]
         return self.spark.createDataFrame(rows, "idx int, name string, block string, label string")
 
-
     def coef(self) -> DataFrame:
         return _summary().coef(self)
 
@@ -187,7 +196,9 @@ def _indices(parsed: list[Block], names: Sequence[str]) -> tuple[np.ndarray, np.
 def fit_ss(spark: SparkSession, n: int, xtx, xty, blocks: Mapping | Sequence, yty: float | None = None, x_means=None, y_mean: float | None = None, names: Sequence[str] | None = None, likelihood: int | None = None, psd: bool = False, storage: str = "auto", storage_limit: int = 1 << 30, **kw) -> Fit:
     """Fit cross-products: one matrix, or a list or mapping of diagonal blocks whose order is the predictors'.
 
-    With means they are centred first; blocks that means couple are one component.
+    With means they are centred first; blocks that means couple are one dense
+    component.  Others are kept in tasks as ``storage`` says (see
+    :func:`~bayesmill.plans.planner.plan_storage`): dense, sparse, or one triangle.
     """
     controls = _controls(kw)
     residual, ref = _residual_args(kw)
@@ -198,11 +209,12 @@ def fit_ss(spark: SparkSession, n: int, xtx, xty, blocks: Mapping | Sequence, yt
     intercept = x_means is not None
     if not intercept and any(b.standardize for b in parsed):
         warnings.warn("standardizing cross-products without means treats them as centred; there is no intercept", stacklevel=2)
-    _, fits = planner.plan_storage([(len(b), int(np.count_nonzero(b))) for b in listed], storage, storage_limit)
+    kept, fits = planner.plan_storage([(len(b), int(np.count_nonzero(b))) for b in listed], storage, storage_limit)
     if not fits:
         warnings.warn("cross-products take more memory than the limit", stacklevel=2)
-    if len(listed) > 1 and not (intercept and np.any(np.asarray(x_means) != 0)):
-        return _fit_blocks(spark, n, listed, xty, yty, x_means, y_mean, names, parsed, likelihood, psd, controls, residual, ref)
+    how = [k.kind for k in kept]
+    if (len(listed) > 1 or how != ["dense"]) and not (intercept and np.any(np.asarray(x_means) != 0)):
+        return _fit_blocks(spark, n, listed, how, xty, yty, x_means, y_mean, names, parsed, likelihood, psd, controls, residual, ref)
     sizes = [len(b) for b in listed]
     whole = np.zeros((sum(sizes), sum(sizes)))
     for b, at in zip(listed, np.cumsum([0, *sizes[:-1]]), strict=True):
@@ -215,7 +227,7 @@ def fit_ss(spark: SparkSession, n: int, xtx, xty, blocks: Mapping | Sequence, yt
     return _fit_centred(spark, s, parsed, block_of, order, df, df, controls, residual, ref, info={"intercept": s.intercept})
 
 
-def _fit_blocks(spark, n, listed, xty, yty, x_means, y_mean, names, parsed, likelihood, psd, controls, residual, ref) -> Fit:
+def _fit_blocks(spark, n, listed, how, xty, yty, x_means, y_mean, names, parsed, likelihood, psd, controls, residual, ref) -> Fit:
     """Diagonal blocks that no means couple: they stay blocks, and predictors keep the blocks' order."""
     at = np.concatenate([[0], np.cumsum([len(b) for b in listed])])
     xty = np.asarray(xty, float).reshape(-1)
@@ -248,9 +260,10 @@ def _fit_blocks(spark, n, listed, xty, yty, x_means, y_mean, names, parsed, like
     for c in range(int(part.max(initial=-1)) + 1):
         idx = np.flatnonzero(part == c)
         own = sorted(set(block_of[idx].tolist()))
-        be = Blocks([g for g, a in zip(grams, at[:-1], strict=True) if part[a] == c], (xty / scale)[idx], y2 or 0.0)
+        mine = [b for b, a in enumerate(at[:-1]) if part[a] == c]
+        be = Blocks([grams[b] for b in mine], (xty / scale)[idx], y2 or 0.0, [how[b] for b in mine])
         problems.append(Problem(be, [ready[b] for b in own], np.array([own.index(b) for b in block_of[idx].tolist()]), prior, df, idx, scale[idx], own, len(ready), np.zeros(len(idx)), c == 0))
-    return Fit(spark, ready, names, block_of.tolist(), prior, controls, n, df, problems, y_mean, {"scale": scale, "intercept": intercept})
+    return Fit(spark, ready, names, block_of.tolist(), prior, controls, n, df, problems, y_mean, {"scale": scale, "intercept": intercept, "storage": how})
 
 
 def fit_sparse(spark: SparkSession, n: int, triplets: DataFrame, predictors: DataFrame, blocks: Mapping | Sequence, yty: float | None = None, y_mean: float | None = None, likelihood: int | None = None, **kw) -> Fit:
@@ -289,6 +302,10 @@ def fit_sparse(spark: SparkSession, n: int, triplets: DataFrame, predictors: Dat
     cut = np.searchsorted(c[by], np.arange(p + 1))
     cols = [(r[by[a:b]], w[by[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     be = Sparse(cols, xty, y2 or 0.0, np.sqrt(n) * means[order] / scale)
+    if bad := [names[order[k]] for k in np.flatnonzero(be.diag <= 100 * G.EPS * np.maximum(1.0, n * (means[order] / scale) ** 2))]:
+        raise DataError(f"predictors {bad} are constant")
+    flat = np.flatnonzero([not ready[b].penalized for b in block_of])
+    G.check_fixed_rank(be.part(flat))
     problem = Problem(be, ready, block_of, prior, df, np.arange(p), scale, list(range(len(ready))), len(ready), means[order] / scale)
     return Fit(spark, ready, [names[k] for k in order], block_of.tolist(), prior, controls, n, df, [problem], y_mean, {"intercept": intercept})
 
@@ -332,13 +349,17 @@ def fit_eigen(spark: SparkSession, n: int, vectors, values, prop_var, xty, block
         if offset < -G.ROOT_EPS * max(1.0, y2):
             raise DataError("yty is less than the eigenpairs explain")
         offset = max(offset, 0.0)
+    factors = [E.factor(u, lam, scale[a:b]) for (u, lam, _), a, b in zip(sets, at[:-1], at[1:], strict=True)]
+    for q, a in zip(factors, at[:-1], strict=True):
+        flat = q[:, [k for k in range(q.shape[1]) if not ready[place[a + k]].penalized]]
+        G.check_fixed_rank(flat.T @ flat)
     part = planner.components(place.tolist(), np.repeat(np.arange(len(sets)), np.diff(at)).tolist(), ready, prior.var is None)
     problems = []
     for c in range(int(part.max(initial=-1)) + 1):
         idx = np.flatnonzero(part == c)
         own = sorted(set(place[idx].tolist()))
         mine = [k for k in range(len(sets)) if part[at[k]] == c]
-        be = LowRank([E.factor(sets[k][0], sets[k][1], scale[at[k] : at[k + 1]]) for k in mine], [projected[k].target for k in mine], offset)
+        be = LowRank([factors[k] for k in mine], [projected[k].target for k in mine], offset)
         problems.append(Problem(be, [ready[b] for b in own], np.array([own.index(b) for b in place[idx].tolist()]), prior, df, idx, scale[idx], own, len(ready), (means / scale)[idx], c == 0))
     info = {"prop_var": E.overall_share([(float((u**2 @ lam).sum()), prop) for u, lam, prop in sets])}
     return Fit(spark, ready, names, place.tolist(), prior, controls, n, df, problems, y_mean, info)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,26 +75,36 @@ def fit_gwas(gwas: DataFrame, ld: L.LD, blocks: Mapping | Sequence, scale: str =
     chains = fitted.spark.range(1, controls.chains + 1).select(F.col("id").cast("int").alias("chain"))
     ranked = fitted.blocks.join(table, F.col("name") == F.col("block")).join(fitted.variants.groupBy("block").agg(F.min("block_rank").alias("rank")), "block")
 
-    def sample(pdf: pd.DataFrame):
-        d = shipped.value
-        pdf = pdf.sort_values("rank")
-        number_, c = int(pdf["chain"].iloc[0]), int(pdf["part"].iloc[0])
+    running = controls.store == "moments"
+
+    def sample(batches):
+        d, rows = shipped.value, []
+        for b in batches:
+            for r in b.to_pylist():
+                cols = L.columns(r)
+                rows.append((r["rank"], r["chain"], r["part"], int(r["size"]), cols))
+        rows.sort(key=lambda r: r[0])
+        number_, c = rows[0][1:3]
         idx = np.flatnonzero(d["part"] == c)
         own = sorted(set(d["block_of"][idx].tolist()))
-        be = Correlation([(int(r["size"]), L.columns(r)) for r in pdf.to_dict("records")], d["s"][idx], d["g"][idx], d["y2"], d["shrink"])
+        be = Correlation([r[3:] for r in rows], d["s"][idx], d["g"][idx], d["y2"], d["shrink"])
         problem = Problem(be, [d["blocks"][b] for b in own], np.array([own.index(b) for b in d["block_of"][idx].tolist()]), d["prior"], d["df"], idx, d["scale"][idx], own, len(d["blocks"]), np.zeros(len(idx)), c == 0)
-        return pd.concat([_frame(b) for b in tasks.draw_rows(problem, d["controls"], number_, c)])
+        yield from (tasks.running_rows if running else tasks.draw_rows)(problem, d["controls"], number_, c)
 
     # few rows: a chain's number beside each block of LD
-    made = ranked.join(F.broadcast(chains)).groupBy("chain", "part").applyInPandas(sample, tasks.DRAWS)
+    made = ranked.join(F.broadcast(chains)).groupBy("chain", "part").applyInArrow(_batches(sample), tasks.RUNNING if running else tasks.DRAWS)
     info = {"parts": int(part.max(initial=0)) + 1, "scale": sd, "orientation": sign, "harmonization": counts, "residual_df_gwas": n - 2 if residual_df_gwas is None else residual_df_gwas, "ld": fitted, "scale_kind": scale}
     return Fit(fitted.spark, ready, ids, block_of.tolist(), prior, controls, n, df, [], None, info, made=made)
 
 
-def _frame(batch) -> pd.DataFrame:
-    out = batch.to_pandas()
-    out["hyper"] = [dict(x) for x in out["hyper"]]
-    return out
+def _batches(run):
+    """``run`` as a function of a group's batches that yields batches."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+
+    go.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return go
 
 
 def _without_lost(parsed, blocks, ids: list[str], lost: bool, kept: DataFrame):

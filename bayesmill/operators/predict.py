@@ -24,6 +24,14 @@ def linear(intercept: float, coefficients: Mapping[str, float]) -> Column:
     return out
 
 
+def point(newdata: DataFrame, intercept: float, means: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Add ``fit``, the prediction at the coefficients' means."""
+    check_columns(newdata, list(names))
+    if "fit" in newdata.columns:
+        raise DataError("column ['fit'] is taken")
+    return newdata.withColumn("fit", linear(intercept, dict(zip(names, means, strict=True))))
+
+
 def predict(newdata: DataFrame, draws: DataFrame, names: Sequence[str], interval: str = "none", level: float = 0.95) -> DataFrame:
     """Add ``fit`` and, for an interval, ``lower`` and ``upper``; columns are found by name, in any order.
 
@@ -36,14 +44,16 @@ def predict(newdata: DataFrame, draws: DataFrame, names: Sequence[str], interval
     check_columns(newdata, list(names))
     if clash := {"fit", "lower", "upper"} & set(newdata.columns):
         raise DataError(f"columns {sorted(clash)} are taken")
+    if interval == "none":
+        r = draws.agg(F.coalesce(F.avg("intercept"), F.lit(0.0)).alias("m")).first()
+        b = dict(draws.select(F.posexplode("theta").alias("idx", "v")).groupBy("idx").agg(F.avg("v").alias("v")).collect())  # a number for each predictor
+        return point(newdata, r["m"], [b[k] for k in range(len(names))], names)
     size = draws.count() * (len(names) + 2) * 8
     if size > DRAW_LIMIT:
         raise SpecError("draws take more memory than a task should hold: thin them")
     t = draws.orderBy("chain", "draw").select("intercept", "residual_var", "theta").collect()
     mu, beta = np.array([r["intercept"] if r["intercept"] is not None else 0.0 for r in t]), np.array([r["theta"] for r in t])
-    out = newdata.withColumn("fit", linear(mu.mean(), dict(zip(names, beta.mean(axis=0), strict=True))))
-    if interval == "none":
-        return out
+    out = point(newdata, mu.mean(), beta.mean(axis=0), names)
     shipped = newdata.sparkSession.sparkContext.broadcast((mu, beta, np.sqrt([r["residual_var"] for r in t])))
     cols = [F.col(f"`{c}`") for c in out.columns]
     x = F.array(*[F.col(c).cast("double") for c in names]).alias("_x")

@@ -8,6 +8,7 @@ column reaches.
     reset(t)        rebuild the state
     rhs(j)          entry j of g - G t
     move(j, d)      account for t[j] += d
+    part(idx)       the matrix of some predictors
     quadratic(t)    t' G t
     product(t)      G t
     residual(t)     sum of squares (y2 - 2 t'g + t'G t, with any offset)
@@ -21,12 +22,14 @@ import numpy as np
 class Dense:
     """A full symmetric matrix."""
 
+    streaming = False  # whether a sweep keeps only the entries ahead of it, so that the state is rebuilt after each
+
     def __init__(self, gram: np.ndarray, g: np.ndarray, y2: float):
         self.gram, self.g, self.y2 = np.asfortranarray(gram, float), np.asarray(g, float), float(y2)
         self.diag = np.diag(self.gram).copy()
 
     def reset(self, t):
-        self.q = self.g - self.gram @ t
+        self.q = self.g - self.product(t)
 
     def rhs(self, j):
         return self.q[j]
@@ -43,27 +46,95 @@ class Dense:
     def residual(self, t):
         return self.y2 - 2 * float(t @ self.g) + self.quadratic(t)
 
+    def part(self, idx):
+        """The matrix of some predictors."""
+        out, unit = np.empty((len(idx), len(idx))), np.zeros(len(self.diag))
+        for a, j in enumerate(idx):
+            unit[j] = 1
+            out[:, a] = self.product(unit)[idx]
+            unit[j] = 0
+        return out
+
+
+class Columns:
+    """A square matrix by columns: ``rows`` and ``values`` of column j are those from ``at[j]`` to ``at[j + 1]``."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, p: int):
+        by = np.argsort(cols, kind="stable")
+        self.rows, self.values, self.p = np.asarray(rows, np.int64)[by], np.asarray(values, float)[by], p
+        self.cols = np.asarray(cols, np.int64)[by]
+        self.at = np.searchsorted(self.cols, np.arange(p + 1))
+
+    def column(self, j):
+        return self.rows[self.at[j] : self.at[j + 1]], self.values[self.at[j] : self.at[j + 1]]
+
+    def product(self, t):
+        return np.bincount(self.rows, self.values * t[self.cols], self.p)
+
 
 class Blocks(Dense):
-    """Dense diagonal blocks; predictors are in the order of the blocks."""
+    """Diagonal blocks, each kept dense, sparse (all its non-zeros) or as its lower triangle; predictors are in the order of the blocks.
+
+    An update in a block kept as one triangle reaches only the places after it,
+    so a sweep goes through such a block in its order, and the state is rebuilt
+    after the sweep.
+    """
 
-    def __init__(self, blocks: list[np.ndarray], g: np.ndarray, y2: float):
-        self.blocks = [np.asfortranarray(b, float) for b in blocks]
+    def __init__(self, blocks: list[np.ndarray], g: np.ndarray, y2: float, how: list[str] | None = None):
+        self.how = how or ["dense"] * len(blocks)
         self.at = np.concatenate([[0], np.cumsum([len(b) for b in blocks])])
         self.of = np.repeat(np.arange(len(blocks)), np.diff(self.at))
         self.g, self.y2 = np.asarray(g, float), float(y2)
-        self.diag = np.concatenate([np.diag(b) for b in self.blocks]) if blocks else np.empty(0)
-
-    def reset(self, t):
-        self.q = self.g - self.product(t)
+        self.diag = np.concatenate([np.diag(b) for b in blocks]) if blocks else np.empty(0)
+        self.blocks, self.streaming = [], "lower" in self.how
+        for b, kind in zip(blocks, self.how, strict=True):
+            if kind == "dense":
+                self.blocks.append(np.asfortranarray(b, float))
+            else:
+                i, j = np.nonzero(b if kind == "sparse" else np.tril(b, -1))
+                self.blocks.append(Columns(i, j, np.asarray(b)[i, j], len(b)))
 
     def move(self, j, d):
         b = self.of[j]
         a, z = self.at[b], self.at[b + 1]
-        self.q[a:z] -= self.blocks[b][:, j - a] * d
+        if self.how[b] == "dense":
+            self.q[a:z] -= self.blocks[b][:, j - a] * d
+        else:
+            r, v = self.blocks[b].column(j - a)
+            self.q[a + r] -= v * d
+            if self.how[b] == "lower":
+                self.q[j] -= self.diag[j] * d
 
     def product(self, t):
-        return np.concatenate([m @ t[a:z] for m, a, z in zip(self.blocks, self.at[:-1], self.at[1:], strict=True)]) if self.blocks else t * 0
+        out = np.empty(len(t))
+        for m, kind, a, z in zip(self.blocks, self.how, self.at[:-1], self.at[1:], strict=True):
+            x = t[a:z]
+            out[a:z] = m @ x if kind == "dense" else m.product(x)
+            if kind == "lower":
+                out[a:z] += np.bincount(m.cols, m.values * x[m.rows], z - a) + self.diag[a:z] * x
+        return out
+
+    def part(self, idx):
+        """The matrix of some predictors, block by block."""
+        out, idx = np.zeros((len(idx), len(idx))), np.asarray(idx, np.int64)
+        for b in np.unique(self.of[idx]).tolist():
+            here = np.flatnonzero(self.of[idx] == b)
+            unit = np.zeros(self.at[b + 1] - self.at[b])
+            local, m = idx[here] - self.at[b], self.blocks[b]
+            if self.how[b] == "dense":
+                out[np.ix_(here, here)] = m[np.ix_(local, local)]
+                continue
+            for k, j in zip(here.tolist(), local.tolist(), strict=True):
+                unit[:] = 0
+                r, v = m.column(j)
+                unit[r] = v
+                if self.how[b] == "lower":
+                    unit[j] = self.diag[idx[k]]
+                out[here, k] = unit[local]
+            if self.how[b] == "lower":
+                mine = out[np.ix_(here, here)]
+                out[np.ix_(here, here)] = np.where(mine != 0, mine, mine.T)
+        return out
 
 
 class Sparse(Dense):
@@ -108,34 +179,26 @@ class Correlation(Dense):
     def __init__(self, blocks: list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]], s: np.ndarray, g: np.ndarray, y2: float, shrink: float = 0.0):
         self.s, self.g, self.y2, self.keep = np.asarray(s, float), np.asarray(g, float), float(y2), 1.0 - shrink
         self.diag = self.s**2
-        self.cols, at = [], 0
+        rows, cols, vals, at = [], [], [], 0
         for size, lower in blocks:
-            rows: list[list] = [[] for _ in range(size)]
-            vals: list[list] = [[] for _ in range(size)]
-            for j, (r, v) in enumerate(lower):
-                rows[j].append(r)
-                vals[j].append(v)
-                for i, x in zip(r.tolist(), v.tolist(), strict=True):
-                    rows[i].append(np.array([j]))
-                    vals[i].append(np.array([x]))
-            for r, v in zip(rows, vals, strict=True):
-                self.cols.append((np.concatenate([np.empty(0, np.int64), *r]).astype(np.int64) + at, np.concatenate([np.empty(0), *v])))
+            n = [len(r) for r, _ in lower]
+            rows.append(np.concatenate([np.empty(0, np.int64), *(r for r, _ in lower)]).astype(np.int64) + at)
+            cols.append(np.repeat(np.arange(at, at + size), n))
+            vals += [v for _, v in lower]
             at += size
-
-    def reset(self, t):
-        self.q = self.g - self.product(t)
+        i, j, v = (np.concatenate([np.empty(0), *x]) for x in (rows, cols, vals))
+        i, j = i.astype(np.int64), j.astype(np.int64)
+        # both triangles, sorted by column once
+        self.cells = Columns(np.concatenate([j, i]), np.concatenate([i, j]), np.concatenate([v, v]), at)
 
     def move(self, j, d):
-        r, v = self.cols[j]
+        r, v = self.cells.column(j)
         self.q[r] -= self.s[r] * v * (self.keep * self.s[j] * d)
         self.q[j] -= self.diag[j] * d
 
     def product(self, t):
-        u, out = self.s * t, np.zeros(len(self.s))
-        for j in np.flatnonzero(u):
-            r, v = self.cols[j]
-            out[r] += v * u[j]
-        return self.s * (self.keep * out + u)
+        u = self.s * t
+        return self.s * (self.keep * self.cells.product(u) + u)
 
 
 class LowRank(Dense):

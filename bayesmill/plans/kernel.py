@@ -89,14 +89,15 @@ def chain(p: Problem, c: Controls, rng: np.random.Generator, noise: Callable[[in
     sse = be.y2
     kept = c.kept()
     block_of, diag = p.block_of.tolist(), be.diag.tolist()
+    joint = [b for b, x in enumerate(blocks) if c.joint and x.model in ("Normal", "Fixed", "GlobalLocal")]
+    grams = {b: be.part(members[b]) for b in joint}
     for it in range(1, c.iterations + 1):
         if noise is None:
             normals = rng.standard_normal(k)
         else:
             normals = [noise(it, j) for j in range(k)]
-        joint = [b for b, x in enumerate(blocks) if c.joint and x.model in ("Normal", "Fixed", "GlobalLocal")]
         for b in joint:
-            _joint_draw(be, theta, members[b], _variances(blocks[b], states[b], len(members[b])), sigma2, normals)
+            _joint_draw(be, grams[b], theta, members[b], _variances(blocks[b], states[b], len(members[b])), sigma2, normals)
         if joint:
             be.reset(theta)
             sse = be.residual(theta)
@@ -122,6 +123,8 @@ def chain(p: Problem, c: Controls, rng: np.random.Generator, noise: Callable[[in
                 sse += -2 * (new - old) * t + (new * new - old * old) * d
                 be.move(j, new - old)
                 theta[j] = new
+        if be.streaming:
+            be.reset(theta)
         if it % REFRESH == 0:
             be.reset(theta)
             sse = be.residual(theta)
@@ -142,23 +145,28 @@ def _variances(blk: Block, st: State, p: int):
     return np.full(p, st.var) if blk.model == "Normal" else np.maximum(st.tau * st.psi, TINY)
 
 
-def _joint_draw(be, theta, idx, var, sigma2, normals):
-    """All of a block's coefficients at once, given the others."""
-    unit = np.zeros(len(theta))
-    gram = np.empty((len(idx), len(idx)))
-    for a, j in enumerate(idx):
-        unit[j] = 1
-        gram[:, a] = be.product(unit)[idx]
-        unit[j] = 0
-    rest = theta.copy()
-    rest[idx] = 0
-    t = be.g[idx] - be.product(rest)[idx]
+def _joint_draw(be, gram, theta, idx, var, sigma2, normals):
+    """All of a block's coefficients at once, given the others; ``gram`` is the block's own matrix."""
+    t = be.g[idx] - be.product(theta)[idx] + gram @ theta[idx]
     a = gram / sigma2
     if var is not None:
         a[np.diag_indices_from(a)] += 1 / var
     low = np.linalg.cholesky(a)
-    mean = np.linalg.solve(low.T, np.linalg.solve(low, t / sigma2))
-    theta[idx] = mean + np.linalg.solve(low.T, np.asarray(normals)[idx])
+    # solves with the one triangular factor
+    theta[idx] = solve_triangular(low, solve_triangular(low, t / sigma2) + np.asarray(normals)[idx], transposed=True)
+
+
+def solve_triangular(low: np.ndarray, b: np.ndarray, transposed: bool = False) -> np.ndarray:
+    """x of ``low x = b``, or of ``low' x = b``, by blocks of rows."""
+    n, x, step = len(b), np.array(b, float), 64
+    starts = range(0, n, step)
+    for i in reversed(starts) if transposed else starts:
+        j = min(i + step, n)
+        if transposed:
+            x[i:j] = np.linalg.solve(low[i:j, i:j].T, x[i:j] - low[j:, i:j].T @ x[j:])
+        else:
+            x[i:j] = np.linalg.solve(low[i:j, i:j], x[i:j] - low[i:j, :i] @ x[:i])
+    return x
 
 
 def _multi_draw(rng, blk: Block, st: State, d, t, sigma2, z):
