@@ -146,7 +146,7 @@ def fit(df: DataFrame, y: str, blocks: Mapping | Sequence, noise=None, **kw) ->
     return _fit_centred(df.sparkSession, s, parsed, block_of, np.arange(len(names)), s.n - 1, s.n - 1, controls, residual, ref, noise)
 
 
-def fit_array(df: DataFrame, y: str, x: str, blocks: Mapping | Sequence, **kw) -> Fit:
+def fit_array(df: DataFrame, y: str, x: str, blocks: Mapping | Sequence, noise=None, **kw) -> Fit:
     """Fit rows whose predictors are one array column; blocks name them by place from 0, or as x1, x2 ..."""
     controls = _controls(kw)
     residual, ref = _residual_args(kw)
@@ -156,7 +156,7 @@ def fit_array(df: DataFrame, y: str, x: str, blocks: Mapping | Sequence, **kw) -
     if bad := [s.names[j] for j in np.flatnonzero(np.diag(s.gram) <= 100 * G.EPS * np.maximum(1, s.n * s.x_means**2))]:
         raise DataError(f"predictors {bad} are constant")
     order, block_of = _indices(parsed, s.names)
-    return _fit_centred(df.sparkSession, s, parsed, block_of, order, s.n - 1, s.n - 1, controls, residual, ref)
+    return _fit_centred(df.sparkSession, s, parsed, block_of, order, s.n - 1, s.n - 1, controls, residual, ref, noise)
 
 
 def _fit_centred(spark, s: G.SuffStats, parsed, block_of, order, df, divisor, controls, residual, ref, noise=None, gram_block=None, info=None) -> Fit:
@@ -193,7 +193,7 @@ def _indices(parsed: list[Block], names: Sequence[str]) -> tuple[np.ndarray, np.
     return np.array(order, np.int64), np.array(block_of, np.int64)
 
 
-def fit_ss(spark: SparkSession, n: int, xtx, xty, blocks: Mapping | Sequence, yty: float | None = None, x_means=None, y_mean: float | None = None, names: Sequence[str] | None = None, likelihood: int | None = None, psd: bool = False, storage: str = "auto", storage_limit: int = 1 << 30, **kw) -> Fit:
+def fit_ss(spark: SparkSession, n: int, xtx, xty, blocks: Mapping | Sequence, yty: float | None = None, x_means=None, y_mean: float | None = None, names: Sequence[str] | None = None, likelihood: int | None = None, psd: bool = False, storage: str = "auto", storage_limit: int = 1 << 30, noise=None, **kw) -> Fit:
     """Fit cross-products: one matrix, or a list or mapping of diagonal blocks whose order is the predictors'.
 
     With means they are centred first; blocks that means couple are one dense
@@ -214,7 +214,7 @@ def fit_ss(spark: SparkSession, n: int, xtx, xty, blocks: Mapping | Sequence, yt
         warnings.warn("cross-products take more memory than the limit", stacklevel=2)
     how = [k.kind for k in kept]
     if (len(listed) > 1 or how != ["dense"]) and not (intercept and np.any(np.asarray(x_means) != 0)):
-        return _fit_blocks(spark, n, listed, how, xty, yty, x_means, y_mean, names, parsed, likelihood, psd, controls, residual, ref)
+        return _fit_blocks(spark, n, listed, how, xty, yty, x_means, y_mean, names, parsed, likelihood, psd, controls, residual, ref, noise)
     sizes = [len(b) for b in listed]
     whole = np.zeros((sum(sizes), sum(sizes)))
     for b, at in zip(listed, np.cumsum([0, *sizes[:-1]]), strict=True):
@@ -224,10 +224,10 @@ def fit_ss(spark: SparkSession, n: int, xtx, xty, blocks: Mapping | Sequence, yt
     df = likelihood_df(likelihood, s.n, s.intercept)
     if psd:
         G.check_psd(s.gram, s.xty, s.yty)
-    return _fit_centred(spark, s, parsed, block_of, order, df, df, controls, residual, ref, info={"intercept": s.intercept})
+    return _fit_centred(spark, s, parsed, block_of, order, df, df, controls, residual, ref, noise, info={"intercept": s.intercept})
 
 
-def _fit_blocks(spark, n, listed, how, xty, yty, x_means, y_mean, names, parsed, likelihood, psd, controls, residual, ref) -> Fit:
+def _fit_blocks(spark, n, listed, how, xty, yty, x_means, y_mean, names, parsed, likelihood, psd, controls, residual, ref, noise) -> Fit:
     """Diagonal blocks that no means couple: they stay blocks, and predictors keep the blocks' order."""
     at = np.concatenate([[0], np.cumsum([len(b) for b in listed])])
     xty = np.asarray(xty, float).reshape(-1)
@@ -263,10 +263,10 @@ def _fit_blocks(spark, n, listed, how, xty, yty, x_means, y_mean, names, parsed,
         mine = [b for b, a in enumerate(at[:-1]) if part[a] == c]
         be = Blocks([grams[b] for b in mine], (xty / scale)[idx], y2 or 0.0, [how[b] for b in mine])
         problems.append(Problem(be, [ready[b] for b in own], np.array([own.index(b) for b in block_of[idx].tolist()]), prior, df, idx, scale[idx], own, len(ready), np.zeros(len(idx)), c == 0))
-    return Fit(spark, ready, names, block_of.tolist(), prior, controls, n, df, problems, y_mean, {"scale": scale, "intercept": intercept, "storage": how})
+    return Fit(spark, ready, names, block_of.tolist(), prior, controls, n, df, problems, y_mean, {"scale": scale, "intercept": intercept, "storage": how}, noise)
 
 
-def fit_sparse(spark: SparkSession, n: int, triplets: DataFrame, predictors: DataFrame, blocks: Mapping | Sequence, yty: float | None = None, y_mean: float | None = None, likelihood: int | None = None, **kw) -> Fit:
+def fit_sparse(spark: SparkSession, n: int, triplets: DataFrame, predictors: DataFrame, blocks: Mapping | Sequence, yty: float | None = None, y_mean: float | None = None, likelihood: int | None = None, noise=None, **kw) -> Fit:
     """Fit sparse cross-products given as tables: ``triplets(i, j, v)`` of one triangle, ``predictors(idx, name, xty[, x_mean])``.
 
     Means are centred out by an implicit rank-one term, so the matrix stays sparse.
@@ -307,10 +307,10 @@ def fit_sparse(spark: SparkSession, n: int, triplets: DataFrame, predictors: Dat
     flat = np.flatnonzero([not ready[b].penalized for b in block_of])
     G.check_fixed_rank(be.part(flat))
     problem = Problem(be, ready, block_of, prior, df, np.arange(p), scale, list(range(len(ready))), len(ready), means[order] / scale)
-    return Fit(spark, ready, [names[k] for k in order], block_of.tolist(), prior, controls, n, df, [problem], y_mean, {"intercept": intercept})
+    return Fit(spark, ready, [names[k] for k in order], block_of.tolist(), prior, controls, n, df, [problem], y_mean, {"intercept": intercept}, noise)
 
 
-def fit_eigen(spark: SparkSession, n: int, vectors, values, prop_var, xty, blocks: Mapping | Sequence, yty: float | None = None, x_means=None, y_mean: float | None = None, names: Sequence[str] | None = None, likelihood: int | None = None, check: bool = False, **kw) -> Fit:
+def fit_eigen(spark: SparkSession, n: int, vectors, values, prop_var, xty, blocks: Mapping | Sequence, yty: float | None = None, x_means=None, y_mean: float | None = None, names: Sequence[str] | None = None, likelihood: int | None = None, check: bool = False, noise=None, **kw) -> Fit:
     """Fit eigenpairs of centred cross-products, one set or a list of sets for diagonal blocks."""
     from .operators import eigen as E
 
@@ -362,7 +362,7 @@ def fit_eigen(spark: SparkSession, n: int, vectors, values, prop_var, xty, block
         be = LowRank([factors[k] for k in mine], [projected[k].target for k in mine], offset)
         problems.append(Problem(be, [ready[b] for b in own], np.array([own.index(b) for b in place[idx].tolist()]), prior, df, idx, scale[idx], own, len(ready), (means / scale)[idx], c == 0))
     info = {"prop_var": E.overall_share([(float((u**2 @ lam).sum()), prop) for u, lam, prop in sets])}
-    return Fit(spark, ready, names, place.tolist(), prior, controls, n, df, problems, y_mean, info)
+    return Fit(spark, ready, names, place.tolist(), prior, controls, n, df, problems, y_mean, info, noise)
 
 
 __all__ = ["Fit", "fit", "fit_array", "fit_eigen", "fit_sparse", "fit_ss"]

@@ -22,7 +22,7 @@ from .plans.spec import SpecError, number, parse_blocks, whole
 from .sources.quality import DataError, check_gwas
 
 
-def fit_gwas(gwas: DataFrame, ld: L.LD, blocks: Mapping | Sequence, scale: str = "auto", residual_df_gwas: int | None = None, ld_shrink: float = 0.0, psd: bool = False, **kw) -> Fit:
+def fit_gwas(gwas: DataFrame, ld: L.LD, blocks: Mapping | Sequence, scale: str = "auto", residual_df_gwas: int | None = None, ld_shrink: float = 0.0, psd: bool = False, noise=None, **kw) -> Fit:
     """Harmonise, restrict the LD object to what matched, and fit.
 
     Effects are oriented to the LD object's first allele for the fit, and
@@ -89,7 +89,7 @@ def fit_gwas(gwas: DataFrame, ld: L.LD, blocks: Mapping | Sequence, scale: str =
         own = sorted(set(d["block_of"][idx].tolist()))
         be = Correlation([r[3:] for r in rows], d["s"][idx], d["g"][idx], d["y2"], d["shrink"])
         problem = Problem(be, [d["blocks"][b] for b in own], np.array([own.index(b) for b in d["block_of"][idx].tolist()]), d["prior"], d["df"], idx, d["scale"][idx], own, len(d["blocks"]), np.zeros(len(idx)), c == 0)
-        yield from (tasks.running_rows if running else tasks.draw_rows)(problem, d["controls"], number_, c)
+        yield from (tasks.running_rows if running else tasks.draw_rows)(problem, d["controls"], number_, c, noise)
 
     # few rows: a chain's number beside each block of LD
     made = ranked.join(F.broadcast(chains)).groupBy("chain", "part").applyInArrow(_batches(sample), tasks.RUNNING if running else tasks.DRAWS)

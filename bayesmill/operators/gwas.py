@@ -5,13 +5,16 @@ Harmonisation is one full outer join by id; every row gets exactly one status.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.spec import SpecError
 from ..sources.quality import DataError
+from .gram import ROOT_EPS
 from .ld import DIAGONAL_SLACK, check_correlations
 
 KEPT = ("retained+1", "retained-1")
@@ -94,22 +97,23 @@ def convert(rows: DataFrame, correlations: DataFrame, n: int, **kw) -> tuple[Dat
     return g, p
 
 
-def filter_indices(given: list[str], kept: DataFrame) -> list[str]:
-    """The ids of a block that harmonisation kept, in the block's order (a semi-join)."""
-    spark = kept.sparkSession
-    asked = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "k int, ID string")
-    return [r["ID"] for r in asked.join(kept.select("ID"), "ID", "left_semi").orderBy("k").collect()]
-
-
-@dataclass
-class Aligned:
-    """Matched variants in LD order on the driver: a few numbers for each."""
-
-    ids: list[str]
-    beta: list[float]
-    se: list[float]
-    sign: list[float]
-    n: int
+def convert_matrices(rows: DataFrame, matrices: Mapping[str, np.ndarray] | Sequence[np.ndarray], n: int, **kw) -> tuple[DataFrame, DataFrame]:
+    """As :func:`convert`, from LD matrices whose order is that of ``rows(idx, ...)``; those of a list are named block1, block2 ..."""
+    named = dict(matrices) if isinstance(matrices, Mapping) else {f"block{k + 1}": m for k, m in enumerate(matrices)}
+    cells, at = [], 0
+    for name, m in named.items():
+        m = np.asarray(m, float)
+        if m.ndim != 2 or m.shape[0] != m.shape[1] or not len(m):
+            raise DataError(f"LD matrix {name} must be square")
+        if not np.isfinite(m).all() or abs(m - m.T).max() > ROOT_EPS:
+            raise DataError(f"LD matrix {name} must be finite and symmetric")
+        i, j = np.nonzero(np.triu(m, 1) + np.eye(len(m)))
+        cells.append(pa.table({"block": [name] * len(i), "i": i + at, "j": j + at, "v": m[i, j]}))
+        at += len(m)
+    count = rows.count()
+    if at != count:
+        raise DataError(f"the LD matrices hold {at} variants and the effects {count}")
+    return convert(rows, rows.sparkSession.createDataFrame(pa.concat_tables(cells)), n, **kw)
 
 
 def common_n(rows: DataFrame) -> int:

@@ -14,9 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from ..plans.planner import compression
 from ..plans.spec import SpecError, number, whole
 from ..sources.quality import DataError, check_variants, duplicated, some
@@ -87,6 +90,15 @@ def check_block(block) -> None:
         raise DataError(f"block {block['name']} is damaged")
 
 
+def _steps(ptr: np.ndarray, limit: int = 1 << 18):
+    """Ranges of columns of at most ``limit`` entries, or one larger."""
+    a, p = 0, len(ptr) - 1
+    while a < p:
+        z = min(p, max(a + 1, int(np.searchsorted(ptr, ptr[a] + limit, "right")) - 1))
+        yield a, z
+        a = z
+
+
 # -- blocks by gaps and islands ---------------------------------------------
 
 def contiguous_blocks(variants: DataFrame, edges: DataFrame) -> DataFrame:
@@ -153,11 +165,19 @@ class LD:
 
     def correlations(self) -> DataFrame:
         """Stored correlations as (block, i, j, v), i > j, places in the block."""
-        each = self.blocks.select(F.col("name").alias("block"), "type", "data", "indptr", "row_index", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("j"))
-        each = each.select("block", "type", "j", F.col("indptr")[F.col("j")].alias("a"), F.slice("data", F.col("indptr")[F.col("j")] + 1, F.col("indptr")[F.col("j") + 1] - F.col("indptr")[F.col("j")]).alias("v"), "row_index")
-        cells = each.select("block", "type", "j", "a", "row_index", F.posexplode("v").alias("k", "v"))
-        row = F.when(F.col("type") == 1, F.col("row_index")[F.col("a") + F.col("k")]).otherwise(F.col("j") + 1 + F.col("k"))
-        return cells.select("block", row.alias("i"), "j", "v").where("v <> 0")
+        def unpack(batches):
+            for b in batches:
+                for name, kind, data, indptr, rows in zip(*b.columns, strict=True):
+                    v, ptr = (x.values.to_numpy(zero_copy_only=False) for x in (data, indptr))
+                    for a, z in _steps(ptr):  # whole columns, a bounded number of entries at a time
+                        n = np.diff(ptr[a : z + 1])
+                        j = np.repeat(np.arange(a, z, dtype=np.int32), n)
+                        cut = slice(ptr[a], ptr[z])
+                        i = rows.values.to_numpy(zero_copy_only=False)[cut] if kind.as_py() else (j + 1 + np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+                        keep = v[cut] != 0
+                        yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * int(keep.sum()), pa.string()), pa.array(i[keep], pa.int32()), pa.array(j[keep], pa.int32()), pa.array(v[cut][keep])], ["block", "i", "j", "v"])
+
+        return self.blocks.select("name", "type", "data", "indptr", "row_index").mapInArrow(unpack, "block string, i int, j int, v double")
 
     def write(self, path: str) -> None:
         """A folder with the tables and a manifest; ``path`` may be in any store that Spark writes."""
@@ -241,27 +261,30 @@ def _assemble(spark, variants: DataFrame, pairs: DataFrame) -> LD:
     where = placed.select("parent", F.col("pos_in_ld").alias("j"), "block", "place")
     start = placed.groupBy("block", "parent").agg(F.min("pos_in_ld").alias("start"), F.count("*").cast("int").alias("size"))
     local = pairs.join(where, ["parent", "j"]).join(start, ["block", "parent"]).select("block", (F.col("i") - F.col("start")).cast("int").alias("i"), F.col("place").alias("j"), "v")
-    packed = local.groupBy("block").agg(F.collect_list(F.struct("i", "j", "v")).alias("cells"))
-    rows = start.join(packed, "block", "left").select("block", "parent", "size", *[F.coalesce(F.col(f"cells.{k}"), F.array().cast(f"array<{t}>")).alias(k) for k, t in (("i", "int"), ("j", "int"), ("v", "double"))])
+    # blocks without correlations have a cell of nothing
+    cells = start.select("block", "parent", "size").join(local, "block", "left")
 
-    def pack(batches):
-        for pdf in batches:
-            out = [{"name": r.block, "parent": r.parent, **compress_cells(int(r.size), r.i, r.j, r.v)} for r in pdf.itertuples(index=False)]
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in BLOCK_SCHEMA.split(", ")])
+    def pack(table: pa.Table) -> pa.Table:
+        name, parent, size = (table.column(c)[0].as_py() for c in ("block", "parent", "size"))
+        real = table.filter(pc.is_valid(table.column("v")))
+        block = compress_cells(size, *(real.column(c).to_numpy() for c in ("i", "j", "v")))
+        return pa.table({"name": [name], "parent": [parent], "size": pa.array([size], pa.int32()), "type": pa.array([block["type"]], pa.int32()), "data": [block["data"]], "indptr": pa.array([block["indptr"]], pa.list_(pa.int32())), "row_index": pa.array([block["row_index"]], pa.list_(pa.int32()))})
 
-    return LD(spark, placed, rows.mapInPandas(pack, BLOCK_SCHEMA).persist())
+    return LD(spark, placed, cells.groupBy("block").applyInArrow(pack, BLOCK_SCHEMA).persist())
 
 
 def subset(ld: LD, kept: DataFrame) -> LD:
     """The object of the variants whose ID is in ``kept``; blocks are found again, as removals may split them."""
     v = ld.variants.join(kept.select("ID").distinct(), "ID", "left_semi")
+    if ld.report is not None:  # blocks of a repaired object keep the name of the one that was repaired
+        v = v.withColumn("source_block", F.col("source_block" if "source_block" in v.columns else "block"))
     new = v.withColumn("_new", (F.row_number().over(Window.partitionBy("parent").orderBy("pos_in_ld")) - 1).cast("int"))
     at = new.select("block", "place", F.col("_new").alias("n"), "parent")
     pairs = ld.correlations().join(at.select("block", F.col("place").alias("i"), F.col("n").alias("ni"), "parent"), ["block", "i"]).join(at.select("block", F.col("place").alias("j"), F.col("n").alias("nj")), ["block", "j"])
     pairs = pairs.select("parent", F.col("ni").alias("i"), F.col("nj").alias("j"), "v")
     out = _assemble(ld.spark, new.withColumn("pos_in_ld", F.col("_new")).drop("_new", "block", "block_rank", "place"), pairs)
-    out.report = ld.report
-    return out
+    # a subset may be taken of a subset, and its tables are used several times each
+    return LD(ld.spark, cut(out.variants), cut(out.blocks), ld.report)
 
 
 def submatrix(ld: LD, ids: DataFrame) -> DataFrame:
@@ -272,10 +295,15 @@ def submatrix(ld: LD, ids: DataFrame) -> DataFrame:
 
 
 def report_map(fitted: LD) -> DataFrame:
-    """Fitted blocks and the repair of the block that each comes from, by parent and source block."""
+    """Fitted blocks (``fitted_block``, ``fitted_predictors``) and the repair of the block that each comes from.
+
+    A block that a subset has split has a row for each of its parts.
+    """
     if fitted.report is None:
         raise DataError("the LD object was not repaired")
-    return fitted.blocks.select(F.col("name").alias("fitted_block"), "parent").join(fitted.report, "parent")
+    source = "source_block" if "source_block" in fitted.variants.columns else "block"
+    part = fitted.variants.groupBy(F.col("block").alias("fitted_block"), F.col(source).alias("source_block")).agg(F.count("*").cast("int").alias("fitted_predictors"))
+    return part.join(fitted.report, "source_block")
 
 
 # -- diagnosis and repair ---------------------------------------------------

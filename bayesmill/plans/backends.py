@@ -10,6 +10,7 @@ column reaches.
     move(j, d)      account for t[j] += d
     part(idx)       the matrix of some predictors
     quadratic(t)    t' G t
+    quadratics(...) the same of groups of predictors
     product(t)      G t
     residual(t)     sum of squares (y2 - 2 t'g + t'G t, with any offset)
 """
@@ -46,6 +47,10 @@ class Dense:
     def residual(self, t):
         return self.y2 - 2 * float(t @ self.g) + self.quadratic(t)
 
+    def quadratics(self, t, groups, n):
+        """t_b' G t_b of each of ``n`` groups of predictors."""
+        return [self.quadratic(np.where(groups == b, t, 0.0)) for b in range(n)]
+
     def part(self, idx):
         """The matrix of some predictors."""
         out, unit = np.empty((len(idx), len(idx))), np.zeros(len(self.diag))
@@ -200,6 +205,16 @@ class Correlation(Dense):
         u = self.s * t
         return self.s * (self.keep * self.cells.product(u) + u)
 
+    def quadratics(self, t, groups, n):
+        """All groups in one pass over the correlations, whatever their number."""
+        if getattr(self, "_groups", None) is not groups:
+            c = self.cells
+            inside = np.flatnonzero(groups[c.rows] == groups[c.cols])
+            self._groups, self._inside = groups, (c.rows[inside], c.cols[inside], c.values[inside], groups[c.rows[inside]])
+        i, j, v, of = self._inside
+        u = self.s * t
+        return (self.keep * np.bincount(of, v * u[i] * u[j], n) + np.bincount(groups, u * u, n)).tolist()
+
 
 class LowRank(Dense):
     """G_b = Q_b' Q_b in blocks, each with a residual w_b - Q_b t_b of its own; ``offset`` is what no Q explains."""

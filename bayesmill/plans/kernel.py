@@ -230,10 +230,9 @@ def _draw(p: Problem, c: Controls, rng, number, theta, included, component, stat
         g = p.backend.product(theta)
         total = float(theta @ g)
         scale = max(abs(total), p.backend.y2)
-        for i, m in zip(p.block_index, members, strict=True):
-            part = np.zeros(len(theta))
-            part[m] = theta[m]
-            own[i] = guard(p.backend.quadratic(part) if len(p.block_index) > 1 else total, scale, "a block's signal")
+        each = p.backend.quadratics(theta, p.block_of, len(members)) if len(members) > 1 else [total]
+        for i, m, x in zip(p.block_index, members, each, strict=True):
+            own[i] = guard(x, scale, "a block's signal")
             along[i] = float(theta[m] @ g[m])
         total = guard(total, scale, "the signal")
     local = np.full(len(theta), np.nan)

@@ -228,10 +228,14 @@ def gram_blocks_groupby(spark, sf):
     return table(spark, sf, "part").groupBy((F.col("p_size") % 22).cast("int").alias("gram_block"), F.col("p_brand").alias("prior_block")).agg(F.count("*").alias("predictors"))
 
 
-@query("SELECT CAST(0 AS int) AS idx WHERE false")
+@query("SELECT CAST(3 AS int) AS idx UNION ALL SELECT CAST(4 AS int)")
 def constant_gram(spark, sf):
-    p, n, _ = _predictors(spark, sf)
-    return G.constant_predictors(G.raw_triplets(table(spark, sf, "lineitem"), X), p.drop("xty"), n)
+    """Three columns that vary and two that do not, one of them far from zero."""
+    df = table(spark, sf, "lineitem").select(*X, F.lit(1e6).alias("far"), F.lit(0.1).alias("near"))
+    names = [*X, "far", "near"]
+    means = df.agg(F.count("*").alias("n"), *[F.avg(F.col(c).cast("double")).alias(c) for c in names]).first()
+    p = spark.createDataFrame([(i, float(means[c])) for i, c in enumerate(names)], "idx int, x_mean double")
+    return G.constant_predictors(G.raw_triplets(df, names), p, means["n"])
 
 
 @query("SELECT 'all' AS block, 0.0 AS difference")
@@ -427,6 +431,51 @@ def ld_object(spark, sf):
     return ld.block_table().join(n, "block", "left").select("parent", "predictors", F.coalesce("n", F.lit(0)).alias("correlations"))
 
 
+# Objects of two variants a supplier, whose eigenvalues are 1 - |r| and 1 + |r|
+_PAIRS = "(SELECT 'b' || CAST(s_suppkey AS string) AS block, (s_nationkey - 12.5) / 12.5 AS r FROM supplier)"
+
+
+def _pairs(spark, sf):
+    t = table(spark, sf, "supplier").select(F.concat(F.lit("b"), F.col("s_suppkey").cast("string")).alias("parent"), "s_suppkey", ((F.col("s_nationkey") - 12.5) / 12.5).alias("v"))
+    side = lambda k: t.select(F.lit("1").alias("CHR"), F.concat("parent", F.lit(f"_{k}")).alias("ID"), (F.col("s_suppkey") * 2 + k + 1).cast("long").alias("POS"), F.lit("A").alias("A1"), F.lit("C").alias("A0"), "parent", F.lit(k).alias("pos_in_ld"))
+    return L.build(side(0).unionByName(side(1)), t.select("parent", F.lit(1).alias("i"), F.lit(0).alias("j"), "v"))
+
+
+@query(f"""SELECT block, CAST(2 AS int) AS predictors, CASE WHEN abs(r) = 1 THEN 'positive_semidefinite' ELSE 'positive_definite' END AS status, round(1 - abs(r), 8) AS minimum_eigenvalue, round(1 + abs(r), 8) AS maximum_eigenvalue,
+abs(r) < 1 AS positive_definite FROM {_PAIRS} p""")
+def ld_diagnose_pairs(spark, sf):
+    d = L.diagnose(_pairs(spark, sf))
+    return d.select("block", "predictors", "status", F.abs(F.round("minimum_eigenvalue", 8)).alias("minimum_eigenvalue"), F.round("maximum_eigenvalue", 8).alias("maximum_eigenvalue"), "positive_definite")
+
+
+@query(f"SELECT block, round(0.9 * r, 8) AS v, round(1 - abs(r), 8) AS low, round(1 - 0.9 * abs(r), 8) AS high FROM {_PAIRS} p")
+def ld_regularize_pairs(spark, sf):
+    out = L.regularize(_pairs(spark, sf), "shrink", 0.1)
+    c = out.correlations().select("block", F.round("v", 8).alias("v"))
+    return c.join(out.report.select("block", F.abs(F.round("minimum_eigenvalue_before", 8)).alias("low"), F.round("minimum_eigenvalue_after", 8).alias("high")), "block")
+
+
+@query(f"SELECT block, CAST(2 AS int) AS p, round(1 + abs(r), 8) AS largest, round(1 - abs(r), 8) AS smallest FROM {_PAIRS} p")
+def eigen_pairs(spark, sf):
+    ld = _pairs(spark, sf)
+    diagonal = ld.variants.select("block", F.col("place").alias("i"), F.col("place").alias("j"), F.lit(1.0).alias("v"))
+    e = E.decompose_blocks(ld.correlations().unionByName(diagonal))
+    return e.select("block", "p", F.round(F.array_max("values"), 8).alias("largest"), F.abs(F.round(F.array_min("values"), 8)).alias("smallest"))
+
+
+@query("""SELECT n || '.' || CAST(k AS string) AS fitted_block, n || '.' || CAST(k AS string) AS source_block, CAST(3 - k AS int) AS fitted_predictors, round(1 - 0.9 * abs(r), 8) AS after
+FROM (SELECT 'n' || CAST(n_nationkey AS string) AS n, (n_nationkey + 1) / 30.0 AS r FROM nation) x CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) y""")
+def ld_report_map(spark, sf):
+    """A parent of two blocks for each nation, repaired, and then without the last variant."""
+    t = table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("parent"), "n_nationkey", ((F.col("n_nationkey") + 1) / 30.0).alias("v"))
+    v = t.select(F.lit("1").alias("CHR"), "parent", "n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos_in_ld"))
+    v = v.select("CHR", F.concat("parent", F.lit("_"), F.col("pos_in_ld").cast("string")).alias("ID"), (F.col("n_nationkey") * 4 + F.col("pos_in_ld") + 1).cast("long").alias("POS"), F.lit("A").alias("A1"), F.lit("C").alias("A0"), "parent", "pos_in_ld")
+    e = t.select("parent", F.explode(F.array(F.lit(0), F.lit(2))).alias("j"), "v").select("parent", (F.col("j") + 1).alias("i"), "j", "v")
+    ld = L.regularize(L.build(v, e), "shrink", 0.1)
+    m = L.report_map(L.subset(ld, ld.variants.where("pos_in_ld < 3").select("ID")))
+    return m.select("fitted_block", "source_block", "fitted_predictors", F.round("minimum_eigenvalue_after", 8).alias("after"))
+
+
 @query()
 def ld_diagnose(spark, sf):
     return rounded(L.diagnose(_ld(spark, sf)), minimum_eigenvalue=8, maximum_eigenvalue=8)
@@ -662,8 +711,128 @@ def chain_fixed_injected(spark, sf):
     return _injected(spark, sf, {"model": "Fixed"})
 
 
+_KW = {"noise": lcg_noise, "residual_var": 4.0, "iterations": 300, "burnin": 100}
+_TWO = ("l_quantity", "l_tax")
+
+
+def _lines(spark, sf) -> DataFrame:
+    return table(spark, sf, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in _TWO], (F.col(Y).cast("double") / 1000).alias("y"))
+
+
+def _two(f) -> DataFrame:
+    return f.draws.select("draw", F.round(F.col("theta")[0], 7).alias("b_quantity"), F.round(F.col("theta")[1], 4).alias("b_tax"))
+
+
+def _normal(**more):
+    return {"model": "Normal", "var": 0.5, **more}
+
+
+@query()
+def chain_array_injected(spark, sf):
+    df = _lines(spark, sf).select("y", F.array(*_TWO).alias("x"))
+    return _two(fit_array(df, "y", "x", _normal(), **_KW))
+
+
+@query()
+def chain_ss_injected(spark, sf):
+    """From raw cross-products with means."""
+    s = G.from_observations(_lines(spark, sf), "y", list(_TWO))
+    raw = s.gram + s.n * np.outer(s.x_means, s.x_means)
+    return _two(fit_ss(spark, s.n, raw, s.xty + s.n * s.x_means * s.y_mean, _normal(), yty=s.yty + s.n * s.y_mean**2, x_means=s.x_means, y_mean=s.y_mean, **_KW))
+
+
+@query()
+def chain_sparse_injected(spark, sf):
+    """From triplets with an implicit centre."""
+    df = _lines(spark, sf)
+    r = df.agg(F.count("*").alias("n"), F.avg("y").alias("y"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(_TWO)], *[F.sum(F.col(c) * F.col("y")).alias(f"g{i}") for i, c in enumerate(_TWO)]).first()
+    p = spark.createDataFrame([(i, c, r[f"g{i}"], r[f"m{i}"]) for i, c in enumerate(_TWO)], "idx int, name string, xty double, x_mean double")
+    return _two(fit_sparse(spark, r["n"], G.raw_triplets(df, _TWO), p, _normal(), y_mean=r["y"], **_KW))
+
+
+@query()
+def chain_eigen_injected(spark, sf):
+    """From all eigenpairs."""
+    s = G.from_observations(_lines(spark, sf), "y", list(_TWO))
+    u, lam = E.decompose(s.gram)
+    return _two(fit_eigen(spark, s.n, u, lam, 1.0, s.xty, _normal(), **_KW))
+
+
+@query()
+def chain_joint_injected(spark, sf):
+    """All coefficients of a block at once: means and Cholesky factor of a block of two."""
+    f = fit(_lines(spark, sf), "y", _normal(columns=list(_TWO)), joint=True, **_KW)
+    return _two(f)
+
+
 ORACLE_SQL["chain_normal_injected"] = _INJECTED.replace("{prior}", "1 / 0.5")
 ORACLE_SQL["chain_fixed_injected"] = _INJECTED.replace("{prior}", "0.0")
+for _name in ("array", "ss", "sparse", "eigen"):
+    ORACLE_SQL[f"chain_{_name}_injected"] = ORACLE_SQL["chain_normal_injected"]
+#: A = G / 4 + 2 I = L L'; the draw is A^-1 g / 4 + L'^-1 z.
+ORACLE_SQL["chain_joint_injected"] = _INJECTED[: _INJECTED.index("c AS (SELECT 0")].replace("{prior}", "0.0").rstrip(",\n ") + """,
+l AS (SELECT sqrt(n / 4 + 2) AS a, r / 4 / sqrt(n / 4 + 2) AS b, sqrt(n / 4 + 2 - (r / 4) * (r / 4) / (n / 4 + 2)) AS c, (n / 4 + 2) * (n / 4 + 2) - r * r / 16 AS det FROM g)
+SELECT CAST(i - 101 AS int) AS draw, round((((n / 4 + 2) * gx / 4 - r / 4 * gt / 4) / det + z0 / a - b * z1 / (a * c)) / sx, 7) AS b_quantity, round((((n / 4 + 2) * gt / 4 - r / 4 * gx / 4) / det + z1 / c) / st, 4) AS b_tax
+FROM z CROSS JOIN g CROSS JOIN l WHERE i > 100"""
+
+
+_MOMENTS = f"WITH d AS ({_INJECTED.replace('{prior}', '1 / 0.5').replace('round(x / sx, 7)', 'x / sx').replace('round(t / st, 4)', 't / st')}) "
+
+
+def _running(spark, sf):
+    return fit(_lines(spark, sf), "y", _normal(columns=list(_TWO)), store="moments", **_KW)
+
+
+@query(_MOMENTS + "SELECT CAST(1 AS int) AS position, 'l_quantity' AS label, round(avg(b_quantity), 7) AS mean FROM d UNION ALL SELECT 2, 'l_tax', round(avg(b_tax), 4) FROM d")
+def moments_coef(spark, sf):
+    c = _running(spark, sf).coef().where("position > 0")
+    return c.select("position", "label", F.when(F.col("position") == 1, F.round("mean", 7)).otherwise(F.round("mean", 4)).alias("mean"))
+
+
+@query(_MOMENTS + "SELECT 'l_quantity' AS label, round(avg(b_quantity), 7) AS mean, round(stddev_samp(b_quantity), 8) AS sd FROM d UNION ALL SELECT 'l_tax', round(avg(b_tax), 4), round(stddev_samp(b_tax), 5) FROM d")
+def moments_summary(spark, sf):
+    c = _running(spark, sf).summary()["coefficients"]
+    small = F.col("label") == "l_quantity"
+    return c.select("label", F.when(small, F.round("mean", 7)).otherwise(F.round("mean", 4)).alias("mean"), F.when(small, F.round("sd", 8)).otherwise(F.round("sd", 5)).alias("sd"))
+
+
+@query(_MOMENTS + "SELECT l_orderkey, l_linenumber, round(l_quantity * q + l_tax * t, 4) AS fit FROM lineitem CROSS JOIN (SELECT avg(b_quantity) AS q, avg(b_tax) AS t FROM d) m")
+def moments_predict(spark, sf):
+    """Point predictions from moments, less the intercept, whose noise is not given."""
+    f = _running(spark, sf)
+    mu = f.coef().where("position = 0").first()["mean"]
+    new = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *_TWO)
+    return f.predict(new).select("l_orderkey", "l_linenumber", F.round(F.col("fit") - F.lit(mu), 4).alias("fit"))
+
+
+_GWAS = (
+    _INJECTED.replace("count(*) - 1 AS n FROM lineitem)", "var_samp(CAST(l_extendedprice AS double)) AS vy, count(*) - 1 AS n FROM lineitem),\nb AS (SELECT n, vxt / sqrt(vx * vt) AS rho, cx / vx AS bx, ct / vt AS bt, sqrt((n * vy - cx / vx * n * cx) / (n - 1) / (n * vx)) AS ex, sqrt((n * vy - ct / vt * n * ct) / (n - 1) / (n * vt)) AS et FROM m)")
+    .replace("n * vxt / sqrt(vx * vt) AS r, n * cx / sqrt(vx) / 1000 AS gx, n * ct / sqrt(vt) / 1000 AS gt, sqrt(vx) AS sx, sqrt(vt) AS st, 1 / (n / 4.0 + {prior}) AS v FROM m)",
+             "n * rho AS r, sqrt(n) * sqrt(n / (bx / ex * bx / ex + n - 1)) * bx / ex AS gx, sqrt(n) * sqrt(n / (bt / et * bt / et + n - 1)) * bt / et AS gt, CAST(1 AS double) AS sx, CAST(-1 AS double) AS st, 1 / (n / 4.0 + 1 / 0.5) AS v FROM b)")
+)
+
+
+@query()
+def chain_gwas_injected(spark, sf):
+    """Marginal effects and an LD object of two variants, the second with its alleles the other way round."""
+    import warnings
+
+    r = table(spark, sf, "lineitem").agg(
+        F.count("*").alias("n"), *[F.var_samp(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate((*_TWO, Y))],
+        *[F.covar_samp(F.col(c).cast("double"), F.col(Y).cast("double")).alias(f"c{i}") for i, c in enumerate(_TWO)], F.corr(*[F.col(c).cast("double") for c in _TWO]).alias("r"),
+    ).first()
+    n = r["n"]
+    beta = [r[f"c{i}"] / r[f"v{i}"] for i in range(2)]
+    se = [float(np.sqrt(((n - 1) * r["v2"] - beta[i] * (n - 1) * r[f"c{i}"]) / (n - 2) / ((n - 1) * r[f"v{i}"]))) for i in range(2)]
+    v = spark.createDataFrame([("1", "a", 1, "A", "C", "p", 0), ("1", "b", 2, "A", "G", "p", 1)], "CHR string, ID string, POS long, A1 string, A0 string, parent string, pos_in_ld int")
+    ld = L.build(v, spark.createDataFrame([("p", 1, 0, r["r"])], "parent string, i int, j int, v double"))
+    g = spark.createDataFrame([("1", "a", 1, "A", "C", n, beta[0], se[0]), ("1", "b", 2, "G", "A", n, -beta[1], se[1])], "CHR string, ID string, POS long, A1 string, A0 string, N long, BETA double, SE double")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return _two(fit_gwas(g, ld, _normal(), **_KW))
+
+
+ORACLE_SQL["chain_gwas_injected"] = _GWAS
 
 
 # -- fits -------------------------------------------------------------------

@@ -290,3 +290,70 @@ def test_engine_info():
     from bayesmill.operators.summary import engine_info
 
     assert set(engine_info()) == {"pyspark", "numpy", "blas"}
+
+
+def test_moments_say_what_draws_say(spark, data):
+    """All quantities of a fit that keeps moments against the draws of the same chains, for rows, cross-products in parts, and new data."""
+    df, x, y = data
+    blocks = {"a": {"model": "Normal", "columns": ["signal"]}, "b": {"model": "SpikeMultiSlab", "columns": ["noise1", "noise2"]}, "c": {"model": "GlobalLocal", "columns": ["nuisance"]}}
+    kw = {"residual_shape": 3.0, "residual_scale": 1.0, "pve": True, "chains": 2, **RUN}
+    f, m = fit(df, "y", blocks, **kw), fit(df, "y", blocks, store="moments", **kw)
+    close = lambda a, b: [(r[0], *(pytest.approx(v, rel=1e-9, abs=1e-9) for v in r[1:])) for r in a] == b
+    rows = lambda t, *c: sorted(tuple(r) for r in t.select(*c).collect())
+    assert close(rows(f.coef(), "label", "mean"), rows(m.coef(), "label", "mean"))
+    a, b = f.summary(), m.summary()
+    for name in ("scalars", "pve", "hyper"):
+        assert close(rows(a[name], "param", "mean", "sd"), rows(b[name], "param", "mean", "sd")), name
+    assert close(rows(a["coefficients"], "label", "mean", "sd"), rows(b["coefficients"], "label", "mean", "sd"))
+    assert close(rows(a["blocks"], "block", "predictors", "pve_mean"), rows(b["blocks"], "block", "predictors", "pve_mean"))
+    inc = {r["label"]: (r["inclusion"], r["components"], r["local_var_mean"]) for r in b["coefficients"].collect()}
+    assert inc["b::noise1"][1]["component_0"] == pytest.approx(1 - inc["b::noise1"][0]) and sum(inc["b::noise1"][1].values()) == pytest.approx(1)
+    local = np.mean([r["local_var"][3] for r in f.draws.collect()])
+    assert inc["c::nuisance"][2] == pytest.approx(local) and inc["a::signal"] == (None, None, None)
+    assert close(rows(f.predict(df), "signal", "fit"), rows(m.predict(df), "signal", "fit"))
+    with pytest.raises(SpecError):
+        m.predict(df, "credible")
+    with pytest.raises(SpecError):
+        f.moments
+    top = m.summary(coefficients="top", max_coefficients=1, rank_by="inclusion_probability")["coefficients"].collect()
+    assert len(top) == 1 and top[0]["inclusion"] is not None
+
+
+def test_moments_of_parts_are_those_of_the_whole(spark):
+    g = [np.array([[12.0, 2], [2, 10]]), np.array([[9.0, -1], [-1, 8]])]
+    blocks = {"a": {"model": "Normal", "var": 1.0, "indices": [0, 2]}, "b": {"model": "Normal", "var": 0.5, "indices": [1, 3]}}
+    kw = {"yty": 20.0, "x_means": np.zeros(4), "y_mean": 0.02, "residual_var": 1.0, "pve": True, "chains": 2, **RUN}
+    f, m = fit_ss(spark, 20, g, [1, 2, -1, 0.5], blocks, **kw), fit_ss(spark, 20, g, [1, 2, -1, 0.5], blocks, store="moments", **kw)
+    assert len(m.problems) == 2
+    for name in ("scalars", "pve", "hyper"):
+        a, b = ({r["param"]: (r["mean"], r["sd"]) for r in x.summary()[name].collect()} for x in (f, m))
+        assert set(a) == set(b) and all(a[k] == pytest.approx(b[k], rel=1e-9, abs=1e-12) for k in a)
+
+
+def test_fixed_predictors_of_sparse_and_eigen_fits_are_checked(spark):
+    x = np.random.default_rng(0).normal(size=(30, 3))
+    x[:, 2] = x[:, 0]
+    g = x.T @ x
+    t = spark.createDataFrame([(i, j, float(g[i, j])) for i in range(3) for j in range(i, 3)], "i int, j int, v double")
+    p = spark.createDataFrame([(i, f"x{i + 1}", 1.0) for i in range(3)], "idx int, name string, xty double")
+    for model, ok in (("Fixed", False), ("Normal", True)):
+        block = {"model": model, "standardize": False}
+        if ok:
+            assert fit_sparse(spark, 30, t, p, block, residual_var=1.0, **RUN).problems
+        else:
+            with pytest.raises(DataError):
+                fit_sparse(spark, 30, t, p, block, residual_var=1.0, **RUN)
+    u, lam = E.decompose(g)
+    u, lam = u[:, lam > 1e-8], lam[lam > 1e-8]
+    with pytest.raises(DataError):
+        fit_eigen(spark, 30, u, lam, 1.0, u @ np.ones(len(lam)), {"model": "Fixed", "standardize": False}, residual_var=1.0, **RUN)
+
+
+def test_storage_is_kept(spark):
+    g = [np.diag([9.0] * 30) + np.diag([1.0] * 29, 1) + np.diag([1.0] * 29, -1), np.eye(2) * 5 + 1]
+    kw = {"residual_var": 1.0, **RUN}
+    xty = np.sin(np.arange(32.0))
+    a = fit_ss(spark, 50, g, xty, {"model": "Normal", "var": 1.0, "standardize": False}, storage="speed", **kw)
+    b = fit_ss(spark, 50, g, xty, {"model": "Normal", "var": 1.0, "standardize": False}, storage="memory", **kw)
+    assert a.info["storage"] == ["sparse", "dense"] and b.info["storage"] == ["lower", "dense"]
+    assert np.allclose(draws(a), draws(b), atol=1e-9)

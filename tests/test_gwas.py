@@ -91,6 +91,12 @@ def test_write_and_read(spark, ld, tmp_path):
     b = {r["name"]: L.dense(r) for r in back.blocks.collect()}
     assert np.allclose(b["c1"], 0.9 * R1 + 0.1 * np.eye(3)) and back.report.count() == 2
     assert L.report_map(back).count() == 2
+    for some_ld in (back, L.regularize(ld, "shrink", 0.1)):
+        part = L.subset(some_ld, some_ld.variants.where("ID not in ('rs2', 'rs6')").select("ID"))
+        got = {(r["fitted_block"], r["source_block"], r["fitted_predictors"], r["block"]) for r in L.report_map(part).collect()}
+        assert {(b, n) for _, b, n, _ in got} == {("c1", 1), ("c2", 2)} and all(b == s for _, s, _, b in got) and len(got) == 3
+        again = L.report_map(L.subset(part, part.variants.where("ID <> 'rs1'").select("ID"))).collect()
+        assert sorted(r["source_block"] for r in again) == ["c1", "c2"]
     old = back.report.drop("source_block", "floor_shrink")
     assert L.check_report(old).first()["floor_shrink"] == 0
     with pytest.raises(DataError):
@@ -215,3 +221,16 @@ def test_conversion_recovers_cross_products(spark):
     got = {(q["i"], q["j"]): q["v"] for q in t.collect()}
     assert all(got[a, b] == pytest.approx((x.T @ x)[a, b], abs=1e-9) for a, b in zip(i, j, strict=True))
     assert np.allclose([q["xty"] for q in p.orderBy("idx").collect()], g, atol=1e-9)
+
+
+def test_conversion_from_a_list_of_matrices(spark):
+    rows = spark.createDataFrame([(i, 0.1 * (i + 1), 0.05) for i in range(6)], "idx int, beta double, se double")
+    t, p = W.convert_matrices(rows, [R1, R2], 100)
+    assert {r["block"] for r in t.collect()} == {"block1", "block2"} and p.count() == 6
+    got = {(r["i"], r["j"]): r["v"] for r in t.collect()}
+    assert got[0, 1] == pytest.approx(99 * R1[0, 1]) and got[3, 4] == pytest.approx(99 * R2[0, 1]) and (2, 3) not in got
+    named, _ = W.convert_matrices(rows, {"a": R1, "b": R2}, 100)
+    assert {r["block"] for r in named.collect()} == {"a", "b"}
+    for bad in ([R1], [R1, R2[:2]], [R1, R2 + np.triu(R2)]):
+        with pytest.raises(DataError):
+            W.convert_matrices(rows, bad, 100)

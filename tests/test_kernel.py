@@ -9,7 +9,7 @@ from bayesmill.functions.gig import draw_gig
 from bayesmill.functions.normal import mixture_quantile, normal_cdf
 from bayesmill.plans.backends import Blocks, Correlation, Dense, LowRank, Sparse, guard
 from bayesmill.plans.kernel import Online, OnlineCov, Problem, chain
-from bayesmill.plans.spec import Block, Controls, Residual
+from bayesmill.plans.spec import Block, Controls, Residual, parse_blocks
 
 
 def problem(be, blocks, block_of=None, residual=None, df=39):
@@ -209,3 +209,41 @@ def test_normal_functions():
     for q in (0.025, 0.5, 0.975):
         at = mixture_quantile(m, s, q)
         assert np.allclose(normal_cdf((at[:, None] - m) / s).mean(axis=1), q, atol=1e-9)
+
+
+def test_storage_kinds_give_equal_draws():
+    """Blocks kept dense, sparse and as one triangle, draw for draw, prior blocks crossing Gram blocks."""
+    rng = np.random.default_rng(0)
+    mats = []
+    for n in (4, 3, 5):
+        x = rng.normal(size=(30, n))
+        m = x.T @ x
+        m[abs(m) < 3] = 0
+        mats.append(m + 10 * np.eye(n))
+    g = rng.normal(size=12) * 20
+    block_of = np.array([0, 1] * 6)
+    blocks = parse_blocks([{"model": "Normal", "indices": list(range(0, 12, 2))}, {"model": "SpikeSlab", "indices": list(range(1, 12, 2))}], "indices")
+    out = []
+    for how in (["dense"] * 3, ["sparse"] * 3, ["lower"] * 3, ["lower", "dense", "sparse"]):
+        be = Blocks(mats, g, 500.0, how)
+        t = rng.normal(size=12)
+        whole = np.zeros((12, 12))
+        for m, a in zip(mats, (0, 4, 7), strict=True):
+            whole[a : a + len(m), a : a + len(m)] = m
+        assert np.allclose(be.product(t), whole @ t) and np.allclose(be.part([1, 5, 2, 11]), whole[np.ix_([1, 5, 2, 11], [1, 5, 2, 11])])
+        p = Problem(be, blocks, block_of, Residual(shape=3.0, scale=2.0), 40, np.arange(12), np.ones(12), [0, 1], 2, np.zeros(12))
+        out.append([(*d["theta"], d["residual_var"], *d["own"], *d["along"]) for d in chain(p, Controls(iterations=150, burnin=20, pve=True), np.random.default_rng(3))])
+    for other in out[1:]:
+        assert np.allclose(out[0], other, atol=1e-8)
+
+
+def test_quadratics_of_groups_in_one_pass():
+    rng = np.random.default_rng(1)
+    r = np.corrcoef(rng.normal(size=(20, 6)).T)
+    s, g, t = rng.random(6) + 0.5, rng.normal(size=6), rng.normal(size=6)
+    lower = [(np.arange(j + 1, 6), r[j + 1 :, j]) for j in range(6)]
+    c = Correlation([(6, lower)], s, g, 10.0, 0.2)
+    full = np.outer(s, s) * (0.8 * r + 0.2 * np.eye(6))
+    groups = np.array([0, 1, 0, 2, 1, 0])
+    assert np.allclose(c.product(t), full @ t)
+    assert np.allclose(c.quadratics(t, groups, 3), Dense(full, g, 10.0).quadratics(t, groups, 3))
