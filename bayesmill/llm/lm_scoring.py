@@ -675,6 +675,4 @@ def perplexity_scores(docs: DataFrame, ws: Workspace, shards: int | None = None,
     """Learn from the rows that are not held out, score all rows, and free the model."""
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out())
     model = train(docs.where(~F.col("held_out")), ws, shards or shards_for(docs), order=order)
-    out = ws.save(score(docs, model, keep=("held_out",)).withColumn("train_tokens", F.lit(model.total).cast("long")), "scores")
-    ws.drop("words", "pairs", "values", "triples", "contexts")
-    return out
+    return ws.finish(score(docs, model, keep=("held_out",)).withColumn("train_tokens", F.lit(model.total).cast("long")), "scores")

@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, ws: Workspace) -> tuple[Discriminant
 def classify(docs: DataFrame, labels: DataFrame, ws: Workspace, threshold: float = 0.3) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted."""
     model, stats = fit(docs, labels, ws)
-    return score_table(stats, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return ws.finish(score_table(stats, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")), "scores")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, ws: Workspace, threshold: float = 0.3) -> DataFrame:

@@ -66,9 +66,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ws = Workspace(spark, "op6")
     stored = ws.save(media.encode_column(_table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
-    out = ws.save(media.features(stored).drop("error"), "features")
-    ws.drop("media")
-    return out
+    return ws.finish(media.features(stored).drop("error"), "features")
 
 
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +84,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of every document that a mix of all sources takes."""
     from . import mixing
 
-    return mixing.Mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), Workspace(spark, "op8")).taken()
+    ws = Workspace(spark, "op8")
+    return ws.finish(mixing.Mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), ws).taken(), "taken")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

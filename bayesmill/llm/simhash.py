@@ -319,9 +319,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, radius: int = 2, width: int
     several = found.select(F.col("component").alias("part")).distinct()
     least = named.join(several, "part", "left_semi").groupBy("part").agg(F.min("least").alias("component_id"))
     named = named.join(least, "part", "left").select(F.col("node").alias("fp"), F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
-    out = ws.save(prints.join(named, "fp").select(id, "fp", "component_id"), "components")
-    ws.drop("prints", "nodes", "named")
-    return out
+    return ws.finish(prints.join(named, "fp").select(id, "fp", "component_id"), "components")
 
 
 def keep_one(docs: DataFrame, ws: Workspace, radius: int = 2, width: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:

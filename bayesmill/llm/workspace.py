@@ -57,6 +57,16 @@ class Workspace:
     def load(self, name: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    def finish(self, df: DataFrame, name: str = "result") -> DataFrame:
+        """Write ``df`` as a table, read it again, and delete all else in this workspace."""
+        out = self.save(df, name)
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(self.uri)
+        for f in p.getFileSystem(conf).listStatus(p):
+            if f.getPath().getName() != name:
+                f.getPath().getFileSystem(conf).delete(f.getPath(), True)
+        return out
+
     def drop(self, *names: str) -> None:
         """Delete what is no longer needed (through Hadoop, so any store works)."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
