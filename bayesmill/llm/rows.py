@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace, frugal, map_arrays, put_arrays
 
+PARTS = 16
 KEPT = "__kept_row"  # a name that no table is likely to have
 
 
@@ -32,14 +33,15 @@ def keep_rows(docs: DataFrame, ws: Workspace, kept: DataFrame, id: str, text: st
     files = min(1 << 16, len(docs.inputFiles()))
     if not files or not kept.where(F.col("file") == F.xxhash64(F.lit(""))).isEmpty():
         return docs.withColumn(KEPT, row_hash(id, text)).join(kept.select(KEPT), KEPT, "left_semi").drop(KEPT)
-    bucket = lambda file: F.pmod(file, F.lit(files)).cast("int")
+    # several parts for each file, as one file may hold most rows
+    bucket = lambda file, row: (F.pmod(file, F.lit(files)) * PARTS + F.pmod(row, F.lit(PARTS))).cast("int")
     uri = ws.path("files")
 
     def store(key, rows):
         put_arrays(f"{uri}/{key[0].as_py()}", row=np.sort(rows["row"].to_numpy()))
         return pa.table({"n": [len(rows)]})
 
-    ids = kept.select(bucket(F.col("file")).alias("b"), F.col(KEPT).alias("row"))
+    ids = kept.select(bucket(F.col("file"), F.col(KEPT)).alias("b"), F.col(KEPT).alias("row"))
     stored = {r["b"] for r in ids.select("b").distinct().collect()}
     ids.groupBy("b").applyInArrow(store, "n long").agg(F.sum("n")).collect()
 
@@ -57,4 +59,4 @@ def keep_rows(docs: DataFrame, ws: Workspace, kept: DataFrame, id: str, text: st
                     keep[mine] = have[k][at] == own[mine]
             yield pa.RecordBatch.from_arrays(b.columns[:-2], names=b.schema.names[:-2]).filter(pa.array(keep))
 
-    return docs.select("*", bucket(file_hash()).alias("__file"), row_hash(id, text).alias("__row")).mapInArrow(frugal(run), docs.schema)
+    return docs.select("*", bucket(file_hash(), row_hash(id, text)).alias("__file"), row_hash(id, text).alias("__row")).mapInArrow(frugal(run), docs.schema)
