@@ -153,7 +153,7 @@ def set_table(docs: DataFrame, uri: str, id: str, text: str) -> DataFrame:
             if out is not None:
                 out.close()
 
-    return docs.select(id, file_hash().alias("file"), row_hash(id, text).alias("row"), text).mapInArrow(frugal(run), schema)
+    return docs.select(id, file_hash(docs).alias("file"), row_hash(id, text).alias("row"), text).mapInArrow(frugal(run), schema)
 
 
 def _create(uri: str, task: int):

@@ -162,7 +162,7 @@ class Discriminant:
 def statistics_table(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``file`` and ``row`` (hashes of the row's file, and of id and text), and ``stats``, an array in the order of FEATURES."""
     small_batches(docs.sparkSession)
-    rows = docs.select(id, file_hash().alias("file"), row_hash(id, text).alias("row"), text)
+    rows = docs.select(id, file_hash(docs).alias("file"), row_hash(id, text).alias("row"), text)
     schema = rows.select(id, "file", "row").withColumn("stats", F.array(F.lit(0.0))).schema
 
     def run(batches):

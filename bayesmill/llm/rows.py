@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +14,19 @@ PARTS = 16
 KEPT = "__kept_row"  # a name that no table is likely to have
 
 
-def file_hash():
-    """A hash of the file that a row is read from."""
-    return F.xxhash64(F.input_file_name())
+def _one_source(docs: DataFrame) -> bool:
+    """Whether Spark can say which file a row of ``docs`` is read from; of joins and the like it cannot."""
+    try:
+        return docs.select(F.input_file_name()).schema is not None
+    except AnalysisException as e:
+        if e.getCondition() != "MULTI_SOURCES_UNSUPPORTED_FOR_EXPRESSION":
+            raise
+        return False
+
+
+def file_hash(docs: DataFrame):
+    """A hash of the file that a row of ``docs`` is read from, or of an empty name."""
+    return F.xxhash64(F.input_file_name() if _one_source(docs) else F.lit(""))
 
 
 def row_hash(id: str, text: str):
@@ -30,7 +41,7 @@ def keep_rows(docs: DataFrame, ws: Workspace, kept: DataFrame, id: str, text: st
     a task that reads a file looks only at that file's.  Rows that come from no
     file are joined instead.
     """
-    files = min(1 << 16, len(docs.inputFiles()))
+    files = min(1 << 16, len(docs.inputFiles())) if _one_source(docs) else 0
     if not files or not kept.where(F.col("file") == F.xxhash64(F.lit(""))).isEmpty():
         return docs.withColumn(KEPT, row_hash(id, text)).join(kept.select(KEPT), KEPT, "left_semi").drop(KEPT)
     # several parts for each file, as one file may hold most rows
@@ -59,4 +70,4 @@ def keep_rows(docs: DataFrame, ws: Workspace, kept: DataFrame, id: str, text: st
                     keep[mine] = have[k][at] == own[mine]
             yield pa.RecordBatch.from_arrays(b.columns[:-2], names=b.schema.names[:-2]).filter(pa.array(keep))
 
-    return docs.select("*", bucket(file_hash(), row_hash(id, text)).alias("__file"), row_hash(id, text).alias("__row")).mapInArrow(frugal(run), docs.schema)
+    return docs.select("*", bucket(file_hash(docs), row_hash(id, text)).alias("__file"), row_hash(id, text).alias("__row")).mapInArrow(frugal(run), docs.schema)

@@ -109,7 +109,7 @@ def fingerprint_table(docs: DataFrame, id: str = "doc_id", text: str = "text", w
                 fp = fingerprints(data[off[i] : off[j]], off[i : j + 1] - off[i], width)
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(3)), pa.array(fp.view(np.int64))], [id, "file", "row", "fp"])
 
-    return docs.select(id, file_hash().alias("file"), row_hash(id, text).alias("row"), text).mapInArrow(frugal(run), schema)
+    return docs.select(id, file_hash(docs).alias("file"), row_hash(id, text).alias("row"), text).mapInArrow(frugal(run), schema)
 
 
 # -- index ------------------------------------------------------------------

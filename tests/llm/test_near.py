@@ -133,3 +133,20 @@ def test_large_groups_are_cut_without_losing_links(spark, tmp_path):
     assert len(want) == 26
     for split_at in (40, 1000):
         assert {r["doc_id"] for r in N.keep_one(df, Workspace(spark, "t"), split_at=split_at).collect()} == want
+
+
+def test_tables_that_are_joins_keep_their_rows(spark, tmp_path):
+    """Spark cannot say which file a joined row is from; filters then join by row."""
+    from bayesmill.llm import quality, simhash
+
+    rows = [(i, f"some words of text number {i % 7} that go on and on {i % 7}") for i in range(30)]
+    for name in "ab":
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/{name}")
+    a, b = (spark.read.parquet(f"{tmp_path}/{n}") for n in "ab")
+    both = a.join(b.select("doc_id"), "doc_id")
+    for keep in (N.keep_one, simhash.keep_one):
+        assert sorted(r["doc_id"] for r in keep(both, Workspace(spark, "t")).collect()) == sorted(r["doc_id"] for r in keep(a, Workspace(spark, "t")).collect()) == list(range(7))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality long")
+    good = quality.keep_good(both, labels, Workspace(spark, "t"))
+    assert good.columns == both.columns and sorted(map(str, good.collect())) == sorted(map(str, quality.keep_good(a, labels, Workspace(spark, "t")).collect()))
+    assert keep(both.limit(0), Workspace(spark, "t")).count() == 0
