@@ -5,12 +5,16 @@ A template is text with ``{{ expression }}`` output and ``{% ... %}`` blocks:
 ``endif``, ``set name = expression``, and ``generation`` / ``endgeneration``,
 which mark what a model is to learn.  Expressions have strings, integers, true,
 false, none, names, ``a.b``, ``a['b']``, ``+``, comparisons, ``and``, ``or``,
-``not``, ``in``, and the filters below after ``|``.  Nothing else can be
-reached: fields are looked up in dictionaries only, never as attributes, and
-there are no calls.
+``not``, ``in``, ``not in``, and the filters below after ``|``.  Nothing else
+can be reached: fields are looked up in dictionaries only, never as attributes,
+and there are no calls.  Quoted strings may hold the ends of tags.  A minus next
+to a brace (``{{-``, ``-}}``, ``{%-``, ``-%}``) drops the white space of the text
+on that side.  A tag that is not closed is an error; ``{{ '{{' }}`` writes one.
 
 Compiling parses a template into a syntax tree, folds whatever is constant
-(adjacent text included), and turns each node into a closure.
+(adjacent text included), and turns each node into a closure.  An operator or
+filter that its values do not fit raises TemplateError when it is rendered, if
+it ever is; folding leaves it as it stands.
 
 Control strings inside texts are escaped reversibly: in every escaped text an
 escape mark is put after the first character of each control string and of each
@@ -62,8 +66,11 @@ class Escaper:
 
 # -- parsing ----------------------------------------------------------------
 
-_TAG = re.compile(r"\{\{(.*?)\}\}|\{%-?(.*?)-?%\}", re.S)
-_TOKEN = re.compile(r"""\s*(?:("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(\d+)|([A-Za-z_]\w*)|(==|!=|<=|>=|[-+<>|.\[\]()]))""")
+_STRING = r"""(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')"""
+_INSIDE = rf"((?:{_STRING}|[^\"'])*?)"
+_TAG = re.compile(rf"\{{\{{(-?){_INSIDE}(-?)\}}\}}|\{{%(-?){_INSIDE}(-?)%\}}", re.S)
+_OPEN = re.compile(r"\{[{%]")
+_TOKEN = re.compile(rf"\s*(?:({_STRING})|(\d+)|([A-Za-z_]\w*)|(==|!=|<=|>=|[-+<>|.\[\]()=]))", re.S)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 FILTERS: dict[str, Callable] = {"line": lambda s: _text(s).replace(MARK, MARK * 2).replace("\n", MARK + "n"), "trim": lambda s: str(s).strip(), "upper": lambda s: str(s).upper(), "lower": lambda s: str(s).lower(), "length": len}
 _WORDS = {"true": True, "false": False, "none": None}
@@ -122,8 +129,12 @@ class _Parser:
 
     def comparison(self):
         left = self.sum()
-        while op := self.take("==", "!=", "<", ">", "<=", ">=", "in"):
-            left = (op, left, self.sum())
+        while op := self.take("==", "!=", "<", ">", "<=", ">=", "in", "not"):
+            if op == "not":
+                self.need("in")
+                left = ("not", ("in", left, self.sum()))
+            else:
+                left = (op, left, self.sum())
         return left
 
     def sum(self):
@@ -152,6 +163,8 @@ class _Parser:
             inner = self.expression()
             self.need(")")
             return inner
+        if self.take("-"):
+            return ("-", ("const", 0), self.filtered())
         if self.at >= len(self.tokens):
             raise TemplateError("expression ends early")
         kind, t = self.tokens[self.at]
@@ -167,14 +180,21 @@ class _Parser:
 
 def parse(source: str) -> list[tuple]:
     """The template's syntax tree: a list of statements."""
-    pieces, at = [], 0
+    pieces, at, bare = [], 0, False
+
+    def plain(end, strip):
+        t = source[at:end].lstrip() if bare else source[at:end]
+        if _OPEN.search(t):
+            raise TemplateError(f"a tag is not closed: {t[_OPEN.search(t).start():][:20]!r}")
+        if t := t.rstrip() if strip else t:
+            pieces.append(("text", t))
+
     for m in _TAG.finditer(source):
-        if m.start() > at:
-            pieces.append(("text", source[at : m.start()]))
-        pieces.append(("out", m[1]) if m[1] is not None else ("tag", m[2].strip()))
-        at = m.end()
-    if at < len(source):
-        pieces.append(("text", source[at:]))
+        out = m[2] is not None
+        plain(m.start(), m[1] if out else m[4])
+        pieces.append(("out", m[2]) if out else ("tag", m[5].strip()))
+        at, bare = m.end(), bool(m[3] if out else m[6])
+    plain(len(source), "")
     pos = 0
 
     def block(*ends):
@@ -182,7 +202,7 @@ def parse(source: str) -> list[tuple]:
         body = []
         while pos < len(pieces):
             kind, s = pieces[pos]
-            word = s.split(None, 1)[0] if kind == "tag" and s else None
+            word = re.match(r"\w*", s)[0] if kind == "tag" else None
             if word in ends:
                 return body
             pos += 1
@@ -204,7 +224,7 @@ def parse(source: str) -> list[tuple]:
             elif word == "if":
                 arms, other = [], []
                 while True:
-                    p = _Parser(s.split(None, 1)[1] if " " in s else "")
+                    p = _Parser(s.removeprefix("el")[2:])
                     test = p.expression()
                     p.end()
                     arms.append((test, block("elif", "else", "endif")))
@@ -218,8 +238,9 @@ def parse(source: str) -> list[tuple]:
                 close("endif")
                 body.append(("if", arms, other))
             elif word == "set":
-                p = _Parser(s[3:].replace("=", " ", 1))
+                p = _Parser(s[3:])
                 name = p.name()
+                p.need("=")
                 body.append(("set", name, p.expression()))
                 p.end()
             elif word == "generation":
@@ -261,7 +282,10 @@ def fold(e: tuple, filters: dict[str, Callable]) -> tuple:
         return e
     args = [fold(x, filters) if isinstance(x, tuple) else x for x in e[1:]]
     if all(a[0] == "const" for a in args if isinstance(a, tuple)):
-        return ("const", _closure((kind, *args), filters)({}))
+        try:
+            return ("const", _closure((kind, *args), filters)({}))
+        except TemplateError:  # for whoever renders it
+            pass
     return (kind, *args)
 
 
@@ -305,6 +329,13 @@ def fold_block(body: list[tuple], filters) -> list[tuple]:
     return out
 
 
+def _guarded(name: str, f: Callable, *values):
+    try:
+        return f(*values)
+    except (TypeError, AttributeError, ValueError) as e:
+        raise TemplateError(f"{name}: {e}") from e
+
+
 def _closure(e: tuple, filters) -> Callable[[dict], object]:
     kind = e[0]
     if kind == "const":
@@ -318,7 +349,7 @@ def _closure(e: tuple, filters) -> Callable[[dict], object]:
         return lambda env: not f(env)
     if kind == "filter":
         g, f = filters[e[1]], _closure(e[2], filters)
-        return lambda env: g(f(env))
+        return lambda env: _guarded(e[1], g, f(env))
     a, b = _closure(e[1], filters), _closure(e[2], filters)
     if kind == "and":
         return lambda env: a(env) and b(env)
@@ -334,7 +365,7 @@ def _closure(e: tuple, filters) -> Callable[[dict], object]:
             raise TemplateError("only fields of dictionaries and places of lists can be read")
         return item
     op = _BINARY[kind]
-    return lambda env: op(a(env), b(env))
+    return lambda env: _guarded(kind, op, a(env), b(env))
 
 
 class _Out:
@@ -366,7 +397,7 @@ def _run(body: list[tuple], filters) -> Callable[[dict, _Out], None]:
             steps.append(mark)
         elif s[0] == "for":
             def loop(env, out, n=s[1], over=_closure(s[2], filters), f=_run(s[3], filters)):
-                items = list(over(env) or [])
+                items = _guarded("for", list, over(env) or [])
                 for i, x in enumerate(items):
                     f(env | {n: x, "loop": {"index0": i, "index": i + 1, "first": i == 0, "last": i == len(items) - 1}}, out)
             steps.append(loop)

@@ -22,12 +22,31 @@ def test_blocks_loops_filters_and_marks():
     assert text == "1xP;2x2;" and [text[a:b] for a, b in marks] == ["P"]
 
 
-@pytest.mark.parametrize("bad", ["{% for x %}{% endfor %}", "{% if a %}", "{{ a.__class__() }}", "{{ a | nofilter }}", "{% endif %}", "{% import os %}", "{{ }}"])
+@pytest.mark.parametrize("bad", ["{% for x %}{% endfor %}", "{% if a %}", "{{ a.__class__() }}", "{{ a | nofilter }}", "{% endif %}", "{% import os %}", "{{ }}", "{{ 'a }}", "a {{ b", "{% set a b %}", "{% if %}{% endif %}"])
 def test_bad_templates(bad):
     with pytest.raises(C.TemplateError):
         C.Template(bad)
 
 
+def test_strings_may_hold_the_ends_of_tags():
+    assert C.Template("{{ '}}' + \"%}\" }}{% set a = '{%' %}{{ a }}{{ 'it\\'s' }}").render()[0] == "}}%}{%it's"
+
+
+def test_minus_drops_white_space():
+    assert C.Template("a \n{%- if x -%} \n b {{- 'c' -}} \t{%- endif %} d").render(x=1)[0] == "abc d"
+    assert C.Template("a {{ 3 - 1 }} b {{ ms[-1] }}").render(ms=[1, 2])[0] == "a 2 b 2"
+    assert C.Template("{%\nif\nx not in 'pq'\n%}y{% elif(x == 'q') %}q{% else %}n{% endif %}").render(x="q")[0] == "q"
+
+
+def test_values_that_do_not_fit():
+    for bad in ("{{ 1 | length }}", "{{ 'a' - 1 }}", "{{ 1 < 'a' }}", "{% for x in 3 %}{% endfor %}", "{{ x | length }}"):
+        t = C.Template("{% if go %}" + bad + "{% endif %}")
+        assert t.render(go=False) == ("", [])
+        with pytest.raises(C.TemplateError):
+            t.render(go=True)
+    assert C.Template("{{ false and (1 - 'a') }}").render()[0] == "false"
+
+
 def test_no_attributes_are_reachable():
     with pytest.raises(C.TemplateError):
         C.Template("{{ m.__class__ }}").render(m="text")
