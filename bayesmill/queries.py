@@ -961,3 +961,27 @@ def fit_convergence(spark, sf):
 @query()
 def convergence(spark, sf):
     return D.assess(_long(spark, sf).withColumn("chain", F.col("chain").cast("int")))
+
+
+#: Yule-Walker by Levinson's recursion on the autocovariances ``g`` of whole chains, their beginnings and their ends; the order is
+#: the least by AIC.  Lists count from 1, so ``g[k + 1]`` is the autocovariance at lag k.
+_SPECTRUM = """WITH RECURSIVE d0 AS (SELECT chain, value, row_number() OVER (PARTITION BY chain ORDER BY draw) AS t, count(*) OVER (PARTITION BY chain) AS m FROM {draws} d),
+parts AS (SELECT chain, 'all' AS part, t, value FROM d0 UNION ALL SELECT chain, 'first', t, value FROM d0 WHERE t <= greatest(2, ceil(CAST(0.1 AS double) * m)) UNION ALL SELECT chain, 'last', t, value FROM d0 WHERE t > m - floor(CAST(0.5 AS double) * m)),
+means AS (SELECT chain, part, count(*) AS n, avg(value) AS mu, var_samp(value) AS s2, CAST(least(count(*) - 1, floor(10 * log10(count(*)))) AS int) AS most FROM parts GROUP BY chain, part),
+centred AS (SELECT p.chain, p.part, p.t, p.value - s.mu AS c FROM parts p JOIN means s ON s.chain = p.chain AND s.part = p.part),
+lags AS (SELECT s.chain, s.part, s.n, s.most, k.k FROM means s JOIN range(0, 200) k(k) ON k.k <= s.most),
+acov AS (SELECT l.chain, l.part, l.k, sum(a.c * b.c) / max(l.n) AS v FROM lags l JOIN centred a ON a.chain = l.chain AND a.part = l.part JOIN centred b ON b.chain = a.chain AND b.part = a.part AND b.t = a.t + l.k GROUP BY l.chain, l.part, l.k),
+g AS (SELECT a.chain, a.part, max(s.n) AS n, max(s.most) AS most, list(a.v ORDER BY a.k) AS g FROM acov a JOIN means s ON s.chain = a.chain AND s.part = a.part GROUP BY a.chain, a.part),
+ar AS (SELECT chain, part, n, most, g, 0 AS k, g[1] AS var, CAST([] AS double[]) AS phi, n * ln(g[1]) AS aic FROM g UNION ALL
+  SELECT chain, part, n, most, g, k + 1 AS k, var * (1 - r * r) AS var, list_append(list_transform(phi, lambda x, i: x - r * phi[k + 1 - i]), r) AS phi, n * ln(var * (1 - r * r)) + 2 * (k + 1) AS aic
+  FROM (SELECT ar.*, (g[k + 2] - coalesce(list_sum(list_transform(phi, lambda x, i: x * g[k + 2 - i])), 0)) / var AS r FROM ar WHERE k < most) q),
+best AS (SELECT chain, part, n, k, var, phi, row_number() OVER (PARTITION BY chain, part ORDER BY aic, k) AS place FROM ar),
+spec AS (SELECT b.chain, b.part, b.n, s.mu, s.s2, b.var * b.n / (b.n - (b.k + 1)) / power(1 - coalesce(list_sum(b.phi), 0), 2) AS s0 FROM best b JOIN means s ON s.chain = b.chain AND s.part = b.part WHERE place = 1)
+"""
+
+
+@query(_SPECTRUM + """SELECT 'value' AS param, CAST(w.chain AS int) AS chain, round((a.mu - b.mu) / sqrt(a.s0 / a.n + b.s0 / b.n), 6) AS geweke, round(w.n * w.s2 / w.s0, 4) AS ess
+FROM spec w JOIN spec a ON a.chain = w.chain JOIN spec b ON b.chain = w.chain WHERE w.part = 'all' AND a.part = 'first' AND b.part = 'last'""")
+def chain_diagnostics(spark, sf):
+    """Geweke z and effective size of each chain."""
+    return rounded(D.per_chain(_long(spark, sf).withColumn("chain", F.col("chain").cast("int"))), geweke=6, ess=4)
