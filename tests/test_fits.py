@@ -158,6 +158,18 @@ def test_summaries_and_prediction(spark, data):
         R.predict(new.drop("signal"), f.draws, names)
 
 
+def test_draws_beyond_the_limit_are_read_from_the_shared_folder(spark, data, monkeypatch):
+    df, _, _ = data
+    draws = fit(df, "y", BLOCKS, residual_shape=3.0, residual_scale=1.0, **RUN).draws
+    new, names = df.select("signal", "nuisance", "noise1", "noise2"), ["signal", "nuisance", "noise1", "noise2"]
+    for kind in ("credible", "prediction"):
+        monkeypatch.undo()
+        small = R.predict(new, draws, names, kind).orderBy(*names).collect()
+        monkeypatch.setattr(R, "DRAW_LIMIT", 0)
+        monkeypatch.setattr(R, "RUN", 4000)  # a few draws and rows at a time
+        assert np.allclose(small, R.predict(new, draws, names, kind).orderBy(*names).collect())
+
+
 def test_diagnostics(spark):
     rng = np.random.default_rng(1)
     rho, n = 0.7, 4000
