@@ -4,7 +4,9 @@ Base rules give emails, IP addresses, card and phone numbers; each is a single
 pass with no search that starts again inside what failed, so time is linear in
 a text's length.  Generators of high recall propose further, overlapping spans:
 emails with a written-out sign, addresses with bracketed dots, phone numbers
-without a country code, grouped card numbers.  Boosted trees score a span by its
+without a country code, grouped card numbers, and secrets (values given to names
+such as password or token, access keys, long runs of letters and digits), for
+which there is no base rule.  Boosted trees score a span by its
 format and context, a calibrated threshold of its kind decides, and of accepted
 spans that overlap the best stays.  Base spans always stay.
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import math
 import random
 import re
 import string
@@ -37,6 +40,8 @@ from .boosting import BoostedTrees
 from .workspace import frugal, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = len(KINDS)
+NAMES = (*KINDS, "secret")
 SAMPLE = 5000
 STEP = 4096  # candidates of a text scored at a time
 PRECISION = 0.99  # asked of a kind's threshold on the calibration rows
@@ -104,6 +109,13 @@ _GENERATORS = (
     (3, re.compile(r"(?<![0-9A-Za-z])(?:00|0)[1-9](?:[ ./-]?[0-9]){7,12}(?![0-9])")),
     (3, re.compile(r"\+ ?\(?[0-9][ ()./0-9-]{6,22}[0-9](?![0-9])")),
 )
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_GIVEN = re.compile(r"""[:=][ \t]{0,3}["']?([^\s"'`<>,;&]{6,})""")
+_NAMED = re.compile(r"""(?:passw(?:or)?d|pwd|secret|token|key|credential)s?["']?[ \t]{0,3}\Z""", re.I)
+_LETTER = re.compile("[A-Za-z]")
+LONGEST = 200  # characters of a secret
+#: How widely used kinds of access keys begin.
+_KEYS = ("AKIA", "ASIA", "ghp_", "gho_", "glpat-", "sk_live_", "rk_live_", "xoxb-", "xoxp-", "AIza", "npm_", "hf_")
 _WRITTEN = re.compile(r"[(\[{]at[)\]}]| at .{1,80}? dot ", re.I)
 _CUES = (
     ("phone", "tel", "call", "mobile", "cell", "fax", "whatsapp", "contact", "dial"),
@@ -111,6 +123,8 @@ _CUES = (
     ("email", "e-mail", "mail", "write", "reach", "contact"),
     ("ip", "host", "server", "address", "from", "login", "addr"),
     ("isbn", "version", "v", "date", "order", "ref", "id", "no", "serial", "code", "sku", "page", "pp", "vol", "doi", "commit", "hash", "total", "sum", "cm", "mm", "kg"),
+    ("password", "passwd", "pwd", "secret", "token", "key", "credential", "auth"),
+    ("sha", "md", "checksum", "digest", "uuid", "build", "revision", "file", "url", "path", "image"),
 )
 
 
@@ -121,6 +135,12 @@ def candidates(s: str) -> list[Span]:
     for kind, g in _GENERATORS:
         if written if kind == 0 else digit:
             found.update((m.start(), kind, m.end()) for m in g.finditer(s))
+    if digit:
+        found.update((m.start(), SECRET, m.end()) for m in _RUN.finditer(s) if m.end() - m.start() <= LONGEST and _DIGIT.search(m[0]) and _LETTER.search(m[0]))
+    for m in _GIVEN.finditer(s) if ":" in s or "=" in s else ():
+        t = m[1].rstrip(".)]}")
+        if 6 <= len(t) <= LONGEST and _NAMED.search(s, max(0, m.start() - 24), m.start()):
+            found.add((m.start(1), SECRET, m.start(1) + len(t)))
     return sorted(found)
 
 
@@ -128,9 +148,11 @@ _DATE = re.compile(r"(?:(?:0?[1-9]|[12][0-9]|3[01])[./-](?:0?[1-9]|1[0-2])[./-](
 
 
 def proven_false(s: str, span: Span) -> bool:
-    """Whether a rule shows that a candidate is not of its kind: a failed check sum, a number over 255, a date, an ISBN."""
+    """Whether a rule shows that a candidate is not of its kind: a failed check sum, a number over 255, a date, an ISBN, hardly any different characters."""
     a, kind, b = span
     d = _digits(s[a:b])
+    if kind == SECRET:
+        return len(set(s[a:b])) < 4
     if kind == 1:
         return any(int(g) > 255 for g in re.findall(r"[0-9]+", s[a:b]))
     if kind == 2 and not (12 <= len(d) <= 19 and luhn(d)):
@@ -149,18 +171,33 @@ def describe(s: str, span: Span) -> list[float]:
     cue = before.lower()
     last = re.findall(r"[a-z-]+", cue)[-3:]
     return [
-        *(float(kind == k) for k in range(4)), float(len(t)), float(len(d)), float(len(groups)), float(max(map(len, groups), default=0)), float(min(map(len, groups), default=0)),
+        *(float(kind == k) for k in range(len(NAMES))), float(len(t)), float(len(d)), float(len(groups)), float(max(map(len, groups), default=0)), float(min(map(len, groups), default=0)),
         float(len(groups[0]) if groups else 0), float(len(groups[-1]) if groups else 0), float(t.count(" ")), float(t.count("-")), float(t.count(".")), float(t.count("/")), float(t.count("(")),
         float(t[:1] == "+"), float(t[:1] == "("), float(d[:1] == "0"), float(luhn(d)) if d else 0.0, float(int(d[:1] or 0)), float(len(octets) == 4 and all(octets)),
         float(len(set(d))), float(len(set(c for c in t if not c.isalnum()))), float(bool(re.search(r"[(\[{]at[)\]}]", t, re.I))), float(bool(re.search(r"(?:com|org|net|edu|io|de|fr|es|uk)\Z", t, re.I))),
         *(float(any(w in c for w in last)) for c in _CUES), float(before[-1:].isalnum()), float(before[-1:] in "#=:/._-" and before != ""), float(after[:1].isalnum()), float(after[:1] in "%/_=-" and after != ""),
         float(bool(re.search(r"[0-9] ?\Z", before))), float(bool(re.match(r" ?[0-9]", after))),
+        *(_looks(t, before) if kind == SECRET else _NO_SECRET),
     ]
 
 
+def _looks(t: str, before: str) -> list[float]:
+    """How random a candidate secret is, and how it is introduced."""
+    n = {c: t.count(c) for c in set(t)}
+    given = re.search(r"""[:=][ \t]{0,3}["']?\Z""", before)
+    return [
+        -sum(k / len(t) * math.log2(k / len(t)) for k in n.values()), float(bool(re.fullmatch("[0-9a-fA-F]+", t))), float(bool(re.search("[A-Z]", t))), float(bool(re.search("[a-z]", t))), float(t.startswith(_KEYS)),
+        float(bool(given)), float(bool(given and _NAMED.search(before, 0, given.start()))), float(sum(1 for a, b in zip(t, t[1:], strict=False) if a.isdigit() != b.isdigit())),
+        float(max(map(len, re.findall("[A-Za-z]+", t)), default=0)), float(t.count("_")), float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", t))),
+    ]
+
+
+_NO_SECRET = [0.0] * len(_looks("none", ""))
+
+
 # -- learning ---------------------------------------------------------------
 
-def made_rows(n: int = 6000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def made_rows(n: int = 7500, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Candidates with labels, made by rule."""
     r = random.Random(seed)
     num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
@@ -177,22 +214,30 @@ def made_rows(n: int = 6000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     name = lambda: f"{word()}{r.choice(['.', '_', ''])}{word()}"
     tld = lambda: r.choice(["com", "org", "net", "edu", "io", "de", "fr", "es"])
     octet = lambda: str(r.randint(0, 255))
+    some = lambda k, of: "".join(r.choice(of) for _ in range(k))
+    hexes, mixed, upper = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_uppercase + "0123456789"
+    value = lambda: r.choice([some(r.randint(12, 40), hexes), some(r.randint(10, 44), mixed), some(r.randint(8, 16), mixed + "!#$%*+-_"), some(r.choice([24, 32, 44]), mixed + "+/")])
+    secret = lambda: r.choice(["password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "access_key", "secret_key", "auth_token", "PASSWORD", "API_KEY", "Token"])
+    other = lambda: r.choice(["checksum", "sha256", "md5", "id", "uuid", "digest", "url", "file", "build", "ref", "path"])
+    uuid = lambda: "-".join(some(k, hexes) for k in (8, 4, 4, 4, 12))
     good = {
         0: lambda: r.choice([f"{name()} (at) {word()} (dot) {tld()}", f"{name()}[at]{word()}.{tld()}", f"{name()} [at] {word()}[dot]{tld()}", f"{name()} at {word()} dot {tld()}"]),
         1: lambda: r.choice(["[.]", "(.)"]).join(octet() for _ in range(4)),
         2: lambda: grouped(card(), [".", "/", "_", "  ", " ", "-"]),
         3: lambda: r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{r.randint(2, 9)}{num(2)}-{num(3)}-{num(4)}", f"{r.randint(2, 9)}{num(2)}.{num(3)}.{num(4)}", f"0{r.randint(1, 9)} {num(2)} {num(2)} {num(2)} {num(2)}", f"+ {r.randint(1, 99)} {num(3)} {num(3)} {num(4)}", f"00{r.randint(1, 99)} {num(3)} {num(3)} {num(3)}"]),
+        SECRET: lambda: r.choice([r.choice(["AKIA", "ASIA"]) + some(16, upper), r.choice(["ghp_", "gho_"]) + some(36, mixed), r.choice(["sk_live_", "rk_live_"]) + some(24, mixed), f"{r.choice(['xoxb', 'xoxp'])}-{num(11)}-{some(24, mixed)}", "AIza" + some(35, mixed), "glpat-" + some(20, mixed)]),
     }
     bad = {
         0: lambda: r.choice([f"{word()} at {word()}. {word()}", f"{word()} at {word()}.{word()}", f"arrived at {word()} . {word()}"]),
         1: lambda: r.choice([f"{num(1)} . {num(2)} . {num(1)} . {num(3)}", ". ".join(num(r.randint(1, 3)) for _ in range(4)), f"{r.randint(300, 999)}[.]{num(3)}[.]{num(3)}[.]{num(3)}"]),
         2: lambda: r.choice([f"97{r.choice('89')}-{num(1)}-{num(4)}-{num(4)}-{num(1)}", num(r.randint(12, 19)), grouped(num(16), "-./_ "), " ".join(num(4) for _ in range(4))]),
         3: lambda: r.choice([f"{r.randint(1900, 2030)}-{num(4)}-{num(4)}", f"{num(2)}.{num(3)}.{num(3)}", f"{num(2)} {num(3)} {num(3)}", f"{num(4)}/{num(4)}/{num(4)}", f"0{num(9)}", f"{num(3)} {num(4)} {num(3)}", f"{num(5)}-{num(4)}-{num(4)}"]),
+        SECRET: lambda: r.choice([some(r.choice([16, 32, 40, 64]), hexes), uuid(), f"{word()}/{word()}{num(2)}/{word()}-{num(4)}", f"{word()}_{word()}_{word()}_{num(2)}", f"{word()}-{word()}-{num(4)}-{num(2)}-{num(2)}", word() + num(14)]),
     }
     x, y = [], []
     while len(y) < n:
-        kind, real = r.randrange(4), r.random() < 0.5
-        cue = r.choice(_CUES[(2, 3, 1, 0)[kind]]) if real and r.random() < 0.6 else r.choice(_CUES[4]) if not real and r.random() < 0.6 else word()
+        kind, real = r.randrange(len(NAMES)), r.random() < 0.5
+        cue = r.choice(_CUES[(2, 3, 1, 0, 5)[kind]]) if real and r.random() < 0.6 else r.choice(_CUES[4]) if not real and r.random() < 0.6 else word()
         t, near = (good if real else bad)[kind](), r.random() < 0.25
         head = f"{word()} {word()} {cue}{r.choice([' ', ': ', ' is '])}"
         tail = f"{r.choice([' ', '. ', ', '])}{word()} {word()}"
@@ -200,6 +245,15 @@ def made_rows(n: int = 6000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
             head, t = f"{head}+{r.randint(1, 99)} ({num(3)}) {num(3)}-{num(4)} ", card()
         elif near and kind == 3 and real:
             t, tail = f"+{r.randint(1, 99)} {r.choice([f'({num(3)})', num(3)])} {num(3)}{r.choice('-. ')}{num(4)}", f" {card()}{tail}"
+        elif kind == SECRET and r.random() < 0.6:  # given to a name
+            quote = r.choice(["", "", "'", '"'])
+            if real:
+                key, t = secret(), value()
+            elif r.random() < 0.7:
+                key = other()
+            else:
+                key, t = secret(), r.choice([word() + word(), "required", f"{word()}_{word()}", f"{word()}.{word()}()"])
+            head, tail = f"{word()} {key}{r.choice(['=', ': ', ' = ', ':'])}{quote}", quote + tail
         s = f"{head}{t}{tail}"
         for c in candidates(s):
             if c[1] == kind and c[0] < len(head) + len(t) and c[2] > len(head):
@@ -215,8 +269,9 @@ class Model:
     thresholds: list[float]
 
     def added(self, s: str, base: list[Span]) -> list[Span]:
-        """Accepted candidates that overlap neither base spans nor better ones, by start."""
-        some = _free(candidates(s), base)
+        """Accepted candidates that overlap neither base spans (secrets may) nor better ones, by start."""
+        every = candidates(s)
+        some = _free([c for c in every if c[1] != SECRET], base) + [c for c in every if c[1] == SECRET]
         if not some:
             return []
         p = np.concatenate([self.trees.predict(np.array([describe(s, c) for c in some[i : i + STEP]])) for i in range(0, len(some), STEP)])
@@ -282,7 +337,7 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     a, b = turn[:cut], turn[cut:]
     trees = BoostedTrees().fit(x[a], y[a]).calibrate(x[b], y[b])
     p, thresholds = trees.predict(x[b]), []
-    for k in range(4):
+    for k in range(len(NAMES)):
         mine = x[b, k] == 1
         order = np.argsort(-p[mine])
         q, t = p[mine][order], np.cumsum(y[b][mine][order]) / np.arange(1, mine.sum() + 1)
@@ -292,28 +347,32 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
 
 
 def _join(spans: list[Span]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    return ",".join(f"{NAMES[k]}:{a}:{b}" for a, k, b in spans)
 
 
 def find(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, n_email, n_ip, n_card, n_phone and base (of the base rules), spans (all)."""
+    """Per row: id, n_email, n_ip, n_card, n_phone and base (of the base rules), spans (all of their kinds), secrets (likewise), n_found (both)."""
     small_batches(docs.sparkSession)
     schema = docs.select(id).schema
     for k in KINDS:
         schema = schema.add(f"n_{k}", "long")
-    schema = schema.add("base", "string").add("spans", "string")
+    schema = schema.add("base", "string").add("spans", "string").add("secrets", "string").add("n_found", "long")
 
     def run(batches):
         for b in batches:
-            counts, base, every = [], [], []
+            counts, base, every, secrets, total = [], [], [], [], []
             for s in b.column(1).to_pylist():
                 found = base_spans(s) if s else []
                 more = model.added(s, found) if s else []
                 counts.append([sum(k == x[1] for x in found) for k in range(4)] if found else [0] * 4)
                 base.append(_join(found))
-                every.append(_join(sorted(found + more)) if more else base[-1])
+                hidden = [c for c in more if c[1] == SECRET]
+                plain = [c for c in more if c[1] != SECRET]
+                every.append(_join(sorted(found + plain)) if plain else base[-1])
+                secrets.append(_join(hidden))
+                total.append(len(found) + len(more))
             n = np.array(counts, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(n[:, k]) for k in range(4)), pa.array(base), pa.array(every)], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(n[:, k]) for k in range(4)), pa.array(base), pa.array(every), pa.array(secrets), pa.array(total, pa.int64())], schema.names)
 
     return docs.select(id, text).mapInArrow(frugal(run), schema)
 
@@ -324,7 +383,7 @@ def redact(s: str, model: Model) -> str:
     out, at = [], 0
     for a, k, b in sorted(base + model.added(s, base)):
         if a >= at:
-            out += [s[at:a], f"<{KINDS[k]}>"]
+            out += [s[at:a], f"<{NAMES[k]}>"]
         at = max(at, b)
     return "".join(out) + s[at:]
 

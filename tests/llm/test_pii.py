@@ -95,6 +95,9 @@ def labelled(seed=5):
             (2, "She read out her number, {}, twice.", ".".join(c[i : i + 4] for i in range(0, 16, 4))),
             (2, "My Visa is {} if you need it.", "/".join(c[i : i + 4] for i in range(0, 16, 4))),
             (3, "Ring me on {} after six.", f"({r.randrange(201, 990)}) {r.randrange(201, 990)}-{num(4)}"),
+            (4, "The old login was {} until May.", "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOP234567") for _ in range(16))),
+            (4, "db_password={} ; port=5432", "".join(r.choice("abcdefghkmnpqrstuvwxyz23456789!") for _ in range(r.randrange(10, 18)))),
+            (4, "export SERVICE_TOKEN='{}' before it starts", "".join(r.choice("0123456789abcdef") for _ in range(32))),
             (3, "Our front desk: {}, daily.", f"{r.randrange(201, 990)}-{r.randrange(201, 990)}-{num(4)}"),
         ]
         false = [
@@ -103,6 +106,9 @@ def labelled(seed=5):
             f"The sum of {num(3)} {num(3)} {num(3)} euros was paid in {r.randrange(1900, 2020)}.",
             f"ISBN 978-{num(1)}-{num(4)}-{num(4)}-{num(1)} is out of print.",
             f"Tracking code {''.join(d4)}{'1' if P.luhn(''.join(d4)) else ''} was scanned.",
+            f"Commit {''.join(r.choice('0123456789abcdef') for _ in range(40))} broke the build.",
+            f"The image is at /srv/media/20{num(2)}/album-{num(4)}/photo-{num(3)} since then.",
+            "The password: required, at least eight characters.",
             f"See pp. {num(3)}-{num(3)} and chapter {num(1)}.{num(1)}.{num(1)}.",
         ]
         out += [(t.format(x), [(t.index("{"), k, t.index("{") + len(x))]) for k, t, x in true] + [(t, []) for t in false]
@@ -111,7 +117,7 @@ def labelled(seed=5):
 
 def test_precision_and_recall_on_sentences_of_another_hand(model):
     """Per kind, added spans against the labels; README has the figures."""
-    hit, said, real = [0] * 4, [0] * 4, [0] * 4
+    hit, said, real = ([0] * len(P.NAMES) for _ in range(3))
     for s, want in labelled():
         base = P.base_spans(s)
         got = set(model.added(s, base))
@@ -121,7 +127,7 @@ def test_precision_and_recall_on_sentences_of_another_hand(model):
                 hit[span[1]] += span in got
         for span in got:
             said[span[1]] += 1
-    figures = {P.KINDS[k]: (round(hit[k] / real[k], 3), round(hit[k] / max(said[k], 1), 3)) for k in range(4)}
+    figures = {n: (round(hit[k] / real[k], 3), round(hit[k] / max(said[k], 1), 3)) for k, n in enumerate(P.NAMES)}
     print("recall, precision:", figures)
     assert all(r > 0.8 and p > 0.9 for r, p in figures.values()), figures
 
@@ -167,6 +173,15 @@ def test_query(spark):
     assert P.redact("mail a@b.co now", model) == "mail <email> now"
 
 
+def test_secrets_have_a_column_of_their_own(spark, model):
+    s = "set api_key = 'f3a94c0b77de21a5' and mail a@b.co"
+    df = spark.createDataFrame([(1, s), (2, "nothing here"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in P.find(df, model).collect()}
+    assert (got[1]["secrets"], got[1]["spans"], got[1]["n_found"]) == ("secret:15:31", "email:42:48", 2)
+    assert all((got[k]["secrets"], got[k]["spans"], got[k]["n_found"]) == ("", "", 0) for k in (2, 3))
+    assert P.redact(s, model) == "set api_key = '<secret>' and mail <email>"
+
+
 def test_a_corpus_rich_in_other_formats_does_not_unlearn_them(spark):
     rng = random.Random(1)
     texts = [f"please call ({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)} today" for _ in range(3000)]
