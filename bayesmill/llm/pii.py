@@ -135,8 +135,9 @@ def candidates(s: str) -> list[Span]:
     for kind, g in _GENERATORS:
         if written if kind == 0 else digit:
             found.update((m.start(), kind, m.end()) for m in g.finditer(s))
-    if digit:
-        found.update((m.start(), SECRET, m.end()) for m in _RUN.finditer(s) if m.end() - m.start() <= LONGEST and _DIGIT.search(m[0]) and _LETTER.search(m[0]))
+    for m in _RUN.finditer(s):
+        if m.end() - m.start() <= LONGEST and (m[0].startswith(_KEYS) or digit and _DIGIT.search(m[0]) and _LETTER.search(m[0])):
+            found.add((m.start(), SECRET, m.end()))
     for m in _GIVEN.finditer(s) if ":" in s or "=" in s else ():
         t = m[1].rstrip(".)]}")
         if 6 <= len(t) <= LONGEST and _NAMED.search(s, max(0, m.start() - 24), m.start()):
